@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_timestamp, floor_days, iso_string
 from ledgerlens.operators.rank import exact_quantiles
@@ -72,8 +73,11 @@ def describe(df: DataFrame, c: str, with_median: bool = True, prefix: str | None
     algorithm of the engine.
     """
     p = f"{prefix}_" if prefix else ""
+    exact = isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType, T.DecimalType, T.ShortType))
+    # Exact sums for integers and decimals, so the mean does not depend on summation order.
+    mean = F.sum(c).cast("double") / F.count(c).cast("double") if exact else F.avg(F.col(c).cast("double"))
     base = df.agg(F.count(c).alias(f"{p}count"), F.min(c).alias(f"{p}min"), F.max(c).alias(f"{p}max"),
-                  F.avg(F.col(c).cast("double")).alias(f"{p}mean"),
+                  mean.alias(f"{p}mean"),
                   F.round(F.stddev_samp(F.col(c).cast("double")), 6).alias(f"{p}std"))
     if not with_median:
         return base
