@@ -12,6 +12,7 @@ by squared distance, lowest id on a tie), so it can be checked in SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,9 +165,10 @@ def centroid_summary(assigned: DataFrame, centroids: DataFrame, k: int, inertia:
 
 
 def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, max_iter: int = 100,
-               tol: float = 1e-4, cols: Sequence[str] | None = None):
+               tol: float = 1e-4, cols: Sequence[str] | None = None, parallelism: int = 4):
     """M2: Spark ML K-Means fitted for ``n_init`` seeds (seed, seed+1, ...),
-    keeping the lowest training cost. Returns (centroids sorted, cost).
+    keeping the lowest training cost (first seed on a tie). Returns
+    (centroids sorted, cost).
 
     The vector column is built and cached once; each fit is distributed.
     Centroids are sorted lexicographically so ids do not depend on the
@@ -178,15 +180,20 @@ def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
     cols = list(cols or scaled_columns(scaled))
     vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(scaled.select(*cols)) \
         .select("_features").cache()
+
+    def fit(s: int):
+        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec)
+        return model, model.summary.trainingCost
+
     try:
-        best = None
-        for s in range(seed, seed + n_init):
-            model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost)
+        vec.count()  # materialise the cached vectors once
+        # The seeds are independent Spark jobs: submit them concurrently so a
+        # small input does not leave most of the cluster idle between passes.
+        with ThreadPoolExecutor(max_workers=min(n_init, parallelism)) as pool:
+            fits = list(pool.map(fit, range(seed, seed + n_init)))
     finally:
         vec.unpersist()
+    best = min(fits, key=lambda mc: mc[1])
     centers = sorted([tuple(float(x) for x in c) for c in best[0].clusterCenters()])
     return centers, best[1]
 

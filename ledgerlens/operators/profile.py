@@ -117,14 +117,13 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
             (F.col(f"_hi{i}") if numeric else nul).alias("max"),
             (F.col(f"_s{i}") if numeric else nul).alias("std")))
     prof = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    medians = None
-    for f in fields:
-        if isinstance(f.dataType, NUMERIC):
-            m = exact_quantiles(df, f.name, [0.5], names=["median"]).select(
-                F.lit(f.name).alias("column_name"), "median")
-            medians = m if medians is None else medians.unionByName(m)
-    if medians is None:
+    numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC)]
+    if not numeric:
         return prof.withColumn("median", F.lit(None).cast("double"))
+    # All numeric columns in long form, so one grouped quantile pass gives every median.
+    pairs = ", ".join(f"{_lit_str(c)}, CAST(`{c}` AS DOUBLE)" for c in numeric)
+    long = df.selectExpr(f"stack({len(numeric)}, {pairs}) AS (column_name, value)")
+    medians = exact_quantiles(long, "value", [0.5], ["column_name"], ["median"])
     # medians has one row per numeric column.
     return prof.join(F.broadcast(medians), "column_name", "left")
 

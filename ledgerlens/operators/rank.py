@@ -140,8 +140,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     group_cols = list(group_cols)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    hist = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    cum = exact_running_sum(hist, ["_v"], group_cols, weight="_w", out="_cum", rows_per_bucket=rows_per_bucket)
+    # The histogram is checkpointed (reliable storage): its size check and the
+    # final plan then read it instead of recomputing the input.
+    hist = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    cum = exact_running_sum(hist, ["_v"], group_cols, weight="_w", out="_cum", rows_per_bucket=rows_per_bucket,
+                            n_rows=hist.count())
     counts = (hist.groupBy(*group_cols) if group_cols else hist).agg(F.sum("_w").alias("_n"))
     pos = []
     for p in probs:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import clean, rfm, score, segment
+from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources.adapters import dirty_transactions
 
 # Fixed values for the test fixture: the invoice-date cut-off used instead of
@@ -36,17 +37,31 @@ def _memo(spark: SparkSession) -> dict:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty_transactions(spark, sf_dir)
+    """The raw fixture plan, built once per session (a plan, not cached data)."""
+    plans = _memo(spark).setdefault("_plans", {})
+    if sf_dir not in plans:
+        plans[sf_dir] = dirty_transactions(spark, sf_dir)
+    return plans[sf_dir]
 
 
 def step1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_step1(raw(spark, sf_dir))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned transactions computed from the raw tables (no stage table)."""
     return clean.clean_step2(step1(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
 
 
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned transactions as a Parquet stage table (written once per session)."""
+    return staged(spark, ("transactions", sf_dir), lambda: cleaned(spark, sf_dir))
+
+
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cached(spark, ("recency", sf_dir), lambda: rfm.customer_recency(transactions(spark, sf_dir)))
+
+
 def cached(spark: SparkSession, key: tuple, build) -> DataFrame:
     memo = _memo(spark)
     if key not in memo:
@@ -54,8 +69,30 @@ def cached(spark: SparkSession, key: tuple, build) -> DataFrame:
     return memo[key]
 
 
+def checkpointed(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Table checkpointed once to the shared checkpoint folder: later queries
+    read it back, and a lost executor does not replay its lineage."""
+    memo = _memo(spark)
+    if key not in memo:
+        memo[key] = build().checkpoint(eager=True)
+    return memo[key]
+
+
+def staged(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Stage output written once as Parquet under the shared checkpoint
+    folder and read back (columnar: later scans prune and push down)."""
+    memo = _memo(spark)
+    if key not in memo:
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        name = "-".join(str(k).strip("/").replace("/", "_") for k in key)
+        path = f"{root}/ledgerlens-stages/{spark.sparkContext.applicationId}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        memo[key] = spark.read.parquet(path)
+    return memo[key]
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cached(spark, ("base", sf_dir), lambda: rfm.rfm_base(transactions(spark, sf_dir)))
+    return checkpointed(spark, ("base", sf_dir), lambda: rfm.rfm_base(transactions(spark, sf_dir)))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +106,9 @@ def segments(spark: SparkSession, sf_dir: str, mode: str = "last_match") -> Data
 
 def clear(spark: SparkSession) -> None:
     memo = _memo(spark)
-    for df in memo.values():
-        df.unpersist()
+    for key, df in memo.items():
+        if key != "_plans":
+            df.unpersist()
+    plans = memo.get("_plans", {})
     memo.clear()
+    memo["_plans"] = plans

@@ -82,14 +82,14 @@ RC = "(SELECT c.customerid, CAST(floor(epoch(ref_ts - last_purchase) / 86400) AS
   CAST(quantile_cont(recency, 0.5) AS DOUBLE) AS recency_median,
   round(stddev_samp(CAST(recency AS DOUBLE)), 6) AS recency_std FROM {RC} x""")
 def q_recency_stats(spark, d):
-    return rfm.recency_stats(rfm.customer_recency(fx.transactions(spark, d)))
+    return rfm.recency_stats(fx.recency(spark, d))
 
 
 @register("recency_quartiles", f"""SELECT CAST(quantile_cont(recency, 0.25) AS DOUBLE) AS p25,
   CAST(quantile_cont(recency, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(recency, 0.75) AS DOUBLE) AS p75,
   CAST(quantile_cont(recency, 1.0) AS DOUBLE) AS p100 FROM {RC} x""")
 def q_quartiles(spark, d):
-    return rfm.recency_quartiles(rfm.customer_recency(fx.transactions(spark, d)))
+    return rfm.recency_quartiles(fx.recency(spark, d))
 
 
 BUCKETS_SQL = """count(*) FILTER (WHERE recency <= 30) AS recent_0_30_days,
@@ -100,7 +100,7 @@ BUCKETS_SQL = """count(*) FILTER (WHERE recency <= 30) AS recent_0_30_days,
 
 @register("recency_buckets", f"SELECT count(*) AS unique_customers, {BUCKETS_SQL} FROM {RC} x")
 def q_buckets(spark, d):
-    return rfm.recency_buckets(rfm.customer_recency(fx.transactions(spark, d)))
+    return rfm.recency_buckets(fx.recency(spark, d))
 
 
 @register("recency_summary", f"""SELECT (SELECT count(*) FROM t) AS total_transactions,
@@ -127,7 +127,7 @@ def q_tx_recency(spark, d):
 
 @register("finalize_recency", f"SELECT customerid, CAST(recency AS DOUBLE) AS recency FROM {RC} x")
 def q_finalize(spark, d):
-    return rfm.finalize_recency(rfm.customer_recency(fx.transactions(spark, d)))
+    return rfm.finalize_recency(fx.recency(spark, d))
 
 
 @register("validate_rfm_base", """SELECT count(*) FILTER (WHERE customerid IS NULL OR recency IS NULL
@@ -169,7 +169,7 @@ def q_rfm_stats(spark, d):
 
 @register("recency_preview", f"SELECT customerid, recency FROM {RC} x ORDER BY customerid LIMIT 10")
 def q_recency_preview(spark, d):
-    return rfm.customer_recency(fx.transactions(spark, d)).orderBy("customerid").limit(10)
+    return fx.recency(spark, d).orderBy("customerid").limit(10)
 
 
 @register("scores_preview", f"SELECT {SCORE_SQL} FROM s ORDER BY customerid LIMIT 10")

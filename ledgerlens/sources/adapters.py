@@ -30,13 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A large table arrives in many splits and is left alone (no shuffle);
+    a small one stored as a single row group would otherwise run every
+    downstream narrow operator in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice lines with injected dirt (see FIXTURES.md, fixture A).
 
     Duplicates are produced by ``explode`` of a one- or two-element array
     instead of a self-union, so the join tree is scanned once.
     """
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    l = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -73,7 +86,7 @@ def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases from the event stream as raw lines (fixture B): one unit at
     ``value`` per purchase event; timestamps keep their time of day."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    ev = spread(table(spark, sf_dir, "events").where(F.col("event_type") == "purchase"))
     return ev.select(
         F.col("event_id").cast("string").alias("invoiceno"),
         F.lit("EVENT").alias("stockcode"),
