@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import pct
 from ledgerlens.functions.rules import CLUSTER_LABELS
 from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.functions.scalars import with_scalars
 
 RFM_COLUMNS = ("recency", "frequency", "monetary")
 EXACT_SUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -37,7 +38,7 @@ def scale_rfm(df: DataFrame, columns: Sequence[str] = RFM_COLUMNS, digits: int |
 
     Nulls are filled with the column's exact median (computed only when a
     null exists); a zero deviation divides by 1. Mean and deviation come
-    from one aggregate attached as a broadcast one-row table.
+    from one aggregate attached as scalar subqueries.
     """
     cols = [c for c in columns if c in df.columns]
     if not cols:
@@ -50,7 +51,7 @@ def scale_rfm(df: DataFrame, columns: Sequence[str] = RFM_COLUMNS, digits: int |
             filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(med)))
     stats = filled.agg(*[_mean(filled, c).alias(f"_mu_{c}") for c in cols],
                        *[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in cols])
-    out = filled.crossJoin(F.broadcast(stats))
+    out = with_scalars(filled, stats)
     scaled = {}
     for c in cols:
         sd = F.col(f"_sd_{c}")
@@ -126,7 +127,7 @@ def cluster_metrics(assigned: DataFrame, k: int, metrics: Sequence[str] = RFM_CO
     g = assigned.groupBy("cluster_id").agg(*aggs)
     total = assigned.agg(F.count(F.lit(1)).alias("_total"))
     ids = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
-    out = ids.join(g, "cluster_id", "left").crossJoin(F.broadcast(total))
+    out = with_scalars(ids.join(g, "cluster_id", "left"), total)
     return out.select("cluster_id", F.coalesce("customer_count", F.lit(0)).cast("bigint").alias("customer_count"),
                       pct(F.coalesce("customer_count", F.lit(0)), "_total").alias("percentage_of_total"),
                       *[x for c in metrics for x in (f"avg_{c}", f"min_{c}", f"max_{c}")])
@@ -156,7 +157,7 @@ def centroid_summary(assigned: DataFrame, centroids: DataFrame, k: int, inertia:
     m = cluster_metrics(assigned, k).join(F.broadcast(cost), "cluster_id", "left")
     total = m.agg(F.sum("cluster_cost").alias("_inertia")) if inertia is None else None
     if total is not None:
-        m = m.crossJoin(F.broadcast(total))
+        m = with_scalars(m, total)
         contrib = F.col("_inertia") / F.lit(float(k))
     else:
         contrib = F.lit(float(inertia) / k)
@@ -165,7 +166,7 @@ def centroid_summary(assigned: DataFrame, centroids: DataFrame, k: int, inertia:
 
 
 def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, max_iter: int = 100,
-               tol: float = 1e-4, cols: Sequence[str] | None = None, parallelism: int = 4):
+               tol: float = 1e-4, cols: Sequence[str] | None = None, parallelism: int | None = None):
     """M2: Spark ML K-Means fitted for ``n_init`` seeds (seed, seed+1, ...),
     keeping the lowest training cost (first seed on a tie). Returns
     (centroids sorted, cost).
@@ -189,7 +190,8 @@ def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
         vec.count()  # materialise the cached vectors once
         # The seeds are independent Spark jobs: submit them concurrently so a
         # small input does not leave most of the cluster idle between passes.
-        with ThreadPoolExecutor(max_workers=min(n_init, parallelism)) as pool:
+        workers = parallelism or scaled.sparkSession.sparkContext.defaultParallelism
+        with ThreadPoolExecutor(max_workers=max(1, min(n_init, workers))) as pool:
             fits = list(pool.map(fit, range(seed, seed + n_init)))
     finally:
         vec.unpersist()

@@ -164,13 +164,17 @@ def monthly_trends(tx: DataFrame, seg: DataFrame, date_col: str = "invoicedate")
 
 
 def monthly_trends_filled(trends: DataFrame) -> DataFrame:
-    """Every (month, segment) pair present, zero where a segment has no
-    sales that month (distinct months x distinct segments, both small)."""
-    months = trends.select("year_month").distinct()
-    segs = trends.select("segment").distinct()
-    grid = months.crossJoin(segs)
-    j = grid.join(trends.select("year_month", "segment", "revenue"), ["year_month", "segment"], "left")
-    return j.select("year_month", "segment", F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
+    """Every (month, segment) pair, zero where a segment has no sales
+    that month: one row per month pivoted over the present segments, then
+    unpivoted (no cross join)."""
+    # Segment names come from the rule table, so this list is small and bounded.
+    segs = sorted(r[0] for r in trends.select("segment").distinct().collect())
+    if not segs:
+        return trends.select("year_month", "segment", "revenue")
+    wide = trends.groupBy("year_month").pivot("segment", segs).agg(F.sum("revenue"))
+    pairs = ", ".join(f"'{s}', `{s}`" for s in segs)
+    long = wide.selectExpr("year_month", f"stack({len(segs)}, {pairs}) AS (segment, revenue)")
+    return long.select("year_month", "segment", F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
 
 
 def monthly_trends_simulated(seg: DataFrame, as_of: str | _dt.date) -> DataFrame:

@@ -15,6 +15,7 @@ from ledgerlens.functions.exprs import pct
 from ledgerlens.functions.rules import (AT_RISK_RECOVERY_RATE, HIGH_VALUE_EXPANSION_RATE, LOYAL_AT_RISK_RATE,
                                         NEW_CONVERSION_RATE, OPPORTUNITY_TEXT)
 from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.functions.scalars import one_row
 
 
 def _per_segment(seg: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def executive_sentences(seg: DataFrame) -> DataFrame:
                                       F.col("percentage_of_total").alias("l_pct"))
     risk = at_risk_volume(seg)
     opp = growth_opportunities(seg).agg(F.count(F.lit(1)).alias("opp_n"))
-    one = top.crossJoin(big).crossJoin(risk).crossJoin(opp)
+    one = one_row(top, big, risk, opp)
     return one.select(
         F.format_string("%s is the top revenue driver, contributing %s%% of total revenue (%d customers)",
                         "t_seg", F.round("t_pct", 2).cast("string"), "t_n").alias("revenue_focus"),
@@ -145,7 +146,7 @@ def filtered_insights(seg: DataFrame, segments: Sequence[str] | None = None, dat
                                     F.col("customer_count").alias("largest_count"))
     risk = at_risk_volume(f).select("at_risk_count", "total_at_risk_revenue", "recovery_potential")
     tot = insight_totals(f).select("total_customers", "total_revenue")
-    return tot.crossJoin(top).crossJoin(big).crossJoin(risk)
+    return one_row(tot, top, big, risk)
 
 
 def generate_insights(seg: DataFrame) -> dict[str, DataFrame]:

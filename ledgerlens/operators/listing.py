@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ledgerlens.functions.scalars import with_scalars
 
 
 def paged(df: DataFrame, page: int, page_size: int, order: Sequence[str | Column],
@@ -24,4 +25,4 @@ def paged(df: DataFrame, page: int, page_size: int, order: Sequence[str | Column
     rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
     total = df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.ceil(F.col("total") / F.lit(float(page_size))).cast("bigint").alias("total_pages"))
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return with_scalars(rows, total)  # one row

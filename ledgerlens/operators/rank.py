@@ -26,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ledgerlens.functions.scalars import with_scalars
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 DEFAULT_SAMPLE_PER_BUCKET = 64
@@ -158,7 +159,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         small = counts.count() <= BROADCAST_OFFSET_ROWS
         j = cum.join(F.broadcast(counts) if small else counts, group_cols)
     else:
-        j = cum.crossJoin(F.broadcast(counts))  # one row
+        j = with_scalars(cum, counts)  # one row
 
     def covers(pcol):  # the distinct value whose 1-based position range holds pcol
         return (F.col("_cum") - F.col("_w") < F.col(pcol)) & (F.col(pcol) <= F.col("_cum"))

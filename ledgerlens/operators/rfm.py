@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_timestamp, floor_days, iso_string
 from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.functions.scalars import one_row, with_scalars
 
 BROADCAST_JOIN_ROWS = 2_000_000
 
@@ -38,11 +39,11 @@ def reference_date(tx: DataFrame, reference=None, date_col: str = "invoicedate")
 
 
 def _with_reference(cust: DataFrame, reference, last_col: str = "last_purchase") -> DataFrame:
-    """Attach ``_ref_ts`` to a customer-level frame (one-row broadcast)."""
+    """Attach ``_ref_ts`` to a customer-level frame (scalar subquery)."""
     if reference is not None:
         return cust.withColumn("_ref_ts", _ref_literal(reference))
     ref = cust.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("_ref_ts"))
-    return cust.crossJoin(F.broadcast(ref))
+    return with_scalars(cust, ref)
 
 
 def customer_last_purchase(tx: DataFrame, date_col: str = "invoicedate") -> DataFrame:
@@ -82,7 +83,7 @@ def describe(df: DataFrame, c: str, with_median: bool = True, prefix: str | None
     if not with_median:
         return base
     med = exact_quantiles(df, c, [0.5], names=[f"{p}median"])
-    return base.crossJoin(med)
+    return one_row(base, med)
 
 
 def recency_stats(recency: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def recency_summary(tx_with_recency: DataFrame, recency: DataFrame) -> DataFrame
     q = recency_quartiles(recency)
     b = recency_buckets(recency).drop("unique_customers")
     n_tx = tx_with_recency.agg(F.count(F.lit(1)).alias("total_transactions"))
-    return n_tx.crossJoin(st).crossJoin(q).crossJoin(b) \
+    return one_row(n_tx, st, q, b) \
                .withColumn("median_days", F.col("recency_median").cast("bigint"))
 
 
@@ -192,7 +193,7 @@ def rfm_statistics(rfm: DataFrame) -> DataFrame:
     parts = [describe(rfm, c, prefix=c).drop(f"{c}_count") for c in ("recency", "frequency", "monetary")]
     out = rfm.agg(F.count(F.lit(1)).alias("total_customers"))
     for p in parts:
-        out = out.crossJoin(p)
+        out = one_row(out, p)
     cast = {f"monetary_{k}": F.col(f"monetary_{k}").cast("double") for k in ("min", "max")}
     return out.withColumns(cast)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import pct
 from ledgerlens.functions.rules import segment_expr
+from ledgerlens.functions.scalars import one_row
 
 
 
@@ -94,7 +95,7 @@ def segment_result_shape(seg: DataFrame) -> DataFrame:
                 F.map_from_entries(F.collect_list(F.struct("segment", "revenue_percentage")))
                  .alias("revenue_contribution"))
     rk = r.agg(F.map_from_entries(F.collect_list(F.struct("segment_rank", "segment"))).alias("segment_ranking"))
-    return one.crossJoin(rk)
+    return one_row(one, rk)
 
 
 def segment_results(seg: DataFrame, clusters: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ledgerlens.operators import cluster, dashboard, insight, narrative, profile
 from ledgerlens.plans import fixture as fx
 from ledgerlens.plans.catalog import SCORE_COLS, SCORE_SQL, TX_SQL, _scores_out, _tx_out, register
 from ledgerlens.plans.oracle import iso, pct
+from ledgerlens.functions.scalars import one_row
 
 RAW_COLS = ["invoiceno", "stockcode", "description", "quantity", "invoicedate", "unitprice", "customerid", "country"]
 RAW_TYPES = ["string", "string", "string", "int", "string", "decimal(12,2)", "string", "string"]
@@ -591,4 +592,4 @@ def q_exec_text(spark, d):
 @register("full_summary")
 def q_full_summary(spark, d):
     parts = narrative.full_summary(fx.segments(spark, d))
-    return parts["executive"].crossJoin(parts["risk"])
+    return one_row(parts["executive"], parts["risk"])
