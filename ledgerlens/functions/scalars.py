@@ -1,8 +1,9 @@
-"""Attach one-row aggregates to other frames as scalar subqueries.
+"""One-row aggregates: attach them to other frames, or combine them.
 
 A grand total or a reference date is one row; attaching it as a scalar
 subquery keeps the plan free of cross joins, and Catalyst merges sibling
-scalar subqueries over the same input into a single aggregate.
+scalar subqueries over the same input into a single aggregate. Several
+one-row results are combined by stacking, not by nesting subqueries.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -20,8 +22,22 @@ def with_scalars(df: DataFrame, one_row: DataFrame, cols: Sequence[str] | None =
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Combine one-row frames into a single row."""
-    out = parts[0]
+    """Combine one-row frames (disjoint column names) into a single row.
+
+    The parts are stacked with ``unionByName`` (each part fills only its own
+    columns) and folded with ``first(ignorenulls)``: at most one row per
+    part reaches the final aggregate. Unlike nested scalar subqueries this
+    composes to any depth. An empty part leaves its columns null.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    cols: list[str] = []
+    for p in parts:
+        for c in p.columns:
+            if c in cols:
+                raise ValueError(f"column {c!r} appears in more than one part")
+            cols.append(c)
+    stacked = parts[0]
     for p in parts[1:]:
-        out = with_scalars(out, p)
-    return out
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
