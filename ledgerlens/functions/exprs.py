@@ -13,6 +13,7 @@ NULL_TOKENS = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N
 # Date formats tried in order when parsing raw invoice dates.
 DEFAULT_DATE_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",

@@ -31,7 +31,9 @@ STEPS = [
 ]
 
 
-def _cutoff(cutoff) -> Column:
+def _cutoff(cutoff) -> Column | None:
+    if cutoff is None:
+        return None
     if isinstance(cutoff, Column):
         return cutoff
     if isinstance(cutoff, _dt.datetime):
@@ -56,7 +58,9 @@ def bad_price(c: str = "unitprice") -> Column:
 
 
 def bad_date(ts: Column, cutoff=DEFAULT_DATE_CUTOFF) -> Column:
-    return F.coalesce(ts > _cutoff(cutoff), F.lit(True))
+    """Null, or after ``cutoff`` (``cutoff=None``: no upper bound)."""
+    bound = _cutoff(cutoff)
+    return ts.isNull() if bound is None else F.coalesce(ts > bound, F.lit(True))
 
 
 def cancelled(c: str = "invoiceno") -> Column:
@@ -92,8 +96,10 @@ def parse_dates(df: DataFrame, c: str = "invoicedate", formats: list[str] | None
 
 
 def drop_invalid_dates(df: DataFrame, c: str = "invoicedate", cutoff=DEFAULT_DATE_CUTOFF) -> DataFrame:
-    """Keep non-null timestamps not after ``cutoff``."""
-    return df.where(F.col(c).isNotNull() & (F.col(c) <= _cutoff(cutoff)))
+    """Keep non-null timestamps not after ``cutoff`` (F10; ``None``: no upper bound)."""
+    bound = _cutoff(cutoff)
+    keep = F.col(c).isNotNull() if bound is None else F.col(c).isNotNull() & (F.col(c) <= bound)
+    return df.where(keep)
 
 
 def drop_cancelled(df: DataFrame, c: str = "invoiceno") -> DataFrame:

@@ -25,11 +25,13 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, chain: bool = True):
+    """Register a query; ``sql`` is its oracle, prefixed with the shared
+    fixture CTE chain unless ``chain=False``."""
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_chain(sql)
+            ORACLE[name] = with_chain(sql) if chain else sql.strip()
         return fn
     return deco
 

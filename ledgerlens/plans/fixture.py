@@ -58,6 +58,17 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, ("transactions", sf_dir), lambda: cleaned(spark, sf_dir))
 
 
+def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture B: purchase events cleaned like invoice lines (no date cut-off)."""
+    from ledgerlens.sources.adapters import event_purchases
+    return staged(spark, ("event_transactions", sf_dir),
+                  lambda: clean.clean_transactions(event_purchases(spark, sf_dir), cutoff=None))
+
+
+def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(spark, ("event_base", sf_dir), lambda: rfm.rfm_base(event_transactions(spark, sf_dir)))
+
+
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached(spark, ("recency", sf_dir), lambda: rfm.customer_recency(transactions(spark, sf_dir)))
 

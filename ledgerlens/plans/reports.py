@@ -593,3 +593,38 @@ def q_exec_text(spark, d):
 def q_full_summary(spark, d):
     parts = narrative.full_summary(fx.segments(spark, d))
     return one_row(parts["executive"], parts["risk"])
+
+
+# ------------------------------------------------------------------ fixture B: purchases from events (time-of-day recency)
+
+EVENT_CTES = """WITH ev AS (SELECT CAST(event_id AS VARCHAR) AS invoiceno, 1 AS quantity, ts AS invoicedate,
+    CAST(value AS DECIMAL(12,2)) AS unitprice, user_id AS customerid FROM events WHERE event_type = 'purchase'),
+t AS (SELECT DISTINCT * FROM ev WHERE customerid IS NOT NULL AND unitprice > 0 AND invoicedate IS NOT NULL),
+c AS (SELECT customerid, max(invoicedate) AS last_purchase, count(DISTINCT invoiceno) AS frequency,
+    sum(quantity * unitprice) AS monetary FROM t GROUP BY customerid),
+ref AS (SELECT max(last_purchase) + INTERVAL 1 DAY AS ref_ts FROM c),
+r AS (SELECT customerid, CAST(floor(epoch(ref_ts - last_purchase) / 86400) AS BIGINT) AS recency, frequency, monetary
+    FROM c, ref WHERE frequency > 0 AND monetary > 0)
+"""
+
+
+@register("event_rfm_base", EVENT_CTES + "SELECT customerid, recency, frequency, CAST(monetary AS DOUBLE) AS monetary FROM r",
+          chain=False)
+def q_event_base(spark, d):
+    """RFM base of purchase events: recency counts whole elapsed days from times of day."""
+    return fx.event_base(spark, d).withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@register("event_recency_calendar_gap", EVENT_CTES + """SELECT count(*) AS customers,
+  count(*) FILTER (WHERE recency <> datediff('day', CAST(c.last_purchase AS DATE), CAST(ref_ts AS DATE))) AS floor_vs_calendar
+  FROM r JOIN c USING (customerid), ref""", chain=False)
+def q_event_gap(spark, d):
+    """Customers whose floor-days recency differs from the calendar-day difference."""
+    tx = fx.event_transactions(spark, d)
+    last = rfm.customer_last_purchase(tx)
+    ref = last.agg((F.max("last_purchase") + F.expr("INTERVAL 1 DAY")).alias("ref"))
+    b = fx.event_base(spark, d).join(last, "customerid")
+    from ledgerlens.functions.scalars import with_scalars
+    b = with_scalars(b, ref)
+    cal = F.datediff(F.to_date("ref"), F.to_date("last_purchase"))
+    return b.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("recency") != cal).alias("floor_vs_calendar"))

@@ -92,7 +92,7 @@ def event_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("EVENT").alias("stockcode"),
         F.col("event_type").alias("description"),
         F.lit(1).cast("int").alias("quantity"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("invoicedate"),
+        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("invoicedate"),
         F.col("value").cast("decimal(12,2)").alias("unitprice"),
         F.col("user_id").cast("string").alias("customerid"),
         F.lit(None).cast("string").alias("country"),
