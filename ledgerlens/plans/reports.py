@@ -628,3 +628,26 @@ def q_event_gap(spark, d):
     b = with_scalars(b, ref)
     cal = F.datediff(F.to_date("ref"), F.to_date("last_purchase"))
     return b.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("recency") != cal).alias("floor_vs_calendar"))
+
+
+# ------------------------------------------------------------------ names and stage-result shape
+
+REFERENCE_STYLE = ["InvoiceNo", " Stock-Code ", "Description", "Quantity", "Invoice Date", "Unit Price", "CustomerID",
+                   "Country"]
+
+
+@register("standardize_columns", """SELECT invoiceno, stock_code, description, quantity, invoice_date,
+  CAST(unit_price AS DOUBLE) AS unit_price, customerid, country
+  FROM (SELECT invoiceno, stockcode AS stock_code, description, quantity, invoicedate AS invoice_date,
+               unitprice AS unit_price, customerid, country FROM raw) x""")
+def q_standardize(spark, d):
+    """raw columns under upload-style names, standardised back."""
+    from ledgerlens.functions.names import standardize_columns
+    df = standardize_columns(fx.raw(spark, d).toDF(*REFERENCE_STYLE))
+    return df.withColumn("unit_price", F.col("unit_price").cast("double"))
+
+
+@register("segment_result_shape")
+def q_result_shape(spark, d):
+    """Segment counts, revenue-share map and ranking map in one row."""
+    return segment.segment_result_shape(fx.segments(spark, d))
