@@ -55,19 +55,25 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
                       weight: str | None = None, out: str = "rn",
                       rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                       sample_per_bucket: int = DEFAULT_SAMPLE_PER_BUCKET, seed: int = 42,
-                      n_rows: int | None = None) -> DataFrame:
+                      n_rows: int | None = None, offsets_from: DataFrame | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` in (partition, order) order.
 
-    With ``weight=None`` this is ``row_number()``. ``order_cols`` are
-    ascending; put a unique column last for a total order.
+    With ``weight=None`` this is ``row_number()`` (as bigint). ``order_cols``
+    are ascending; put a unique column last for a total order.
+
+    ``offsets_from`` is a frame with the same rows' key columns (and weight)
+    from which cut points and per-bucket totals are read; pass the stored
+    input when ``df`` carries an expensive lineage (for example earlier
+    ranks), so those branches do not recompute it.
     """
     order_cols, partition_cols = list(order_cols), list(partition_cols)
-    n = df.count() if n_rows is None else n_rows
+    src = df if offsets_from is None else offsets_from
+    n = src.count() if n_rows is None else n_rows
 
     def local_number(parts):
         w = (Window.partitionBy(*parts).orderBy(*order_cols) if parts else Window.orderBy(*order_cols))
         if weight is None:
-            return F.row_number().over(w)
+            return F.row_number().over(w).cast("bigint")
         return F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     if n <= rows_per_bucket:
@@ -79,7 +85,7 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
     target = sample_per_bucket * n_buckets
     fraction = min(1.0, 2.0 * target / n)
     # Sampling operator: the limit bounds what reaches the driver.
-    sample = df.select(*key_cols).sample(withReplacement=False, fraction=fraction, seed=seed) \
+    sample = src.select(*key_cols).sample(withReplacement=False, fraction=fraction, seed=seed) \
                .limit(4 * target).collect()
     keys = sorted((tuple(r) for r in sample), key=lambda r: _sort_key(r, len(key_cols)))
     cuts_vals = []
@@ -96,10 +102,10 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
     key = F.struct(*[F.col(c).cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(key_cols, types))])
     cuts = [_struct_lit(v, types) for v in cuts_vals]
     b = "_rank_bucket"
-    bucketed = df.withColumn(b, _bucket_expr(key, cuts, 0, len(cuts)))
-    local = bucketed.withColumn("_rank_local", local_number([b, *partition_cols]))
+    bucket = _bucket_expr(key, cuts, 0, len(cuts))
+    local = df.withColumn(b, bucket).withColumn("_rank_local", local_number([b, *partition_cols]))
     w_tot = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    totals = bucketed.groupBy(b, *partition_cols).agg(w_tot.alias("_rank_cnt"))
+    totals = src.withColumn(b, bucket).groupBy(b, *partition_cols).agg(w_tot.alias("_rank_cnt"))
     before = (Window.partitionBy(*partition_cols).orderBy(b) if partition_cols else Window.orderBy(b)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     # One row per (bucket, group): a global window here is bounded by the bucket count.
@@ -110,17 +116,17 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [b, *partition_cols])
     total = F.col("_rank_local") + F.col("_rank_off")
-    return joined.withColumn(out, total.cast("int") if weight is None else total) \
+    return joined.withColumn(out, total.cast("bigint") if weight is None else total) \
                  .drop(b, "_rank_local", "_rank_off")
 
 
 def exact_row_number(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                      out: str = "rn", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                      sample_per_bucket: int = DEFAULT_SAMPLE_PER_BUCKET, seed: int = 42,
-                     n_rows: int | None = None) -> DataFrame:
-    """``row_number() over (partition by partition_cols order by order_cols)``."""
+                     n_rows: int | None = None, offsets_from: DataFrame | None = None) -> DataFrame:
+    """``row_number() over (partition by partition_cols order by order_cols)``, as bigint."""
     return exact_running_sum(df, order_cols, partition_cols, None, out, rows_per_bucket,
-                             sample_per_bucket, seed, n_rows)
+                             sample_per_bucket, seed, n_rows, offsets_from)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],

@@ -38,11 +38,21 @@ def reference_date(tx: DataFrame, reference=None, date_col: str = "invoicedate")
     )
 
 
-def _with_reference(cust: DataFrame, reference, last_col: str = "last_purchase") -> DataFrame:
-    """Attach ``_ref_ts`` to a customer-level frame (scalar subquery)."""
+def _with_reference(cust: DataFrame, reference, tx: DataFrame | None = None, date_col: str = "invoicedate",
+                    last_col: str = "last_purchase") -> DataFrame:
+    """Attach ``_ref_ts`` (given date, or latest purchase + 1 day) as a scalar subquery.
+
+    The latest purchase is read from the transactions (``tx``) with a global
+    ``max``: a one-column scan with map-side partial aggregation, instead of
+    a second run of the customer aggregation.
+    """
     if reference is not None:
         return cust.withColumn("_ref_ts", _ref_literal(reference))
-    ref = cust.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("_ref_ts"))
+    if tx is not None:
+        src = tx.where(F.col("customerid").isNotNull()).select(as_timestamp(date_col).alias(last_col))
+    else:
+        src = cust
+    ref = src.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("_ref_ts"))
     return with_scalars(cust, ref)
 
 
@@ -53,7 +63,7 @@ def customer_last_purchase(tx: DataFrame, date_col: str = "invoicedate") -> Data
 
 def customer_recency(tx: DataFrame, reference=None, date_col: str = "invoicedate") -> DataFrame:
     """(customerid, recency) with recency = floor days since last purchase."""
-    cust = _with_reference(customer_last_purchase(tx, date_col), reference)
+    cust = _with_reference(customer_last_purchase(tx, date_col), reference, tx, date_col)
     return cust.select("customerid", floor_days("_ref_ts", "last_purchase").alias("recency"))
 
 
@@ -167,7 +177,7 @@ def rfm_base(tx: DataFrame, reference=None, date_col: str = "invoicedate") -> Da
         F.max(as_timestamp(date_col)).alias("last_purchase"),
         F.count_distinct("invoiceno").alias("frequency"),
         F.sum(_revenue(tx)).alias("monetary"))
-    cust = _with_reference(cust, reference)
+    cust = _with_reference(cust, reference, tx, date_col)
     return cust.where((F.col("frequency") > 0) & (F.col("monetary") > 0)).select(
         "customerid", floor_days("_ref_ts", "last_purchase").alias("recency"),
         "frequency", "monetary")

@@ -19,10 +19,11 @@ METRICS = ("recency", "frequency", "monetary")
 
 
 def global_rank(rfm: DataFrame, metric: str, out: str | None = None, id_col: str = "customerid",
-                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
+                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None,
+                offsets_from: DataFrame | None = None) -> DataFrame:
     """1-based rank of ``metric`` with ties broken by customer id."""
     return exact_row_number(rfm, [metric, id_col], out=out or f"{metric}_rank",
-                            rows_per_bucket=rows_per_bucket, n_rows=n_rows)
+                            rows_per_bucket=rows_per_bucket, n_rows=n_rows, offsets_from=offsets_from)
 
 
 def score_rfm(rfm: DataFrame, id_col: str = "customerid", q: int = 5,
@@ -32,7 +33,9 @@ def score_rfm(rfm: DataFrame, id_col: str = "customerid", q: int = 5,
     n = rfm.count()
     df = rfm
     for m in METRICS:
-        df = global_rank(df, m, f"_{m}_rn", id_col, rows_per_bucket, n_rows=n)
+        # Bucket totals come from the base table, not from the frame that
+        # already carries the earlier ranks' windows.
+        df = global_rank(df, m, f"_{m}_rn", id_col, rows_per_bucket, n_rows=n, offsets_from=rfm)
     nl = F.lit(n).cast("bigint")
     df = df.withColumns({
         "recency_score": (F.lit(q + 1) - quintile_bin("_recency_rn", nl, q)).cast("int"),
