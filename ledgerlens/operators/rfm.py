@@ -126,14 +126,25 @@ def recency_buckets(recency: DataFrame) -> DataFrame:
     )
 
 
-def recency_summary(tx_with_recency: DataFrame, recency: DataFrame) -> DataFrame:
-    """A11 summary row: transactions, customers, stats (median truncated), quartiles, buckets."""
-    st = recency_stats(recency)
+def recency_summary(tx: DataFrame, recency: DataFrame) -> DataFrame:
+    """A11 summary row: transactions, customers, stats, quartiles, buckets,
+    and the median truncated to whole days.
+
+    One exact quantile pass serves both the quartiles and the median (p50).
+    A left join of recency onto the transactions keeps their row count, so
+    the transactions are counted directly.
+    """
+    d = describe(recency, "recency", with_median=False)
+    st = d.select(F.col("count").alias("unique_customers"),
+                  F.col("min").cast("bigint").alias("recency_min"),
+                  F.col("max").cast("bigint").alias("recency_max"),
+                  F.col("mean").alias("recency_mean"), F.col("std").alias("recency_std"))
     q = recency_quartiles(recency)
     b = recency_buckets(recency).drop("unique_customers")
-    n_tx = tx_with_recency.agg(F.count(F.lit(1)).alias("total_transactions"))
+    n_tx = tx.agg(F.count(F.lit(1)).alias("total_transactions"))
     return one_row(n_tx, st, q, b) \
-               .withColumn("median_days", F.col("recency_median").cast("bigint"))
+        .withColumn("recency_median", F.col("p50")) \
+        .withColumn("median_days", F.col("p50").cast("bigint"))
 
 
 def finalize_recency(recency: DataFrame) -> DataFrame:

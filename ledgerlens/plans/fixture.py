@@ -36,14 +36,20 @@ def _memo(spark: SparkSession) -> dict:
     return memo
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw fixture plan, built once per session (a plan, not cached data)."""
+def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw fixture plan over the driver's tables, built once per session."""
     plans = _memo(spark).setdefault("_plans", {})
     if sf_dir not in plans:
         plans[sf_dir] = dirty_transactions(spark, sf_dir)
     return plans[sf_dir]
 
 
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw invoice lines as an uploaded file would be: derived once from
+    the driver's tables and stored as Parquet, then scanned by each query."""
+    return staged(spark, ("raw", sf_dir), lambda: raw_plan(spark, sf_dir))
+
+
 def step1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_step1(raw(spark, sf_dir))
 

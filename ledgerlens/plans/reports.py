@@ -113,9 +113,7 @@ def q_buckets(spark, d):
   CAST(quantile_cont(recency, 0.75) AS DOUBLE) AS p75, CAST(quantile_cont(recency, 1.0) AS DOUBLE) AS p100,
   {BUCKETS_SQL}, CAST(trunc(quantile_cont(recency, 0.5)) AS BIGINT) AS median_days FROM {RC} x""")
 def q_recency_summary(spark, d):
-    tx = fx.transactions(spark, d)
-    rec = rfm.customer_recency(tx)
-    return rfm.recency_summary(rfm.transactions_with_recency(tx, rec), rec)
+    return rfm.recency_summary(fx.transactions(spark, d), fx.recency(spark, d))
 
 
 @register("transactions_with_recency", f"""SELECT {TX_SQL.format(date=iso('t.invoicedate'))},
