@@ -649,3 +649,31 @@ def q_standardize(spark, d):
 def q_result_shape(spark, d):
     """Segment counts, revenue-share map and ranking map in one row."""
     return segment.segment_result_shape(fx.segments(spark, d))
+
+
+# ------------------------------------------------------------------ sinks read back
+
+def _sink_path(spark, name: str, d: str) -> str:
+    from ledgerlens.session import ensure_checkpoint_dir
+    tag = d.strip("/").replace("/", "_")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-sinks/{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
+@register("write_stage", f"SELECT {SCORE_SQL} FROM s")
+def q_write_stage(spark, d):
+    """The score stage written as Parquet and read back."""
+    from ledgerlens.sources import io
+    path = _sink_path(spark, "rfm_scores", d)
+    io.write_stage(_scores_out(fx.scores(spark, d), SCORE_COLS), path)
+    return io.read_stage(spark, path)
+
+
+@register("stage_summary", """SELECT count(*) AS total_customers, CAST(sum(monetary) AS DOUBLE) AS total_revenue,
+  count(DISTINCT segment) AS unique_segments FROM g""")
+def q_stage_summary(spark, d):
+    """The segment-stage summary written as JSON and read back."""
+    from ledgerlens.sources import io
+    path = _sink_path(spark, "customer_segments_summary", d)
+    io.write_summary(segment.segment_totals(fx.segments(spark, d)), path)
+    back = io.read_summary(spark, path)
+    return back.select("total_customers", "total_revenue", "unique_segments")
