@@ -121,11 +121,14 @@ def segments(spark: SparkSession, sf_dir: str, mode: str = "last_match") -> Data
                   lambda: segment.assign_segments(scores(spark, sf_dir), mode))
 
 
-def clear(spark: SparkSession) -> None:
+def clear(spark: SparkSession, keep_input: bool = False) -> None:
+    """Drop the session's stage tables; ``keep_input`` keeps the raw input
+    (the stand-in for an uploaded file) and the table plans."""
     memo = _memo(spark)
+    keep = {k: v for k, v in memo.items() if k == "_plans" or (keep_input and k[0] == "raw")}
     for key, df in memo.items():
-        if key != "_plans":
+        if key not in keep:
             df.unpersist()
-    plans = memo.get("_plans", {})
     memo.clear()
-    memo["_plans"] = plans
+    memo.update(keep)
+    memo.setdefault("_plans", {})
