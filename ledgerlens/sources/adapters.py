@@ -30,17 +30,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SPREAD_BYTES_PER_PARTITION = 1 << 20  # compressed input bytes; rows expand several-fold in memory
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Total size of the files behind a file scan (driver-side metadata only)."""
+    sc = df.sparkSession.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        path = sc._jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer splits than the cluster has cores.
 
-    A large table arrives in many splits and is left alone (no shuffle);
-    a small one stored as a single row group would otherwise run every
-    downstream narrow operator in one task.
+    A large table arrives in many splits and is left alone (no shuffle).
+    A small one stored as a single row group would otherwise run every
+    downstream narrow operator in one task; it is round-robin repartitioned
+    into at most one partition per core and per ~1 MB of input, so a small
+    file on a large cluster does not become thousands of tiny partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores:
+        return df
+    target = min(cores, max(1, -(-_input_bytes(df) // SPREAD_BYTES_PER_PARTITION)))
+    return df.repartition(target) if target > splits else df
 
 
 def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
