@@ -129,13 +129,15 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
-    """First ``n`` non-null values of each column (as text), long form.
+    """Up to ``n`` non-null sample values per column (as text), long form.
 
-    A preview: the limit is the feature, applied per column after a filter.
+    A preview: the limit is the feature. Spark has no file row order, so the
+    samples are each column's ``n`` smallest values (deterministic); each is
+    a per-partition top-n followed by a merge, not a full sort.
     """
     parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column_name"),
-                                                   F.col(c).cast("string").alias("value")).limit(n)
-             for c in df.columns]
+                                                   F.col(c).cast("string").alias("value"))
+             .orderBy("value").limit(n) for c in df.columns]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -146,4 +148,4 @@ def exploration(df: DataFrame) -> dict[str, DataFrame]:
     """Every exploration output over one input."""
     return {"data_types": data_types(df), "missing_values": missing_values(df),
             "duplicates": duplicate_counts(df), "invalid_values": invalid_values(df),
-            "column_profile": column_profile(df)}
+            "column_profile": column_profile(df), "sample_values": sample_values(df)}

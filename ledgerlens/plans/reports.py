@@ -677,3 +677,14 @@ def q_stage_summary(spark, d):
     io.write_summary(segment.segment_totals(fx.segments(spark, d)), path)
     back = io.read_summary(spark, path)
     return back.select("total_customers", "total_revenue", "unique_segments")
+
+
+SAMPLES_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM raw "
+    f"WHERE {c} IS NOT NULL ORDER BY value LIMIT 5) s{i}" for i, c in enumerate(RAW_COLS))
+
+
+@register("column_samples", SAMPLES_SQL)
+def q_column_samples(spark, d):
+    """Up to five non-null sample values per column of the raw input."""
+    return profile.sample_values(fx.raw(spark, d))
