@@ -113,8 +113,14 @@ def line_revenue(df: DataFrame, qty: str = "quantity", price: str = "unitprice",
 
 
 def customer_id_key(c: str = "customerid") -> Column:
-    """Numeric customer id (the reference reads numeric ids as numbers)."""
-    return F.trim(F.col(c).cast("string")).try_cast("bigint")
+    """Numeric customer id (the reference reads numeric ids as numbers).
+
+    Text such as ``"17850"`` or ``"17850.0"`` (how numeric ids with gaps are
+    often written out) becomes 17850. Ids that are not whole numbers give
+    null; use ``numeric_ids=False`` for alphanumeric ids.
+    """
+    x = F.trim(F.col(c).cast("string")).try_cast("decimal(38,6)")
+    return F.when(x == F.floor(x), x.cast("bigint"))
 
 
 # ---------------------------------------------------------------- pipelines

@@ -121,3 +121,14 @@ def test_validate_rfm_base(spark):
     assert not r.is_valid and r.null_values == 1
     r = rfm.validate_rfm_base(ok.drop("monetary")).first()
     assert not r.is_valid and "monetary" in r.message
+
+
+def test_customer_id_text_forms(spark):
+    rows = [("1", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), "17850.0", "UK"),
+            ("2", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), " 17851 ", "UK"),
+            ("3", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), "17852.5", "UK")]
+    ids = sorted((r.customerid for r in clean.clean_transactions(_raw(spark, rows)).collect()),
+                 key=lambda v: (v is None, v))
+    assert ids == [17850, 17851, None]
+    text = clean.clean_transactions(_raw(spark, rows), numeric_ids=False).select("customerid").collect()
+    assert sorted(r.customerid for r in text) == [" 17851 ", "17850.0", "17852.5"]
