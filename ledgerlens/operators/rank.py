@@ -5,8 +5,10 @@ inputs above ``rows_per_bucket`` rows we instead:
 
 1. draw a bounded Bernoulli sample of the composite sort key
    (partition columns, order columns) and pick evenly spaced cut keys;
-2. give each row a bucket = number of cut keys below its key (a balanced
-   CASE tree over literal keys, log2(P) comparisons per row);
+2. give each row a bucket = number of cut keys below its key: a balanced
+   CASE tree over literal keys for up to 31 cuts; beyond that a coarse
+   tree over every 16th cut and a broadcast lookup of that group's cuts
+   (log2(P) comparisons per row, small generated code for any P);
 3. number rows inside ``(bucket, group)`` with a partitioned window;
 4. add the count of same-group rows in earlier buckets (a table with one
    row per (bucket, group)), joined back by broadcast when its size is
@@ -51,6 +53,42 @@ def _bucket_expr(key: Column, cuts: list[Column], lo: int, hi: int) -> Column:
     return F.when(key > cuts[mid], _bucket_expr(key, cuts, mid + 1, hi)).otherwise(_bucket_expr(key, cuts, lo, mid))
 
 
+FLAT_CUTS = 31   # up to this many cut keys, one literal tree
+GROUP = 16       # above it: a coarse tree over every 16th cut, then 15 cuts per group
+
+
+def _with_bucket(df: DataFrame, key_cols: Sequence[str], cuts_vals: list, types: Sequence[str],
+                 out: str) -> DataFrame:
+    """Add ``out`` = number of cut keys strictly below each row's key.
+
+    Few cuts: one balanced CASE tree over literal keys. Many cuts: a coarse
+    tree over every 16th cut picks a group; the group's 15 cuts arrive by a
+    broadcast join on the group id (at most 33 rows) and a fixed 15-node
+    tree over that array finishes the count. Generated code therefore stays
+    small for any number of buckets.
+    """
+    key = F.struct(*[F.col(c).cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(key_cols, types))])
+    m = len(cuts_vals)
+    if m <= FLAT_CUTS:
+        return df.withColumn(out, _bucket_expr(key, [_struct_lit(v, types) for v in cuts_vals], 0, m))
+    coarse_vals = [cuts_vals[i] for i in range(GROUP - 1, m, GROUP)]
+    coarse = _bucket_expr(key, [_struct_lit(v, types) for v in coarse_vals], 0, len(coarse_vals))
+    struct_t = ", ".join(f"k{i}: {t}" for i, t in enumerate(types))
+    groups = [(c, [tuple(v) for v in cuts_vals[c * GROUP: min(c * GROUP + GROUP - 1, m)]])
+              for c in range(len(coarse_vals) + 1)]
+    fine = df.sparkSession.createDataFrame(groups, f"_grp int, _fine array<struct<{struct_t}>>")
+
+    def fine_expr(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        cut = F.try_element_at(F.col("_fine"), F.lit(mid + 1))  # null past the end: counts as +infinity
+        return F.when(key > cut, fine_expr(mid + 1, hi)).otherwise(fine_expr(lo, mid))
+
+    with_grp = df.withColumn("_grp", coarse.cast("int")).join(F.broadcast(fine), "_grp")  # <= 33 rows
+    return with_grp.withColumn(out, F.col("_grp") * GROUP + fine_expr(0, GROUP - 1)).drop("_grp", "_fine")
+
+
 def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
                       weight: str | None = None, out: str = "rn",
                       rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
@@ -99,19 +137,18 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
         return df.withColumn(out, local_number(partition_cols))
 
     types = [dict(df.dtypes)[c] for c in key_cols]
-    key = F.struct(*[F.col(c).cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(key_cols, types))])
-    cuts = [_struct_lit(v, types) for v in cuts_vals]
     b = "_rank_bucket"
-    bucket = _bucket_expr(key, cuts, 0, len(cuts))
-    local = df.withColumn(b, bucket).withColumn("_rank_local", local_number([b, *partition_cols]))
+    local = _with_bucket(df, key_cols, cuts_vals, types, b) \
+        .withColumn("_rank_local", local_number([b, *partition_cols]))
     w_tot = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    totals = src.withColumn(b, bucket).groupBy(b, *partition_cols).agg(w_tot.alias("_rank_cnt"))
+    totals = _with_bucket(src, key_cols, cuts_vals, types, b) \
+        .groupBy(b, *partition_cols).agg(w_tot.alias("_rank_cnt"))
     before = (Window.partitionBy(*partition_cols).orderBy(b) if partition_cols else Window.orderBy(b)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     # One row per (bucket, group): a global window here is bounded by the bucket count.
     offsets = totals.select(b, *partition_cols,
                             F.coalesce(F.sum("_rank_cnt").over(before), F.lit(0)).alias("_rank_off"))
-    n_offsets = len(cuts) + 1 if not partition_cols else offsets.count()
+    n_offsets = len(cuts_vals) + 1 if not partition_cols else offsets.count()
     if n_offsets <= BROADCAST_OFFSET_ROWS:
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [b, *partition_cols])

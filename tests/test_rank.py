@@ -74,3 +74,16 @@ def test_exact_quantiles_ignores_nulls_and_empty(spark):
     assert exact_quantiles(df, "v", [0.5], names=["m"]).first().m is None
     df2 = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
     assert exact_quantiles(df2, "v", [0.5], names=["m"]).first().m == 2.0
+
+
+def test_two_level_buckets_equal_window(spark):
+    """More than 31 cut keys: coarse tree + broadcast group lookup."""
+    df = _frame(spark)
+    plain = df.withColumn("rn0", F.row_number().over(Window.orderBy("v", "id")))
+    got = exact_row_number(plain, ["v", "id"], rows_per_bucket=40, sample_per_bucket=16)  # 75 buckets
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_fine" in plan
+    assert all(r.rn == r.rn0 for r in got.select("rn", "rn0").collect())
+    grouped = df.withColumn("rn0", F.row_number().over(Window.partitionBy("g").orderBy("m", "id")))
+    got = exact_row_number(grouped, ["m", "id"], ["g"], rows_per_bucket=40, sample_per_bucket=16)
+    assert all(r.rn == r.rn0 for r in got.select("rn", "rn0").collect())
