@@ -55,7 +55,7 @@ def segment_metrics(seg: DataFrame) -> DataFrame:
 def segment_ranking(metrics: DataFrame) -> DataFrame:
     """Segments ranked by total revenue (descending, ties by name)."""
     return metrics.select("segment", "total_revenue", F.row_number().over(
-        Window.orderBy(F.desc("total_revenue"), "segment")).alias("segment_rank"))
+        Window.orderBy(F.desc("total_revenue"), "segment")).cast("bigint").alias("segment_rank"))
 
 
 def segment_totals(seg: DataFrame) -> DataFrame:
