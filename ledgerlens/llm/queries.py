@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing, simhash, substrings, token_files, url_rules
+from ledgerlens.llm import decontamination, packing, simhash, substrings, token_files, url_rules
 from ledgerlens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
