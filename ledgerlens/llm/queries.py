@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, packing, simhash, substrings, token_files, url_rules
+from ledgerlens.llm import decontamination, packing, quality, simhash, substrings, token_files, url_rules
 from ledgerlens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
