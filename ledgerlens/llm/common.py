@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +21,7 @@ from ledgerlens.session import ensure_checkpoint_dir
 BATCH_BYTES = 4 << 20
 #: Entries of a worker's word caches; a full cache is emptied, which changes no result.
 CACHE_WORDS = 400_000
+PLAIN = re.compile(r"[\W_]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +144,37 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def gram_buckets(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of each word (itself first, then its character n-grams with marked ends) end to end, and bounds."""
+    plain = [("<" + PLAIN.sub("", w.decode("utf-8", "replace").lower()) + ">").encode("utf-32-le") for w in words]
+    size = np.array([len(p) // 4 for p in plain], np.int64)
+    code = np.frombuffer(b"".join(plain), "<u4").astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    n = len(code)
+    left = np.repeat(starts[1:], size) - np.arange(n)
+    word = np.repeat(np.arange(len(words)), size)
+    rolled = np.zeros(n, np.uint64)
+    whole = np.zeros(len(words), np.uint64)
+    parts, owners = [], []
+    for k in range(1, max(sizes) + 1):
+        shifted = np.r_[code[k - 1:], np.zeros(min(n, k - 1), np.uint64)][:n]
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(1)
+        if k in sizes:
+            inside = left >= k
+            parts.append(rolled[inside] ^ np.uint64(k))
+            owners.append(word[inside])
+    if n:
+        place = np.arange(n) - np.repeat(starts[:-1], size)
+        powers = np.cumprod(np.full(int(size.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
+        whole = np.add.reduceat((code + np.uint64(7)) * powers[place], starts[:-1])
+    keys = np.concatenate([whole, *parts])
+    owner = np.concatenate([np.arange(len(words)), *owners])
+    keys ^= keys >> np.uint64(31)
+    keys *= np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(owner, kind="stable")
+    return ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
 def slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     """``op`` over each ``width`` consecutive values, by doubling."""
     done = 1

@@ -15,7 +15,6 @@ a task holds is bounded however many items there are.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_WORDS, as_bytes, groups, scratch, split_words, written
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, scratch, split_words, written
 
-PLAIN = re.compile(r"[\W_]+")
 MATCH, MISS = 2, -1
 HITS = "doc_id long, item_id long, score double, matched_words int, start_word int, end_word int"
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerlens.llm.common import CACHE_WORDS, WordHashes, as_bytes, fold, groups, mix, split_words
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, WordHashes, as_bytes, fold, groups, mix, split_words
 from ledgerlens.llm.training import Adam, labelled_sample, sigmoid
 
 PASSAGE = 64
@@ -31,7 +31,7 @@ def shape(word: bytes) -> list[float]:
     w = word.decode("utf-8", "replace")
     letters = sum(map(str.isalpha, w))
     marks = sum(not c.isalnum() for c in w)
-    sign = xxh64_intdigest(re.sub(r"[\W_]+", "", w.lower()), 3)
+    sign = xxh64_intdigest(PLAIN.sub("", w.lower()), 3)
     return [len(w) / 8, float(len(w) > 16), float(letters > 1 and w.isupper()), float(w[:1].isupper()), float(any(map(str.isdigit, w))),
             marks / len(w), float(letters == 0), float(w[-1] in ".!?"), float(w[-1] in ",;:"), float(bool(RUN.search(w))),
             float("@" in w or "://" in w), float(w.isdigit()), float(len(set(w)) <= 2 and len(w) > 3), float(not w.isascii()),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, packing, quality, simhash, substrings, token_files, toxicity, url_rules
+from ledgerlens.llm import decontamination, language, packing, quality, simhash, substrings, token_files, toxicity, url_rules
 from ledgerlens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs, language.train(docs))

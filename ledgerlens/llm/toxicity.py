@@ -9,7 +9,6 @@ is its highest window's. The network is trained in numpy, by back-propagation th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, groups, split_words
+from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, gram_buckets, groups, split_words
 from ledgerlens.llm.training import Adam, labelled_sample, sigmoid
 
 WINDOW, STRIDE = 32, 16
@@ -25,42 +24,10 @@ BUCKETS = 1 << 19
 GRAMS = (3, 4, 5, 6)
 INPUTS = 8
 LEAN = 6
-PLAIN = re.compile(r"[\W_]+")
 #: Windows that go through the network together.
 TOGETHER = 4_096
 
 
-def bucket_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word (itself first, then its character n-grams with marked ends) end to end, and bounds."""
-    plain = [("<" + PLAIN.sub("", w.decode("utf-8", "replace").lower()) + ">").encode("utf-32-le") for w in words]
-    size = np.array([len(p) // 4 for p in plain], np.int64)
-    code = np.frombuffer(b"".join(plain), "<u4").astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(size)])
-    n = len(code)
-    left = np.repeat(starts[1:], size) - np.arange(n)
-    word = np.repeat(np.arange(len(words)), size)
-    rolled = np.zeros(n, np.uint64)
-    whole = np.zeros(len(words), np.uint64)
-    parts, owners = [], []
-    for k in range(1, max(GRAMS) + 1):
-        shifted = np.r_[code[k - 1:], np.zeros(min(n, k - 1), np.uint64)][:n]
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(1)
-        if k in GRAMS:
-            inside = left >= k
-            parts.append(rolled[inside] ^ np.uint64(k))
-            owners.append(word[inside])
-    if n:
-        place = np.arange(n) - np.repeat(starts[:-1], size)
-        powers = np.cumprod(np.full(int(size.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
-        whole = np.add.reduceat((code + np.uint64(7)) * powers[place], starts[:-1])
-    keys = np.concatenate([whole, *parts])
-    owner = np.concatenate([np.arange(len(words)), *owners])
-    keys ^= keys >> np.uint64(31)
-    keys *= np.uint64(0xC2B2AE3D27D4EB4F)
-    order = np.argsort(owner, kind="stable")
-    return ((keys >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-
-
 def leanings(pairs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Of each bucket the log ratio of its share of toxic and of clean documents, one standard
     error nearer to zero. ``pairs`` has the distinct buckets of each document."""
@@ -83,7 +50,7 @@ class Words(dict):
     def _learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), 50_000):
             some = words[a:a + 50_000]
-            buckets, bounds = bucket_rows(some)
+            buckets, bounds = gram_buckets(some, GRAMS, BUCKETS)
             lean = self.table_of[buckets]
             first = lean[bounds[:-1]]
             own = lean.copy()
@@ -289,7 +256,7 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, epochs: int = 5) -> Det
         own = list(dict.fromkeys(text.split()))
         fresh = [w for w in own if w not in buckets]
         if fresh:
-            flat, bounds = bucket_rows(fresh)
+            flat, bounds = gram_buckets(fresh, GRAMS, BUCKETS)
             buckets.update((w, flat[a:b]) for w, a, b in zip(fresh, bounds[:-1], bounds[1:]))
         pairs.append(np.unique(np.concatenate([buckets[w] for w in own])) if own else np.empty(0, np.int64))
     half = rng.permutation(len(texts)) % 2
