@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, language, packing, quality, simhash, substrings, token_files, toxicity, url_rules
+from ledgerlens.llm import decontamination, language, packing, perplexity, quality, simhash, substrings, token_files, toxicity, url_rules
 from ledgerlens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs, language.train(docs))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")

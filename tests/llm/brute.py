@@ -82,3 +82,20 @@ def token_rows(rows, tokenizer, end):
         out.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def base_rules(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    w = words(text)
+    windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    often = {}
+    for x in windows:
+        often[x] = often.get(x, 0) + 1
+    covered = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(3)}
+    seen, doubled = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            doubled += line in seen
+            seen.add(line)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), doubled, len(covered),
+            len(w) < 50 or 100 * len(covered) > 50 * len(w))
