@@ -6,7 +6,8 @@ import os
 import posixpath
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, count)
 
 
+def known(words: list[bytes], index: dict[bytes, int], learn: Callable[[list[bytes]], None]) -> np.ndarray:
+    """Each word's number in ``index``; ``learn`` is given the distinct words that are not in it, and adds them."""
+    at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+    fresh = np.flatnonzero(at < 0).tolist()
+    if fresh:
+        some = [words[i] for i in fresh]
+        learn(list(dict.fromkeys(some)))
+        at[fresh] = np.fromiter(map(index.__getitem__, some), np.int64, len(some))
+    return at
+
+
 def split_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, end to end, and the bounds of
     each text's words (one more than texts). ``bytes.split`` cuts at exactly those."""

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import brute
@@ -35,7 +36,7 @@ def test_file_format(spark, messy, messy_pairs, tokenizer):
     manifest = token_files.write_token_files(messy.filter("doc_id is not null").dropDuplicates(["doc_id"]), uri, partitions=4)
     ids, offsets = [], []
     for r in sorted(manifest.collect()):
-        flat, own = map_file(f"{uri}/ids-{r.part:05d}.bin", "<u4"), map_file(f"{uri}/offsets-{r.part:05d}.bin", "<u8")
+        flat, own = map_file(f"{uri}/ids-{r.part:05d}.bin", "<u2"), map_file(f"{uri}/offsets-{r.part:05d}.bin", "<u8")
         assert int(own[0]) == len(ids) and int(own[-1]) == len(ids) + len(flat) and len(own) == r.n_docs + 1
         ids += flat.tolist()
         offsets += own[:-1].tolist()
@@ -52,6 +53,18 @@ def test_small_cache_changes_nothing(messy_pairs, tokenizer):
         assert flat[bounds[1]:].tolist() == [7]
 
 
+def test_odd_words_are_encoded_as_the_whole_tokenizer_does(tokenizer):
+    own = token_files.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(4)
+    pool = "abcXYZ019'.,!?-_|<>#ßÀÉéñüÿ×÷İǆﬁ中文字한글🙂\u0301\u00ad\u0085\u2028\x1c\x00`~@µª²½" + "".join(map(chr, range(33, 127)))
+    words = ["".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(6_000)]
+    words += ["don't", "I'll'd", "''s", "<|endoftext|>", "a<|startoftext|>b", "<|", "it's.it's", "x" * 300, "é" * 40]
+    for a in range(0, len(words), 50):
+        text = " ".join(words[a:a + 50])
+        flat, _ = own.encode([text.encode()], 1)
+        assert flat[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, words[a:a + 50]
+
+
 def check_packing(found, docs, tokenizer, capacity):
     expected = []
     for doc, text in docs:
