@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, gram_buckets, groups, split_words
+from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, gram_buckets, groups, known, split_words
 from ledgerlens.llm.training import labelled_sample
 
 UNKNOWN = "und"
@@ -144,14 +144,15 @@ class Labeller:
     def words(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        fresh = list(dict.fromkeys(w for w in words if w not in self.index))
-        for a in range(0, len(fresh), 50_000):
-            some = fresh[a:a + 50_000]
+        return known(words, self.index, self._learn)
+
+    def _learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 50_000):
+            some = words[a:a + 50_000]
             scores, letters = self.languages.word_scores(some)
             base = len(self.index)
             self.index.update((w, base + i) for i, w in enumerate(some))
             self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[bytes | None]) -> list[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""

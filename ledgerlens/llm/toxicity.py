@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, gram_buckets, groups, split_words
+from ledgerlens.llm.common import CACHE_WORDS, as_bytes, fold, gram_buckets, groups, known, split_words
 from ledgerlens.llm.training import Adam, labelled_sample, sigmoid
 
 WINDOW, STRIDE = 32, 16
@@ -72,10 +72,7 @@ class Words(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
             self.rows = self.rows[:0]
-        fresh = list(dict.fromkeys(w for w in words if w not in self))
-        if fresh:
-            self._learn(fresh)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return known(words, self, self._learn)
 
 
 class Network:
