@@ -133,6 +133,7 @@ class Attention:
         """``prior``: share of label 1 among all labelled rows; the sample is balanced, so scores are moved back to it."""
         self.mean, self.std = x.mean(0), x.std(0) + 1e-3
         steps, r = Adam(self.w, 0.01), np.random.default_rng(seed)
+        epochs = max(epochs, -(-400 // max(1, len(y) // batch)))  # few rows are few steps an epoch
         for epoch in range(epochs):
             steps.rate = 0.01 * (1 - epoch / epochs) + 5e-4
             for some in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
