@@ -3,8 +3,9 @@
 Model: modified Kneser-Ney over the ``ORDER`` last characters, one model for each language. Spark
 counts the n-grams of all documents; counts of lower orders are continuation counts (how many
 characters stand before), three discounts for each order come from the counts of counts, and each
-order is interpolated with the one below, all as DataFrame joins. The finished probabilities are
-written as sorted arrays of 64-bit n-gram hashes beside their logarithms, in files that each hold a
+order is interpolated with the one below, all as DataFrame joins. N-grams that occur once are left
+to the order below: a document must not be likely for what only it holds. The finished
+probabilities and back-off weights are written as sorted arrays of 64-bit n-gram hashes beside their logarithms, in files that each hold a
 range of hashes, at most about ``SHARD`` of them. Scoring tasks map the files they need and look up
 each batch's distinct n-grams by binary search, so memory does not grow with the model.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ SHARD = 2_000_000
 START = 2
 #: Entries that a counting task gathers before it hands them on.
 GATHERED = 400_000
-#: Log probability of an n-gram that the model lacks (none, if it was counted on the same documents).
+#: Log probability of a character in a language that the model lacks.
 UNSEEN = -14.0
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SYMBOLS = "#*$%&|<>"
@@ -114,12 +116,18 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
+GRAM, CONTEXT = "g", "c"
+
+
 def kneser_ney(counted: DataFrame) -> DataFrame:
-    """(lang, gram, logp): the probability of each counted n-gram's last character after the others."""
-    levels = {ORDER: counted}
+    """(lang, key, log): for each n-gram of 1 to ``ORDER`` characters that occurs twice, key
+    ``g`` + n-gram, the probability of its last character after the others; for each context,
+    key ``c`` + context, the weight of the order below, at the empty context that of one unknown character.
+    """
+    levels = {ORDER: counted.select("lang", "gram", "c", F.col("c").alias("n"))}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-    below = None
+        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    out, below = [], None
     for k in range(1, ORDER + 1):
         level = levels[k]
         several = level.groupBy("lang").agg(*(F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)),
@@ -128,34 +136,35 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
         # a discount that the counts cannot give (too few n-grams) is 0.5, and none leaves its range
         discount = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(0.5)))).alias(f"d{i}")
                     for i in (1, 2, 3)]
-        context = F.substring("gram", 1, k - 1).alias("context")
-        totals = level.groupBy("lang", context).agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("a1"), F.count_if(F.col("c") == 2).alias("a2"),
-                                                    F.count_if(F.col("c") >= 3).alias("a3"))
-        totals = totals.join(several.select("lang", "v", *discount), "lang").select(
-            "lang", "context", "total", "d1", "d2", "d3", "v",
-            ((F.col("d1") * F.col("a1") + F.col("d2") * F.col("a2") + F.col("d3") * F.col("a3")) / F.col("total")).alias("left"))
         lost = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        found = level.withColumn("context", context).join(totals, ["lang", "context"])
-        own = F.greatest(F.col("c") - lost, F.lit(0.0)) / F.col("total")
+        stays = F.lit(True) if k == 1 else F.col("n") > 1
+        rows = (level.join(several.select("lang", "v", *discount), "lang")
+                .select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), "c", "v", stays.alias("stays"),
+                        F.greatest(F.col("c") - lost, F.lit(0.0)).alias("mass")))
+        totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("stays"), F.col("mass")).otherwise(0.0)).alias("held"),
+                                                     F.max("v").alias("v"))
+        totals = totals.select("lang", "context", "total", (F.greatest(F.lit(1e-9), 1 - F.col("held") / F.col("total")) / (F.col("v") if k == 1 else 1)).alias("left"))
+        found = rows.filter("stays").join(totals, ["lang", "context"]).select("lang", "gram", (F.col("mass") / F.col("total")).alias("own"), "left")
         if below is None:
-            found = found.select("lang", "gram", (own + F.col("left") / F.col("v")).alias("p"))
+            below = found.select("lang", "gram", (F.col("own") + F.col("left")).alias("p"))
         else:
             lower = below.select("lang", F.col("gram").alias("ending"), F.col("p").alias("q"))
-            found = (found.withColumn("ending", F.substring("gram", 2, k - 1)).join(lower, ["lang", "ending"])
-                     .select("lang", "gram", (own + F.col("left") * F.col("q")).alias("p")))
-        below = found
-    return below.select("lang", "gram", F.log("p").cast("float").alias("logp"))
+            below = (found.withColumn("ending", F.substring("gram", 2, k - 1)).join(lower, ["lang", "ending"])
+                     .select("lang", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p")))
+        out.append(below.select("lang", F.concat(F.lit(GRAM), "gram").alias("key"), F.log("p").cast("float").alias("log")))
+        out.append(totals.filter("left < 1").select("lang", F.concat(F.lit(CONTEXT), "context").alias("key"), F.log("left").cast("float").alias("log")))
+    return reduce(DataFrame.unionByName, out)
 
 
-def gram_hash(lang: str, gram: str) -> int:
-    return xxh64_intdigest(f"{lang}\x00{gram}".encode(), 42)
+def key_hash(lang: str, key: str) -> int:
+    return xxh64_intdigest(f"{lang}\x00{key}".encode(), 42)
 
 
 def write_model(model: DataFrame, uri: str) -> int:
     """Write the sorted hash arrays: file s holds the hashes whose upper 32 bits, times files, over 2^32 is s."""
     n = max(1, -(-model.count() // SHARD))
-    upper = F.shiftrightunsigned(F.xxhash64(F.concat("lang", F.lit("\x00"), "gram")), 32)
-    rows = model.select(F.xxhash64(F.concat("lang", F.lit("\x00"), "gram")).alias("key"), "logp", F.shiftright(upper * n, 32).cast("int").alias("shard"))
+    hashed = F.xxhash64(F.concat("lang", F.lit("\x00"), "key"))
+    rows = model.select(hashed.alias("hash"), "log", F.shiftright(F.shiftrightunsigned(hashed, 32) * n, 32).cast("int").alias("shard"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = [np.empty(0, np.uint64)], [np.empty(0, np.float32)]
@@ -187,8 +196,10 @@ class Model:
             self.files[shard] = map_file(f"{self.uri}/keys-{shard}", "<u8"), map_file(f"{self.uri}/logs-{shard}", "<f4")
         return self.files[shard]
 
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), UNSEEN)
+    def stored(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        """The logarithms of (lang, key), nan where there is none."""
+        key = np.fromiter((key_hash(*p) for p in pairs), np.uint64, len(pairs))
+        out = np.full(len(key), np.nan)
         order = np.argsort(key)
         shard = ((key[order] >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)
         new = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(key) else np.empty(0, np.int64)
@@ -201,6 +212,25 @@ class Model:
                 out[at[hit]] = logs[place[hit]]
         return out
 
+    def logs(self, grams: list[tuple[str, str]]) -> np.ndarray:
+        """Log probability of the last character of each (lang, gram): the longest stored ending's,
+        and the weights of the contexts above it."""
+        out, weight = np.full(len(grams), UNSEEN), np.zeros(len(grams))
+        rest = np.arange(len(grams))
+        for k in range(ORDER, 0, -1):
+            own = [(grams[i][0], grams[i][1][ORDER - k:]) for i in rest.tolist()]
+            found = self.stored([(lang, GRAM + g) for lang, g in own])
+            hit = ~np.isnan(found)
+            out[rest[hit]] = weight[rest[hit]] + found[hit]
+            rest = rest[~hit]
+            if not len(rest):
+                break
+            less = self.stored([(lang, CONTEXT + g[:-1]) for (lang, g), h in zip(own, hit.tolist()) if not h])
+            if k == 1:  # a character that the language lacks
+                out[rest] = np.where(np.isnan(less), UNSEEN, weight[rest] + less)
+            weight[rest] += np.nan_to_num(less)
+        return out
+
 
 def base_rules(texts: list[bytes | None], text: Characters, hashes: WordHashes) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
@@ -255,7 +285,7 @@ def measure(docs: DataFrame, uri: str, shards: int) -> DataFrame:
                 pairs = list(zip(lang, grams))
                 fresh = [p for p in pairs if p not in known]
                 if fresh:
-                    known.update(zip(fresh, model.logs(np.fromiter((gram_hash(*p) for p in fresh), np.uint64, len(fresh))).tolist()))
+                    known.update(zip(fresh, model.logs(fresh).tolist()))
                 logs = np.fromiter(map(known.__getitem__, pairs), np.float64, len(pairs))[of] if len(of) else np.empty(0)
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[text.bounds])
                 mean += [-s / n if n else None for s, n in zip(sums.tolist(), text.size.tolist())]
