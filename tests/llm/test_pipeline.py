@@ -1,0 +1,68 @@
+"""The pipeline's stages, each against a plain version on its own input."""
+
+import brute
+import corpus_pipeline as P
+import pytest
+
+from ledgerlens.llm import decontamination, quality
+from ledgerlens.llm.common import scratch, table, written
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf001):
+    docs = [table(spark, sf001, "documents")]
+    for name, stage in P.STAGES:
+        docs.append(written(stage(spark, docs[-1], sf001), scratch(spark, name)))
+    return docs
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_stage_names_and_columns(stages):
+    assert [n for n, _ in P.STAGES] == ["quality_classifier", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
+    assert all(d.dtypes == stages[0].dtypes for d in stages[1:5])
+    assert P.ORACLE_SQL is None
+
+
+def test_quality_stage(spark, sf001, stages):
+    docs = stages[0]
+    scored = quality.score(docs, quality.train(docs, table(spark, sf001, "labels"))).collect()
+    assert set(texts(stages[1])) == {r.doc_id for r in scored if r.predicted}
+
+
+def test_simhash_stage(stages):
+    groups = brute.simhash_components(list(texts(stages[1]).items()))
+    assert set(texts(stages[2])) == {d for d, (_, c) in groups.items() if d == c}
+
+
+def test_substring_stage(stages):
+    before, after = texts(stages[2]), texts(stages[3])
+    expected = brute.substring_dedup(list(before.items()))
+    assert before.keys() == after.keys()
+    for doc, (n, gone, _) in expected.items():
+        assert (after[doc] == before[doc]) if not gone else len(brute.words(after[doc])) == n - gone
+    assert all(r.n_chars == len(r.text) for r in stages[3].collect() if expected[r.doc_id][1])
+
+
+def test_decontamination_stage(spark, sf001, stages):
+    hits = {r.doc_id for r in decontamination.contaminated(stages[3], table(spark, sf001, "benchmark")).collect()}
+    assert texts(stages[4]).keys() == texts(stages[3]).keys() - hits
+
+
+def test_packing_stage_and_run(spark, sf001, stages):
+    pieces = stages[5].collect()
+    assert {r.doc_id for r in pieces} == set(texts(stages[4]))
+    key = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(tuple(r[k] for k in key) for r in P.run(spark, sf001).collect()) == sorted(tuple(r[k] for k in key) for r in pieces)
+
+
+def test_stages_on_odd_rows(spark, sf001, messy, nothing):
+    for docs in (messy, nothing):
+        for name, stage in P.STAGES:
+            out = written(stage(spark, docs, sf001), scratch(spark, name))
+            if name != "best_fit_packing":
+                assert out.dtypes == docs.dtypes
+            docs = out
+        assert docs.count() or docs.dtypes
