@@ -7,20 +7,14 @@ from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
-# Text tokens that mean "missing" when reading raw text.
-NULL_TOKENS = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>"]
-
-# Date formats tried in order when parsing raw invoice dates.
-DEFAULT_DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy",
-]
+# Text tokens that mean "missing" when reading raw text (as pandas reads CSV).
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+# Date text: year first (ISO, with or without time, fraction and zone), or month/day/year.
+YEAR_FIRST = r"^\s*\d{4}-\d"
+SLASH_LONG = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
+SLASH_SHORT = r"^\s*\d{1,2}/\d{1,2}/\d{2}(\D|$)"
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -30,16 +24,26 @@ def col_(c: str | Column) -> Column:
 
 
 def normalise_missing(c: str | Column) -> Column:
-    """Map any of :data:`NULL_TOKENS` (after trimming) to null."""
+    """Map any of :data:`NULL_TOKENS` to null."""
     c = col_(c)
-    return F.when(F.trim(c).isin(NULL_TOKENS), F.lit(None)).otherwise(c)
+    return F.when(c.isin(NULL_TOKENS), F.lit(None)).otherwise(c)
 
 
 def parse_timestamp(c: str | Column, formats: list[str] | None = None) -> Column:
-    """First format that parses wins; unparseable text becomes null."""
+    """Text to timestamp, in UTC where the text names a zone; other text becomes null.
+
+    One pattern test picks the parser, so a row is parsed once: a general
+    cast for year-first text (``2010-12``, ``2010-12-01T08:26:00.123Z``), or
+    month/day/year with a two- or four-digit year and an optional time.
+    ``formats`` replaces both: the first that parses wins.
+    """
     c = col_(c)
-    fmts = formats or DEFAULT_DATE_FORMATS
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in fmts])
+    if formats:
+        return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    trimmed = F.trim(c)
+    return (F.when(c.rlike(YEAR_FIRST), trimmed.try_cast("timestamp"))
+             .when(c.rlike(SLASH_LONG), F.try_to_timestamp(trimmed, F.lit("M/d/yyyy[ H:mm[:ss]]")))
+             .when(c.rlike(SLASH_SHORT), F.try_to_timestamp(trimmed, F.lit("M/d/yy[ H:mm[:ss]]"))))
 
 
 def as_timestamp(c: str | Column) -> Column:
@@ -58,10 +62,6 @@ def pct(part: str | Column, whole: str | Column) -> Column:
     return F.try_divide(col_(part).cast("double") * F.lit(100), col_(whole).cast("double"))
 
 
-def ratio(part: str | Column, whole: str | Column) -> Column:
-    return F.try_divide(col_(part).cast("double"), col_(whole).cast("double"))
-
-
 def money(c: str | Column) -> Column:
     """Decimal money as plain double for output (exact sums are done in decimal)."""
     return col_(c).cast("double")
@@ -85,7 +85,3 @@ def quintile_bin(rn: str | Column, n: str | Column, q: int = 5) -> Column:
 
 def iso_string(c: str | Column) -> Column:
     return F.date_format(as_timestamp(c), ISO_SECONDS)
-
-
-def round_half_even(c: str | Column, digits: int = 2) -> Column:
-    return F.bround(col_(c).cast("double"), digits)

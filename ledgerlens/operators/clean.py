@@ -113,14 +113,11 @@ def line_revenue(df: DataFrame, qty: str = "quantity", price: str = "unitprice",
 
 
 def customer_id_key(c: str = "customerid") -> Column:
-    """Numeric customer id (the reference reads numeric ids as numbers).
-
-    Text such as ``"17850"`` or ``"17850.0"`` (how numeric ids with gaps are
-    often written out) becomes 17850. Ids that are not whole numbers give
-    null; use ``numeric_ids=False`` for alphanumeric ids.
+    """Customer id as text: every present id is kept as given, without spaces
+    around it. Whole numbers written with a fraction (``17850.0``, as numeric
+    ids with gaps are often written out) lose it, so both forms are one customer.
     """
-    x = F.trim(F.col(c).cast("string")).try_cast("decimal(38,6)")
-    return F.when(x == F.floor(x), x.cast("bigint"))
+    return F.regexp_replace(F.trim(F.col(c).cast("string")), r"^(-?\d+)\.0+$", "$1")
 
 
 # ---------------------------------------------------------------- pipelines
@@ -130,22 +127,17 @@ def clean_step1(raw: DataFrame) -> DataFrame:
     return drop_missing_customers(dedupe(raw))
 
 
-def clean_step2(step1: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list[str] | None = None,
-                numeric_ids: bool = True) -> DataFrame:
+def clean_step2(step1: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list[str] | None = None) -> DataFrame:
     """quantity > 0, price > 0, parse and bound dates, drop cancelled,
-    add ``total_revenue``. ``invoicedate`` becomes a timestamp."""
+    add ``total_revenue``. ``invoicedate`` becomes a timestamp, ``customerid`` text."""
     df = positive_price(positive_quantity(step1))
     df = drop_invalid_dates(parse_dates(df, formats=formats), cutoff=cutoff)
-    df = line_revenue(drop_cancelled(df))
-    if numeric_ids:
-        df = df.withColumn("customerid", customer_id_key())
-    return df
+    return line_revenue(drop_cancelled(df)).withColumn("customerid", customer_id_key())
 
 
-def clean_transactions(raw: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list[str] | None = None,
-                       numeric_ids: bool = True) -> DataFrame:
+def clean_transactions(raw: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list[str] | None = None) -> DataFrame:
     """Both cleaning stages: raw lines to cleaned transactions."""
-    return clean_step2(clean_step1(raw), cutoff=cutoff, formats=formats, numeric_ids=numeric_ids)
+    return clean_step2(clean_step1(raw), cutoff=cutoff, formats=formats)
 
 
 def rule_code(ts: Column, cutoff=DEFAULT_DATE_CUTOFF) -> Column:
@@ -164,7 +156,8 @@ def cleaning_waterfall(raw: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list
     """
     cols = raw.columns
     copies = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    ts = parse_timestamp(F.col("invoicedate"), formats)
+    is_ts = dict(raw.dtypes)["invoicedate"].startswith("timestamp")
+    ts = F.col("invoicedate").cast("timestamp") if is_ts else parse_timestamp(F.col("invoicedate"), formats)
     tagged = copies.select(
         F.col("_copies"),
         F.when(missing_customer(), 2).otherwise(rule_code(ts, cutoff)).alias("_step"))
@@ -188,15 +181,6 @@ def cleaning_waterfall(raw: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list
     return one.select(F.explode(F.array(*rows)).alias("w")).select("w.*")
 
 
-def cleaning_summary(raw: DataFrame, cutoff=DEFAULT_DATE_CUTOFF, formats: list[str] | None = None) -> DataFrame:
-    """One-row stage summary: initial, kept, removed and percent kept."""
-    w = cleaning_waterfall(raw, cutoff, formats)
-    return w.agg(F.max("rows_before").alias("initial_rows"),
-                 F.min("rows_after").alias("final_rows"),
-                 F.sum("removed").alias("total_removed")) \
-            .withColumn("kept_pct", pct("final_rows", "initial_rows"))
-
-
 def parse_date_stats(df: DataFrame, c: str = "invoicedate", formats: list[str] | None = None) -> DataFrame:
     """F9 statistics: rows, parsed, failed and success rate (one pass)."""
     parsed = parse_dates(df, c, formats, out="_ts")

@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import as_timestamp, pct
+from ledgerlens.functions.exprs import as_timestamp, parse_timestamp, pct
 from ledgerlens.functions.rules import HEALTHY_SEGMENTS
+from ledgerlens.functions.scalars import with_scalars
 
+# The date columns that the filter looks for, in order.
 DATE_COLUMNS = ("invoicedate", "invoice_date", "date", "order_date")
-BROADCAST_JOIN_ROWS = 2_000_000
-
 
 # ------------------------------------------------------------------ filters
 
@@ -46,25 +46,27 @@ def filter_dates(df: DataFrame, date_from: str | None = None, date_to: str | Non
                  strict: bool = False) -> DataFrame:
     """inclusive date range on the first present date column.
 
-    With no date column the filter is skipped, as in the reference. A bound
-    that does not parse is ignored, unless ``strict`` (the insight routes
-    treat it as an error). ``date_to`` is midnight inclusive.
+    With no date column the filter is skipped, as in the reference. Bounds
+    and text dates are read as the cleaner reads dates: a zone is converted
+    to UTC, fractions of a second count. A bound that does not parse is
+    ignored, unless ``strict`` (the insight routes treat it as an error).
+    ``date_to`` is midnight inclusive.
     """
     col = next((c for c in DATE_COLUMNS if c in df.columns), None)
     if col is None or not (date_from or date_to):
         return df
-    ts = as_timestamp(col) if dict(df.dtypes)[col].startswith("timestamp") else F.try_to_timestamp(F.col(col))
+    is_date = dict(df.dtypes)[col].startswith(("timestamp", "date"))
+    ts = as_timestamp(col) if is_date else parse_timestamp(col)
     for bound, op in ((date_from, "ge"), (date_to, "le")):
         if not bound:
             continue
-        try:
-            lit = _dt.datetime.fromisoformat(bound)
-        except ValueError:
+        # a literal, parsed without a table: whether it parses decides if there is a filter
+        parsed = df.sparkSession.range(1).select(parse_timestamp(F.lit(bound)).isNotNull()).first()[0]
+        if not parsed:
             if strict:
-                raise
+                raise ValueError(f"not a date: {bound!r}")
             continue
-        lit_c = F.lit(lit.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
-        df = df.where(ts >= lit_c) if op == "ge" else df.where(ts <= lit_c)
+        df = df.where(ts >= parse_timestamp(F.lit(bound))) if op == "ge" else df.where(ts <= parse_timestamp(F.lit(bound)))
     return df
 
 
@@ -145,16 +147,15 @@ def scatter_points(seg: DataFrame) -> DataFrame:
 
 
 def _join_customers(tx: DataFrame, seg: DataFrame) -> DataFrame:
-    small = seg.count() <= BROADCAST_JOIN_ROWS
-    s = seg.select("customerid", "segment")
-    return tx.join(F.broadcast(s) if small else s, "customerid")
+    return tx.join(seg.select("customerid", "segment"), "customerid")
 
 
 def monthly_trends(tx: DataFrame, seg: DataFrame, date_col: str = "invoicedate") -> DataFrame:
     """D-6: by (month, segment): transactions, distinct customers, line revenue.
 
-    Transactions carry the dates; the segment comes from the customer table
-    (broadcast when its size is checked small, else a shuffled join).
+    Transactions carry the dates; the segment comes from the customer table.
+    ``customer_count`` counts distinct customers of the month (a customer's
+    lines are ``transaction_count``).
     """
     j = _join_customers(tx, seg).withColumn("year_month", F.date_format(as_timestamp(date_col), "yyyy-MM"))
     return j.groupBy("year_month", "segment").agg(
@@ -165,16 +166,14 @@ def monthly_trends(tx: DataFrame, seg: DataFrame, date_col: str = "invoicedate")
 
 def monthly_trends_filled(trends: DataFrame) -> DataFrame:
     """Every (month, segment) pair, zero where a segment has no sales
-    that month: one row per month pivoted over the present segments, then
-    unpivoted (no cross join)."""
-    # Segment names come from the rule table, so this list is small and bounded.
-    segs = sorted(r[0] for r in trends.select("segment").distinct().collect())
-    if not segs:
-        return trends.select("year_month", "segment", "revenue")
-    wide = trends.groupBy("year_month").pivot("segment", segs).agg(F.sum("revenue"))
-    pairs = ", ".join(f"'{s}', `{s}`" for s in segs)
-    long = wide.selectExpr("year_month", f"stack({len(segs)}, {pairs}) AS (segment, revenue)")
-    return long.select("year_month", "segment", F.coalesce("revenue", F.lit(0.0)).alias("revenue"))
+    that month (no cross join, no job while the plan is built)."""
+    # One row per month with its segments' revenue as a map, and the names present in any
+    # month (a few, from the rules) as a scalar; rows without a segment are in no pair.
+    named = trends.where(F.col("segment").isNotNull()).groupBy("year_month", "segment").agg(F.sum("revenue").alias("revenue"))
+    months = named.groupBy("year_month").agg(F.map_from_entries(F.collect_list(F.struct("segment", "revenue"))).alias("_by"))
+    months = with_scalars(months, named.agg(F.array_sort(F.collect_set("segment")).alias("_names")))
+    return months.select("year_month", F.explode("_names").alias("segment"), "_by") \
+                 .select("year_month", "segment", F.coalesce(F.try_element_at("_by", "segment"), F.lit(0.0)).alias("revenue"))
 
 
 def monthly_trends_simulated(seg: DataFrame, as_of: str | _dt.date) -> DataFrame:

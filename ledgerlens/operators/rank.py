@@ -1,24 +1,24 @@
 """Exact row numbers and exact quantiles without a single-partition window.
 
-``Window.orderBy(...)`` with no partition moves every row to one task. For
-inputs above ``rows_per_bucket`` rows we instead:
+``Window.orderBy(...)`` with no partition moves every row to one task. Here,
+for inputs of any size:
 
-1. draw a bounded Bernoulli sample of the composite sort key
-   (partition columns, order columns) and pick evenly spaced cut keys;
+1. draw a Bernoulli sample of the composite sort key (partition columns,
+   order columns), of an expected number of rows for each bucket, and pick
+   evenly spaced cut keys;
 2. give each row a bucket = number of cut keys below its key: a balanced
-   CASE tree over literal keys for up to 31 cuts; beyond that a coarse
-   tree over every 16th cut and a broadcast lookup of that group's cuts
-   (log2(P) comparisons per row, small generated code for any P);
+   CASE tree over literal keys for up to 31 cuts; beyond that a coarse tree
+   over every g-th cut, g about the square root of the cuts, and a join with
+   that group's cuts (log2(P) comparisons per row, small generated code);
 3. number rows inside ``(bucket, group)`` with a partitioned window;
 4. add the count of same-group rows in earlier buckets (a table with one
-   row per (bucket, group)), joined back by broadcast when its size is
-   checked to be small.
-
-Because the sort key includes a unique id, ties on the value are split
-across buckets, so one very common value (for example frequency = 1) does
-not end up in a single task. The cut keys only steer balance: the result
-is exact for any sample. Below the threshold a plain window is used; its
-input size is checked first, so the single task is bounded.
+   row per (bucket, group)), joined back.
+
+Buckets hold about ``rows_per_bucket`` rows, two buckets at least, however
+many that makes. Because the sort key includes a unique id, ties on the
+value are split across buckets, so one very common value (for example
+frequency = 1) does not end up in a single task. The cut keys only steer
+balance: the result is exact for any sample.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from ledgerlens.functions.scalars import with_scalars
+from ledgerlens.session import stored
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 DEFAULT_SAMPLE_PER_BUCKET = 64
-MAX_BUCKETS = 512
-BROADCAST_OFFSET_ROWS = 200_000
 
 
 def _sort_key(row, n_keys: int):
@@ -54,7 +54,6 @@ def _bucket_expr(key: Column, cuts: list[Column], lo: int, hi: int) -> Column:
 
 
 FLAT_CUTS = 31   # up to this many cut keys, one literal tree
-GROUP = 16       # above it: a coarse tree over every 16th cut, then 15 cuts per group
 
 
 def _with_bucket(df: DataFrame, key_cols: Sequence[str], cuts_vals: list, types: Sequence[str],
@@ -62,19 +61,20 @@ def _with_bucket(df: DataFrame, key_cols: Sequence[str], cuts_vals: list, types:
     """Add ``out`` = number of cut keys strictly below each row's key.
 
     Few cuts: one balanced CASE tree over literal keys. Many cuts: a coarse
-    tree over every 16th cut picks a group; the group's 15 cuts arrive by a
-    broadcast join on the group id (at most 33 rows) and a fixed 15-node
-    tree over that array finishes the count. Generated code therefore stays
-    small for any number of buckets.
+    tree over every g-th cut picks a group, g a power of two near the square
+    root of the cuts; the group's cuts arrive by a join on the group id (as
+    many rows as groups) and a tree of g - 1 nodes over that array finishes
+    the count. Generated code therefore grows with the square root only.
     """
     key = F.struct(*[F.col(c).cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(key_cols, types))])
     m = len(cuts_vals)
     if m <= FLAT_CUTS:
         return df.withColumn(out, _bucket_expr(key, [_struct_lit(v, types) for v in cuts_vals], 0, m))
-    coarse_vals = [cuts_vals[i] for i in range(GROUP - 1, m, GROUP)]
+    group = 1 << max(4, round(math.log2(m) / 2))
+    coarse_vals = [cuts_vals[i] for i in range(group - 1, m, group)]
     coarse = _bucket_expr(key, [_struct_lit(v, types) for v in coarse_vals], 0, len(coarse_vals))
     struct_t = ", ".join(f"k{i}: {t}" for i, t in enumerate(types))
-    groups = [(c, [tuple(v) for v in cuts_vals[c * GROUP: min(c * GROUP + GROUP - 1, m)]])
+    groups = [(c, [tuple(v) for v in cuts_vals[c * group: min(c * group + group - 1, m)]])
               for c in range(len(coarse_vals) + 1)]
     fine = df.sparkSession.createDataFrame(groups, f"_grp int, _fine array<struct<{struct_t}>>")
 
@@ -85,8 +85,9 @@ def _with_bucket(df: DataFrame, key_cols: Sequence[str], cuts_vals: list, types:
         cut = F.try_element_at(F.col("_fine"), F.lit(mid + 1))  # null past the end: counts as +infinity
         return F.when(key > cut, fine_expr(mid + 1, hi)).otherwise(fine_expr(lo, mid))
 
-    with_grp = df.withColumn("_grp", coarse.cast("int")).join(F.broadcast(fine), "_grp")  # <= 33 rows
-    return with_grp.withColumn(out, F.col("_grp") * GROUP + fine_expr(0, GROUP - 1)).drop("_grp", "_fine")
+    # the cuts are here on the driver: a literal table of about sqrt(m) rows
+    with_grp = df.withColumn("_grp", coarse.cast("int")).join(F.broadcast(fine), "_grp")
+    return with_grp.withColumn(out, F.col("_grp") * group + fine_expr(0, group - 1)).drop("_grp", "_fine")
 
 
 def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
@@ -114,27 +115,18 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
             return F.row_number().over(w).cast("bigint")
         return F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    if n <= rows_per_bucket:
-        # Bounded: the input was counted, so no task receives more than rows_per_bucket rows.
-        return df.withColumn(out, local_number(partition_cols))
-
     key_cols = partition_cols + order_cols
-    n_buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    target = sample_per_bucket * n_buckets
-    fraction = min(1.0, 2.0 * target / n)
-    # Sampling operator: the limit bounds what reaches the driver.
-    sample = src.select(*key_cols).sample(withReplacement=False, fraction=fraction, seed=seed) \
-               .limit(4 * target).collect()
+    n_buckets = max(2, math.ceil(n / rows_per_bucket))
+    fraction = min(1.0, 2.0 * sample_per_bucket * n_buckets / max(n, 1))
+    # Sampling operator: the fraction bounds what reaches the driver.
+    sample = src.select(*key_cols).sample(withReplacement=False, fraction=fraction, seed=seed).collect()
     keys = sorted((tuple(r) for r in sample), key=lambda r: _sort_key(r, len(key_cols)))
     cuts_vals = []
-    if keys:
-        step = len(keys) / n_buckets
-        for b in range(1, n_buckets):
-            v = keys[min(len(keys) - 1, int(b * step))]
-            if not cuts_vals or _sort_key(v, len(key_cols)) > _sort_key(cuts_vals[-1], len(key_cols)):
-                cuts_vals.append(v)
-    if not cuts_vals:
-        return df.withColumn(out, local_number(partition_cols))
+    step = len(keys) / n_buckets
+    for b in range(1, n_buckets if keys else 0):
+        v = keys[min(len(keys) - 1, int(b * step))]
+        if not cuts_vals or _sort_key(v, len(key_cols)) > _sort_key(cuts_vals[-1], len(key_cols)):
+            cuts_vals.append(v)
 
     types = [dict(df.dtypes)[c] for c in key_cols]
     b = "_rank_bucket"
@@ -148,9 +140,6 @@ def exact_running_sum(df: DataFrame, order_cols: Sequence[str], partition_cols:
     # One row per (bucket, group): a global window here is bounded by the bucket count.
     offsets = totals.select(b, *partition_cols,
                             F.coalesce(F.sum("_rank_cnt").over(before), F.lit(0)).alias("_rank_off"))
-    n_offsets = len(cuts_vals) + 1 if not partition_cols else offsets.count()
-    if n_offsets <= BROADCAST_OFFSET_ROWS:
-        offsets = F.broadcast(offsets)
     joined = local.join(offsets, [b, *partition_cols])
     total = F.col("_rank_local") + F.col("_rank_off")
     return joined.withColumn(out, total.cast("bigint") if weight is None else total) \
@@ -175,18 +164,17 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     ``x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)``.
 
     Plan: a histogram ``(group, value) -> count`` (map-side combined, so a
-    value shared by a third of all rows is one row per task), then an exact
-    running count over the distinct values, then the values whose position
-    range covers each needed position. No group is gathered into one task
-    and memory does not grow with the group size. Nulls are ignored.
-    Returns one row per group, one column per probability.
+    value shared by a third of all rows is one row per task), written once
+    to the shared scratch folder; an exact running count over the distinct
+    values, then the values whose position range covers each needed
+    position. No group is gathered into one task and memory does not grow
+    with the group size. Nulls are ignored. Returns one row per group, one
+    column per probability.
     """
     group_cols = list(group_cols)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    # The histogram is checkpointed (reliable storage): its size check and the
-    # final plan then read it instead of recomputing the input.
-    hist = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    hist = stored(v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w")), "histogram")
     cum = exact_running_sum(hist, ["_v"], group_cols, weight="_w", out="_cum", rows_per_bucket=rows_per_bucket,
                             n_rows=hist.count())
     counts = (hist.groupBy(*group_cols) if group_cols else hist).agg(F.sum("_w").alias("_n"))
@@ -198,9 +186,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                            *[x.alias(f"_hi{i}") for i, (_, x, _) in enumerate(pos)],
                            *[x.alias(f"_fr{i}") for i, (_, _, x) in enumerate(pos)])
     if group_cols:
-        # One row per group; broadcast only when the group count is checked small.
-        small = counts.count() <= BROADCAST_OFFSET_ROWS
-        j = cum.join(F.broadcast(counts) if small else counts, group_cols)
+        j = cum.join(counts, group_cols)  # one row per group
     else:
         j = with_scalars(cum, counts)  # one row
 
@@ -221,7 +207,3 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     return agg.select(*group_cols, *[(F.col(f"_x{i}") + (F.col(f"_y{i}") - F.col(f"_x{i}")) * F.col(f"_f{i}"))
                                      .alias(nm) for i, nm in enumerate(names)])
 
-
-def exact_median(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), name: str = "median",
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    return exact_quantiles(df, value_col, [0.5], group_cols, [name], rows_per_bucket)

@@ -4,7 +4,7 @@ The RFM base is one ``groupBy(customerid)`` over the cleaned transactions
 (max date, distinct invoices, revenue sum); the reference's three
 per-metric frames joined on customer id give the same rows, so the join
 form is kept only as ``rfm_base_joined``. Scalars such as the reference
-date are attached with a broadcast one-row cross join.
+date are attached as scalar subqueries.
 """
 
 from __future__ import annotations
@@ -17,18 +17,21 @@ from ledgerlens.functions.exprs import as_timestamp, floor_days, iso_string
 from ledgerlens.operators.rank import exact_quantiles
 from ledgerlens.functions.scalars import one_row, with_scalars
 
-BROADCAST_JOIN_ROWS = 2_000_000
-
 
 def _ref_literal(reference) -> Column:
     return F.to_timestamp(F.lit(str(reference)))
 
 
+def _with_customer(tx: DataFrame) -> DataFrame:
+    """The lines that count: those with a customer id (every line, after cleaning)."""
+    return tx.where(F.col("customerid").isNotNull()) if "customerid" in tx.columns else tx
+
+
 def reference_date(tx: DataFrame, reference=None, date_col: str = "invoicedate") -> DataFrame:
     """One row with the reference date (given, or max date + 1 day),
     max/min dates and the whole-day span between them."""
     ts = as_timestamp(date_col)
-    agg = tx.agg(F.max(ts).alias("max_ts"), F.min(ts).alias("min_ts"))
+    agg = _with_customer(tx).agg(F.max(ts).alias("max_ts"), F.min(ts).alias("min_ts"))
     ref = (agg["max_ts"] + F.expr("INTERVAL 1 DAY")) if reference is None else _ref_literal(reference)
     return agg.select(
         iso_string(ref).alias("reference_date"),
@@ -49,7 +52,7 @@ def _with_reference(cust: DataFrame, reference, tx: DataFrame | None = None, dat
     if reference is not None:
         return cust.withColumn("_ref_ts", _ref_literal(reference))
     if tx is not None:
-        src = tx.where(F.col("customerid").isNotNull()).select(as_timestamp(date_col).alias(last_col))
+        src = _with_customer(tx).select(as_timestamp(date_col).alias(last_col))
     else:
         src = cust
     ref = src.agg((F.max(last_col) + F.expr("INTERVAL 1 DAY")).alias("_ref_ts"))
@@ -70,11 +73,10 @@ def customer_recency(tx: DataFrame, reference=None, date_col: str = "invoicedate
 def transactions_with_recency(tx: DataFrame, recency: DataFrame) -> DataFrame:
     """Customer recency joined back to every transaction (left join).
 
-    The customer side is broadcast only below a checked row count; above
-    it the join shuffles both sides and AQE splits a skewed customer.
+    Whether the customer side is broadcast is left to the optimiser's sizes;
+    where it is not, AQE splits a skewed customer.
     """
-    small = recency.count() <= BROADCAST_JOIN_ROWS
-    return tx.join(F.broadcast(recency) if small else recency, "customerid", "left")
+    return tx.join(recency, "customerid", "left")
 
 
 def describe(df: DataFrame, c: str, with_median: bool = True, prefix: str | None = None) -> DataFrame:
@@ -165,10 +167,14 @@ def _revenue(tx: DataFrame) -> Column:
     return F.col("quantity") * F.col("unitprice")
 
 
+def cents(c: Column) -> Column:
+    return F.bround(c, 2)
+
+
 def customer_monetary(tx: DataFrame) -> DataFrame:
-    """Revenue per customer (exact decimal sum), kept when > 0."""
-    return tx.where(F.col("customerid").isNotNull()).groupBy("customerid") \
-             .agg(F.sum(_revenue(tx)).alias("monetary")).where(F.col("monetary") > 0)
+    """Revenue per customer (exact decimal sum, rounded half-even to cents), kept when > 0."""
+    return _with_customer(tx).groupBy("customerid") \
+             .agg(cents(F.sum(_revenue(tx))).alias("monetary")).where(F.col("monetary") > 0)
 
 
 def rfm_base_joined(recency: DataFrame, frequency: DataFrame, monetary: DataFrame) -> DataFrame:
@@ -182,12 +188,12 @@ def rfm_base(tx: DataFrame, reference=None, date_col: str = "invoicedate") -> Da
 
     Equal to :func:`rfm_base_joined` on the same input. Recency is counted
     from the reference date, which by default is the latest purchase of any
-    customer plus one day (computed from this same aggregate).
+    customer plus one day (a one-column maximum over the same lines).
     """
     cust = tx.where(F.col("customerid").isNotNull()).groupBy("customerid").agg(
         F.max(as_timestamp(date_col)).alias("last_purchase"),
         F.count_distinct("invoiceno").alias("frequency"),
-        F.sum(_revenue(tx)).alias("monetary"))
+        cents(F.sum(_revenue(tx))).alias("monetary"))
     cust = _with_reference(cust, reference, tx, date_col)
     return cust.where((F.col("frequency") > 0) & (F.col("monetary") > 0)).select(
         "customerid", floor_days("_ref_ts", "last_purchase").alias("recency"),

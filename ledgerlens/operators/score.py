@@ -2,15 +2,17 @@
 
 A score is the equal-width bin of a customer's rank among all customers,
 ranks ordered by the metric and then by customer id (the reference breaks
-ties by row order, which is customer id order). Ranks come from
+ties by row order, which is customer id order; ids written as numbers are
+ordered as numbers). Ranks come from
 :func:`ledgerlens.operators.rank.exact_row_number`, which never gathers
-all customers into one task once their number passes a checked bound.
+all customers into one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import quintile_bin
 from ledgerlens.operators.rank import DEFAULT_ROWS_PER_BUCKET, exact_row_number
@@ -21,9 +23,16 @@ METRICS = ("recency", "frequency", "monetary")
 def global_rank(rfm: DataFrame, metric: str, out: str | None = None, id_col: str = "customerid",
                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None,
                 offsets_from: DataFrame | None = None) -> DataFrame:
-    """1-based rank of ``metric`` with ties broken by customer id."""
-    return exact_row_number(rfm, [metric, id_col], out=out or f"{metric}_rank",
-                            rows_per_bucket=rows_per_bucket, n_rows=n_rows, offsets_from=offsets_from)
+    """1-based rank of ``metric`` with ties broken by customer id: text
+    ids that are whole numbers by their value, after all others."""
+    keys, number = [metric, id_col], "_id_number"
+    if isinstance(rfm.schema[id_col].dataType, T.StringType):
+        def numbered(df: DataFrame) -> DataFrame:
+            return df.withColumn(number, F.col(id_col).try_cast("decimal(38,0)"))
+        rfm, offsets_from = numbered(rfm), None if offsets_from is None else numbered(offsets_from)
+        keys.insert(1, number)
+    return exact_row_number(rfm, keys, out=out or f"{metric}_rank", rows_per_bucket=rows_per_bucket,
+                            n_rows=n_rows, offsets_from=offsets_from).drop(number)
 
 
 def score_rfm(rfm: DataFrame, id_col: str = "customerid", q: int = 5,

@@ -9,6 +9,7 @@ once per session and data folder, as a stage output would be.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import clean, rfm, score, segment
 from ledgerlens.session import ensure_checkpoint_dir
@@ -47,7 +48,13 @@ def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw invoice lines as an uploaded file would be: derived once from
     the driver's tables and stored as Parquet, then scanned by each query."""
-    return staged(spark, ("raw", sf_dir), lambda: raw_plan(spark, sf_dir))
+    files = spark.sparkContext.defaultParallelism  # as an upload in several files: every core has one to read
+    return staged(spark, ("raw", sf_dir), lambda: raw_plan(spark, sf_dir).repartition(files))
+
+
+def _numbered(tx: DataFrame) -> DataFrame:
+    """The fixture's ids are the tables' numeric keys; its customer tables show them as numbers."""
+    return tx.withColumn("customerid", F.col("customerid").cast("bigint"))
 
 
 def step1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def step1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned transactions computed from the raw tables (no stage table)."""
-    return clean.clean_step2(step1(spark, sf_dir), cutoff=FIXTURE_CUTOFF)
+    return _numbered(clean.clean_step2(step1(spark, sf_dir), cutoff=FIXTURE_CUTOFF))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +75,7 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture B: purchase events cleaned like invoice lines (no date cut-off)."""
     from ledgerlens.sources.adapters import event_purchases
     return staged(spark, ("event_transactions", sf_dir),
-                  lambda: clean.clean_transactions(event_purchases(spark, sf_dir), cutoff=None))
+                  lambda: _numbered(clean.clean_transactions(event_purchases(spark, sf_dir), cutoff=None)))
 
 
 def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.exprs import iso_string, parse_timestamp, pct
 from ledgerlens.functions.names import standardize_columns, validate_required_strict
 from ledgerlens.functions.scalars import one_row
 from ledgerlens.operators import clean, cluster, profile, rfm, score, segment
@@ -27,11 +28,16 @@ def _path(out_dir: str, name: str) -> str:
     return os.path.join(out_dir, name)
 
 
-def _save(spark: SparkSession, df: DataFrame, summary: DataFrame, out_dir: str, name: str,
-          fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+def _store(df: DataFrame, out_dir: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """Write a stage table and read it back: what follows never recomputes it."""
     io.write_stage(df, _path(out_dir, name), fmt=fmt)
+    return io.read_stage(df.sparkSession, _path(out_dir, name), fmt=fmt)
+
+
+def _note(summary: DataFrame, out_dir: str, name: str) -> DataFrame:
+    """Write a one-row summary and read it back."""
     io.write_summary(summary, _path(out_dir, f"{name}_summary"))
-    return io.read_stage(spark, _path(out_dir, name), fmt=fmt), io.read_summary(spark, _path(out_dir, f"{name}_summary"))
+    return io.read_summary(summary.sparkSession, _path(out_dir, f"{name}_summary"))
 
 
 def run_exploration(raw: DataFrame, out_dir: str) -> dict[str, DataFrame]:
@@ -43,36 +49,67 @@ def run_exploration(raw: DataFrame, out_dir: str) -> dict[str, DataFrame]:
 
 
 def run_cleaning_step1(raw: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
-    """standardise names, check the 8 required columns, dedupe, drop missing ids."""
+    """standardise names, check the 8 required columns, dedupe, drop missing ids.
+
+    The full-width shuffle of the dedupe runs once: the stage table keeps
+    the distinct rows that go on, with the copies of each, and the rows
+    without an id are counted beside it. ``initial_rows`` is a row count of
+    the input, which reads no column.
+    """
     df = standardize_columns(raw)
     ok, msg = validate_required_strict(df.columns)
     if not ok:
         raise ValueError(msg)
-    out = clean.clean_step1(df)
-    summary = one_row(df.agg(F.count(F.lit(1)).alias("initial_rows")),
-                      out.agg(F.count(F.lit(1)).alias("final_rows")))
-    summary = summary.withColumn("columns", F.array(*[F.lit(c) for c in out.columns]))
-    return _save(raw.sparkSession, out, summary, out_dir, "cleaned_step1")
+    out = _store(clean.clean_step1(df), out_dir, "cleaned_step1")
+    # rows without an id are few columns' work: dropped before the dedupe, counted after it
+    lost = clean.dedupe(df.where(clean.missing_customer())).agg(F.count(F.lit(1)).alias("missing_customers_removed"))
+    summary = one_row(df.agg(F.count(F.lit(1)).alias("initial_rows")), out.agg(F.count(F.lit(1)).alias("final_rows")), lost)
+    return out, _note(step1_summary(summary, out.columns), out_dir, "cleaned_step1")
+
+
+def step1_summary(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """The figures of step 1 from (initial_rows, final_rows, missing_customers_removed)."""
+    gone = F.col("initial_rows") - F.col("final_rows")
+    return counts.select("initial_rows", (gone - F.col("missing_customers_removed")).alias("duplicates_removed"), "missing_customers_removed",
+                         "final_rows", gone.alias("rows_removed"), pct(gone, "initial_rows").alias("removed_pct"),
+                         F.array(*[F.lit(c) for c in columns]).alias("columns"))
+
+
+def step2_summary(step1: DataFrame, out: DataFrame, cutoff=clean.DEFAULT_DATE_CUTOFF) -> DataFrame:
+    """The figures of step 2: rows lost to each rule, parse figures, dates of what is left.
+
+    One pass over the step-1 rows, each tagged with the first rule that
+    removes it; no shuffle but of partial counts."""
+    is_ts = dict(step1.dtypes)["invoicedate"].startswith("timestamp")
+    ts = F.col("invoicedate").cast("timestamp") if is_ts else parse_timestamp("invoicedate")
+    tagged = step1.select(clean.rule_code(ts, cutoff).alias("rule"), ts.alias("ts"))
+    rules = tagged.agg(F.count(F.lit(1)).alias("initial_rows"),
+                       *[F.count_if(F.col("rule") == code).alias(f"{name}_removed") for code, name in clean.STEPS if code > 2],
+                       F.count("ts").alias("dates_parsed"), F.count_if(F.col("ts").isNull()).alias("parse_errors"))
+    rules = rules.withColumn("parse_success_rate", pct("dates_parsed", "initial_rows"))
+    left = out.agg(F.count(F.lit(1)).alias("final_rows"), F.min("invoicedate").alias("_low"), F.max("invoicedate").alias("_high"))
+    both = one_row(rules, left.select("final_rows", iso_string("_low").alias("min_date"), iso_string("_high").alias("max_date")))
+    return both.withColumn("removed_pct", pct(F.col("initial_rows") - F.col("final_rows"), "initial_rows"))
 
 
 def run_cleaning_step2(step1: DataFrame, out_dir: str, cutoff=clean.DEFAULT_DATE_CUTOFF) -> tuple[DataFrame, DataFrame]:
-    """the step-2 rules, revenue, and min/max dates in the summary."""
-    out = clean.clean_step2(step1, cutoff=cutoff)
-    summary = one_row(step1.agg(F.count(F.lit(1)).alias("initial_rows")),
-                      out.agg(F.count(F.lit(1)).alias("final_rows"),
-                              F.date_format(F.min("invoicedate"), "yyyy-MM-dd'T'HH:mm:ss").alias("min_date"),
-                              F.date_format(F.max("invoicedate"), "yyyy-MM-dd'T'HH:mm:ss").alias("max_date")))
-    return _save(step1.sparkSession, out, summary, out_dir, "cleaned_final")
+    """the step-2 rules and revenue; the summary has the figures of each rule."""
+    out = _store(clean.clean_step2(step1, cutoff=cutoff), out_dir, "cleaned_final")
+    return out, _note(step2_summary(step1, out, cutoff), out_dir, "cleaned_final")
 
 
 def run_recency(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame, DataFrame]:
-    """Customer recency table plus the recency summary (stats, quartiles, buckets)."""
-    rec = rfm.customer_recency(tx, reference)
-    io.write_stage(rec, _path(out_dir, "rfm_recency"))
-    rec = io.read_stage(tx.sparkSession, _path(out_dir, "rfm_recency"))
+    """Customer recency table, the transactions with their customer's
+    recency (``data_with_recency``), and the recency summary (stats, quartiles, buckets)."""
+    rec = _store(rfm.customer_recency(tx, reference), out_dir, "rfm_recency")
+    io.write_stage(rfm.transactions_with_recency(tx, rec), _path(out_dir, "data_with_recency"))
     summary = one_row(rfm.reference_date(tx, reference), rfm.recency_summary(tx, rec))
-    io.write_summary(summary, _path(out_dir, "rfm_recency_summary"))
-    return rec, io.read_summary(tx.sparkSession, _path(out_dir, "rfm_recency_summary"))
+    return rec, _note(summary, out_dir, "rfm_recency")
+
+
+def recency_preview_of(summary: DataFrame) -> DataFrame:
+    """The short view of a stored recency summary: six of its fields."""
+    return summary.select("reference_date", "unique_customers", "recency_min", "recency_max", "recency_mean", "recency_median")
 
 
 def run_rfm_base(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame, DataFrame]:
@@ -83,42 +120,44 @@ def run_rfm_base(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame
     (``rfm.rfm_base_joined``, checked in the tests) with one pass instead of
     three plus two joins.
     """
-    base = rfm.rfm_base(tx, reference)
-    io.write_stage(base, _path(out_dir, "rfm_base"))
-    base = io.read_stage(tx.sparkSession, _path(out_dir, "rfm_base"))
+    base = _store(rfm.rfm_base(tx, reference), out_dir, "rfm_base")
     check = rfm.validate_rfm_base(base).first()
     if not check.is_valid:
         raise ValueError(check.message)
-    io.write_summary(rfm.rfm_statistics(base), _path(out_dir, "rfm_base_summary"))
-    return base, io.read_summary(tx.sparkSession, _path(out_dir, "rfm_base_summary"))
+    return base, _note(rfm.rfm_statistics(base), out_dir, "rfm_base")
 
 
 def run_scoring(base: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """Quintile scores and the score distribution summary."""
-    scores = score.score_rfm(base)
-    out, _ = _save(base.sparkSession, scores, score.rfm_total_stats(scores), out_dir, "rfm_scores")
+    out = _store(score.score_rfm(base), out_dir, "rfm_scores")
     io.write_summary(score.score_distribution(out), _path(out_dir, "rfm_scores_distribution"))
     io.write_summary(score.top_rfm_scores(out), _path(out_dir, "rfm_scores_top"))
-    return out, io.read_summary(base.sparkSession, _path(out_dir, "rfm_scores_summary"))
+    return out, _note(score.rfm_total_stats(out), out_dir, "rfm_scores")
 
 
 def run_segment_mapping(scores: DataFrame, out_dir: str, mode: str = "last_match") -> tuple[DataFrame, DataFrame]:
     """Segments, per-segment metrics, ranking and totals."""
-    seg = segment.assign_segments(scores, mode)
-    out, _ = _save(scores.sparkSession, seg, segment.segment_totals(seg), out_dir, "customer_segments")
+    out = _store(segment.assign_segments(scores, mode), out_dir, "customer_segments")
     io.write_summary(segment.segment_metrics(out), _path(out_dir, "customer_segments_metrics"))
     io.write_summary(segment.segment_ranking(segment.segment_metrics(out)), _path(out_dir, "customer_segments_ranking"))
-    return out, io.read_summary(scores.sparkSession, _path(out_dir, "customer_segments_summary"))
+    return out, _note(segment.segment_totals(out), out_dir, "customer_segments")
 
 
 def run_clustering(seg: DataFrame, out_dir: str, k: int = 4, seed: int = 42, n_init: int = 10
                    ) -> tuple[DataFrame, DataFrame]:
-    """M6: scale, fit (best of ``n_init`` seeds), assign, label; centroid summary."""
+    """M6: scale, fit (best of ``n_init`` seeds), assign, label; centroid summary.
+
+    ``seg``: the segment table or, where there is none yet, the score table."""
     scaled = cluster.scale_rfm(seg)
     assigned, cents, cost = cluster.kmeans_clusters(scaled, k=k, seed=seed, n_init=n_init)
-    out, _ = _save(seg.sparkSession, assigned, cluster.centroid_summary(assigned, cents, k, inertia=cost),
-                   out_dir, "customer_clusters")
-    return out, io.read_summary(seg.sparkSession, _path(out_dir, "customer_clusters_summary"))
+    out = _store(assigned, out_dir, "customer_clusters")
+    return out, _note(cluster.centroid_summary(out, cents, k, inertia=cost), out_dir, "customer_clusters")
+
+
+def clustering_input(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The stored segments, else the stored scores, else None."""
+    seg = io.read_stage(spark, _path(out_dir, "customer_segments"))
+    return seg if seg is not None else io.read_stage(spark, _path(out_dir, "rfm_scores"))
 
 
 def run_all(raw: DataFrame, out_dir: str, cutoff=clean.DEFAULT_DATE_CUTOFF, reference=None,

@@ -9,6 +9,7 @@ with an aggregate, not by listing files on the driver.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 from ledgerlens.functions.exprs import normalise_missing
 from ledgerlens.sources.adapters import RAW_SCHEMA
 
-SUPPORTED = (".csv", ".parquet", ".json")
+# An uploaded file's quantities and prices keep six decimals, and 12 digits before them.
+UPLOAD_TYPES = {f.name: T.DecimalType(18, 6) if f.name in ("quantity", "unitprice") else f.dataType for f in RAW_SCHEMA.fields}
 
 
 def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -41,17 +43,13 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
     from ledgerlens.functions.names import standardize_columns
     df = standardize_columns(raw)
     out = []
-    for f in RAW_SCHEMA.fields:
-        if f.name not in df.columns:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+    for name, dtype in UPLOAD_TYPES.items():
+        if name not in df.columns:
+            out.append(F.lit(None).cast(dtype).alias(name))
             continue
-        c = normalise_missing(F.col(f.name).cast("string"))
-        if isinstance(f.dataType, T.StringType):
-            out.append(c.alias(f.name))
-        else:
-            out.append(F.trim(c).try_cast(f.dataType).alias(f.name))
-    known = {f.name for f in RAW_SCHEMA.fields}
-    return df.select(*out, *[F.col(c) for c in df.columns if c not in known])
+        c = normalise_missing(F.col(name).cast("string"))
+        out.append((c if isinstance(dtype, T.StringType) else F.trim(c).try_cast(dtype)).alias(name))
+    return df.select(*out, *[F.col(c) for c in df.columns if c not in UPLOAD_TYPES])
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -67,11 +65,13 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """Read a stage output; an absent stage gives None."""
+    """Read a stage output; an absent stage gives None. A CSV stage
+    comes back with the types that :func:`write_stage` noted beside it."""
     if not _exists(spark, path):
         return None
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        noted = spark.read.text(f"{path}_schema").first()
+        return spark.read.schema(T.StructType.fromJson(json.loads(noted.value))).option("header", True).csv(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -82,6 +82,7 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_schema")
     else:
         w.format(fmt).save(path)
     return path

@@ -3,10 +3,13 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import clean, rfm, score, segment
+from ledgerlens.functions.exprs import iso_string, parse_timestamp
+from ledgerlens.operators import clean, dashboard, rfm, score, segment
 from ledgerlens.plans import fixture as fx
+from ledgerlens.plans import stages
 from ledgerlens.sources.adapters import RAW_SCHEMA, dirty_transactions
 
 CUT = fx.FIXTURE_CUTOFF
@@ -33,7 +36,7 @@ def test_rules_with_nulls(spark):
     df = _raw(spark, rows)
     out = clean.clean_transactions(df).collect()
     assert sorted(str(r.invoiceno) for r in out) == ["1", "None", "c123"]
-    assert all(r.customerid == 17850 for r in out)
+    assert all(r.customerid == "17850" for r in out)
     w = {r.rule: (r.rows_before, r.removed, r.rows_after) for r in clean.cleaning_waterfall(df).collect()}
     assert w["duplicates"] == (11, 1, 10)
     assert w["missing_customer_id"][1] == 2
@@ -101,7 +104,7 @@ def test_monetary_not_positive_absent(spark):
     neg = tx.unionByName(tx.where(F.col("customerid") == 2).withColumn("total_revenue", -F.col("total_revenue"))
                            .withColumn("invoiceno", F.lit("3")))
     ids = [r.customerid for r in rfm.rfm_base(neg).collect()]
-    assert ids == [1]
+    assert ids == ["1"]
 
 
 def test_reference_date_row(spark):
@@ -127,8 +130,34 @@ def test_customer_id_text_forms(spark):
     rows = [("1", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), "17850.0", "UK"),
             ("2", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), " 17851 ", "UK"),
             ("3", "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), "17852.5", "UK")]
-    ids = sorted((r.customerid for r in clean.clean_transactions(_raw(spark, rows)).collect()),
-                 key=lambda v: (v is None, v))
-    assert ids == [17850, 17851, None]
-    text = clean.clean_transactions(_raw(spark, rows), numeric_ids=False).select("customerid").collect()
-    assert sorted(r.customerid for r in text) == [" 17851 ", "17850.0", "17852.5"]
+    ids = sorted(r.customerid for r in clean.clean_transactions(_raw(spark, rows)).collect())
+    assert ids == ["17850", "17851", "17852.5"]
+
+
+def test_text_ids_keep_their_customers(spark, tmp_path):
+    """Ids that are no numbers go through all stages."""
+    rows = [(str(i), "A", "x", 1, "2011-01-01 00:00:00", Decimal("5.00"), f"C{i:03d}", "UK") for i in range(30)]
+    step1, _ = stages.run_cleaning_step1(_raw(spark, rows), str(tmp_path))
+    tx, _ = stages.run_cleaning_step2(step1, str(tmp_path))
+    base, _ = stages.run_rfm_base(tx, str(tmp_path))
+    assert sorted(r.customerid for r in base.collect()) == [f"C{i:03d}" for i in range(30)]
+
+
+@pytest.mark.parametrize("text,iso", [
+    ("2010-12-01 08:26:00", "2010-12-01T08:26:00"), ("12/1/10 8:26", "2010-12-01T08:26:00"), ("12/01/2010", "2010-12-01T00:00:00"),
+    ("2010-12-01T08:26:00Z", "2010-12-01T08:26:00"), ("2010-12-01T08:26:00.123", "2010-12-01T08:26:00"),
+    ("2010-12-01T11:00:00+02:00", "2010-12-01T09:00:00"), ("2010-12", "2010-12-01T00:00:00"), ("12/1/2010 8:26:05", "2010-12-01T08:26:05"),
+    ("2010-13-01", None), ("13/45/2010", None), ("08:26", None), ("not-a-date", None), ("", None), (None, None)])
+def test_date_forms(spark, text, iso):
+    df = spark.createDataFrame([(text,)], "invoicedate string")
+    assert df.select(iso_string(parse_timestamp("invoicedate"))).first()[0] == iso
+
+
+def test_date_bounds_read_zones_fractions_and_other_forms(spark):
+    df = spark.createDataFrame([("2010-12-01T10:00:00.600Z",), ("2010-12-02 00:00:00",)], "invoicedate string")
+    n = lambda *b, **k: dashboard.filter_dates(df, *b, **k).count()
+    assert n("2010-12-01T11:00:00+02:00") == 2 and n("2010-12-01T13:00:00+02:00") == 1
+    assert n("2010-12-01T10:00:00.500") == 2 and n("2010-12-01T10:00:00.700") == 1
+    assert n("12/02/2010") == 1 and n(None, "2010-12") == 0 and n("2010-12", None) == 2 and n("nonsense") == 2
+    with pytest.raises(ValueError):
+        n("nonsense", strict=True)

@@ -39,6 +39,22 @@ def test_partitioned_rank_splits_ties(spark):
     assert b.count() == 3000
 
 
+def test_more_than_512_buckets(spark):
+    df = _frame(spark)
+    plain = df.withColumn("rn0", F.row_number().over(Window.orderBy("v", "id")))
+    got = exact_row_number(plain, ["v", "id"], rows_per_bucket=4, sample_per_bucket=8, offsets_from=df)
+    assert "_rank_bucket" in got._jdf.queryExecution().executedPlan().toString()
+    assert all(r.rn == r.rn0 for r in got.select("rn", "rn0").collect())
+
+
+def test_small_and_empty_inputs_take_the_same_plan(spark):
+    for n in (0, 1, 2, 5):
+        df = spark.range(n).select("id", (F.col("id") % 2).alias("v"))
+        got = exact_row_number(df, ["v", "id"])
+        assert "Exchange SinglePartition" not in got.drop("rn")._jdf.queryExecution().executedPlan().toString()
+        assert [r.rn for r in got.orderBy("v", "id").collect()] == list(range(1, n + 1))
+
+
 def test_grouped_partitioned_rank(spark):
     df = _frame(spark)
     plain = df.withColumn("rn0", F.row_number().over(Window.partitionBy("g").orderBy("m", "id")))

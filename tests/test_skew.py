@@ -27,7 +27,8 @@ def _lines(n=3000, seed=11):
 def test_hot_customer_rfm_matches_pandas(spark):
     rows = _lines()
     raw = spark.createDataFrame(rows, RAW_SCHEMA)
-    base = rfm.rfm_base(clean.clean_transactions(raw)).toPandas().set_index("customerid").sort_index()
+    base = rfm.rfm_base(clean.clean_transactions(raw)).toPandas()
+    base = base.set_index(base["customerid"].astype(int)).sort_index()
 
     pdf = pd.DataFrame(rows, columns=[f.name for f in RAW_SCHEMA.fields]).drop_duplicates()
     pdf["ts"] = pd.to_datetime(pdf["invoicedate"])
