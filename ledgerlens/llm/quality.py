@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerlens.llm.common import CACHE_WORDS, PLAIN, WordHashes, as_bytes, fold, groups, mix, split_words
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, WordHashes, as_bytes, fold, groups, known, mix, split_words
 from ledgerlens.llm.training import Adam, labelled_sample, sigmoid
 
 PASSAGE = 64
@@ -39,26 +39,24 @@ def shape(word: bytes) -> list[float]:
 
 
 class Shapes(dict):
-    """Word bytes to the row of its statistics in ``rows``."""
+    """Word bytes to the row of its statistics in ``table``."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[list[float]] = []
         self.table = np.empty((0, SHAPES + HASHED), np.float32)
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self.rows)
-        self.rows.append(shape(word))
-        return value
+    def _learn(self, words: list[bytes]) -> None:
+        base = len(self)
+        rows = [np.array(list(map(shape, words[a:a + 10_000])), np.float32) for a in range(0, len(words), 10_000)]
+        self.update((w, base + i) for i, w in enumerate(words))
+        self.table = np.concatenate([self.table, *rows])
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """The words' rows in ``table``."""
         if len(self) > CACHE_WORDS:
             self.clear()
-            self.rows, self.table = [], self.table[:0]
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], np.float32)])
-        return self.table[at]
+            self.table = self.table[:0]
+        return known(words, self, self._learn)
 
 
 def passages(texts: list[bytes | None], shapes: Shapes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +77,10 @@ def passages(texts: list[bytes | None], shapes: Shapes, hashes: WordHashes) -> t
         passage = np.repeat(bounds[:-1], size) + at // PASSAGE
         starts = np.flatnonzero(np.r_[True, np.diff(passage) > 0])
         where, count = passage[starts], np.diff(np.r_[starts, n])[:, None]
-        features = shapes.of(words)
-        for a in range(0, len(starts), 8_192):  # the words of some passages at a time
-            x, y = starts[a], starts[a + 8_192] if a + 8_192 < len(starts) else n
-            out[where[a:a + 8_192], :SHAPES + HASHED] = np.add.reduceat(features[x:y], starts[a:a + 8_192] - x, axis=0)
+        row = shapes.of(words)
+        for a in range(0, len(starts), 1_024):  # the words of some passages at a time
+            x, y = starts[a], starts[a + 1_024] if a + 1_024 < len(starts) else n
+            out[where[a:a + 1_024], :SHAPES + HASHED] = np.add.reduceat(shapes.table[row[x:y]], starts[a:a + 1_024] - x, axis=0)
         out[where, :SHAPES + HASHED] /= count
         one = hashes.array(words, n)
         own = mix(one, np.repeat(np.arange(len(texts)), size).astype(np.uint64))
@@ -157,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
     if not rows:
         model.w["c"][:] = 0
         return model
-    x, bounds = passages([(r.text or "").encode() for r in rows], Shapes(), WordHashes())
+    texts = [(r.text or "").encode() for r in rows]
+    shapes, hashes = Shapes(), WordHashes()
+    parts = [passages(texts[a:b], shapes, hashes) for a, b in groups(texts, 1 << 20)]
+    x, bounds = np.concatenate([p[0] for p in parts]), np.cumsum(np.concatenate([[0], *(np.diff(p[1]) for p in parts)]))
     model.fit(x, bounds, np.array([float(r.label) for r in rows], np.float32), counts.get(1, 0) / sum(counts.values()))
     return model
 
