@@ -41,11 +41,11 @@ def leanings(pairs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Word bytes to its row of inputs, for one table of leanings."""
+    """Word bytes to its row of inputs, for one table of leanings. Beyond ``most`` words it starts anew."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: np.ndarray, most: int | None = CACHE_WORDS):
         super().__init__()
-        self.table_of, self.rows = table, np.empty((0, INPUTS), np.float32)
+        self.table_of, self.rows, self.most = table, np.empty((0, INPUTS), np.float32), most
 
     def _learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), 50_000):
@@ -69,7 +69,7 @@ class Words(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Row numbers of the words."""
-        if len(self) > CACHE_WORDS:
+        if self.most is not None and len(self) > self.most:
             self.clear()
             self.rows = self.rows[:0]
         return known(words, self, self._learn)
@@ -247,34 +247,37 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, epochs: int = 5) -> Det
     if not len(texts) or not 0 < y.sum() < len(y):
         network.w["o"][:], network.w["k"][:] = 0, -6
         return Detector(np.zeros(BUCKETS, np.float32), network)
-    buckets: dict[bytes, np.ndarray] = {}
+    index: dict[bytes, int] = {}
+    flat, bounds = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+
+    def learn(some: list[bytes]) -> None:
+        own, ends = gram_buckets(some, GRAMS, BUCKETS)
+        base = len(index)
+        index.update((w, base + i) for i, w in enumerate(some))
+        flat.append(own.astype(np.int32))
+        bounds.append(bounds[-1][-1] + ends[1:])
+
     pairs = []
-    for text in texts:
-        own = list(dict.fromkeys(text.split()))
-        fresh = [w for w in own if w not in buckets]
-        if fresh:
-            flat, bounds = gram_buckets(fresh, GRAMS, BUCKETS)
-            buckets.update((w, flat[a:b]) for w, a, b in zip(fresh, bounds[:-1], bounds[1:]))
-        pairs.append(np.unique(np.concatenate([buckets[w] for w in own])) if own else np.empty(0, np.int64))
+    for a, b in groups(texts, 1 << 20):
+        own = [np.unique(known(t.split(), index, learn)) for t in texts[a:b]]
+        flat, bounds = [np.concatenate(flat)], [np.concatenate(bounds)]
+        pairs += [np.unique(np.concatenate([np.empty(0, np.int32), *(flat[0][bounds[0][k]:bounds[0][k + 1]] for k in some)])) for some in own]
+    del index, flat, bounds
     half = rng.permutation(len(texts)) % 2
-    xs, masks, ys, whole = [], [], [], []
+    xs, masks, ys, views = [], [], [], {}
     for side in (0, 1):
         other = np.flatnonzero(half != side)
-        words = Words(leanings([pairs[i] for i in other], y[other]))
+        words = views[side] = Words(leanings([pairs[i] for i in other], y[other]), None)
         for i in np.flatnonzero(half == side):
             found, ends = split_words([texts[i]])
             if not found:
                 continue
-            index = words.of(found)
-            rows_ = words.rows
-            start, length, _ = window_starts(ends)
-            at, mask = window_index(index, start, length)
-            x = rows_[at] * mask[:, :, None]
+            at, mask = window_index(words.of(found).astype(np.int32), *window_starts(ends)[:2])
+            x = words.rows[at] * mask[:, :, None]
             strength = (np.maximum(x[:, :, 0], x[:, :, 1]) + 2 * x[:, :, 3]).max(0)
-            whole.append((i, x, mask))
             chosen = np.argsort(-strength)[:1 if y[i] else 3].tolist()
             if not y[i]:  # a clean document's windows are all clean
-                chosen += rng.choice(len(start), min(2, len(start)), replace=False).tolist()
+                chosen += rng.choice(at.shape[1], min(2, at.shape[1]), replace=False).tolist()
             for k in set(chosen):
                 xs.append(x[:, k])
                 masks.append(mask[:, k])
@@ -287,8 +290,12 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float, epochs: int = 5) -> Det
             steps.update(network.gradients(x[:, some], mask[:, some], y_[some], weigh[some]))
         steps.rate *= 0.8 if len(y_) > 4_000 else 0.99
     # a document's score is its highest window's: the output is scaled for that, at the labels' true shares
-    logit = np.array([np.log(p / (1 - p)) for i, x, m in whole for p in [np.clip(network.run(x, m).max(), 1e-6, 1 - 1e-6)]])
-    truth = y[[i for i, *_ in whole]]
+    highest = np.concatenate([Detector(views[side].table_of, network).text_scores([texts[i] for i in group[a:a + 200]], views[side], {})
+                              for side in (0, 1) for group in [np.flatnonzero(half == side)] for a in range(0, len(group), 200)])
+    order = np.concatenate([np.flatnonzero(half == side) for side in (0, 1)])
+    some = np.array([bool(texts[i].strip()) for i in order])
+    p = np.clip(highest[some], 1e-6, 1 - 1e-6)
+    logit, truth = np.log(p / (1 - p)), y[order[some]]
     weight = np.where(truth > 0, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
     network.scale, network.shift = platt(logit, truth, weight)
     return Detector(leanings(pairs, y), network)
