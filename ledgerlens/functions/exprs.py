@@ -83,5 +83,12 @@ def quintile_bin(rn: str | Column, n: str | Column, q: int = 5) -> Column:
     return F.when(n > 1, F.greatest(F.lit(1), ceil_div))
 
 
+def plain_number(c: str | Column, digits: int = 2) -> Column:
+    """A rounded number as text, never in scientific form: trailing zeros go,
+    but for the first decimal (``218673536.1``, ``100.0``)."""
+    text = F.round(col_(c), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+
+
 def iso_string(c: str | Column) -> Column:
     return F.date_format(as_timestamp(c), ISO_SECONDS)

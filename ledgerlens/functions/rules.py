@@ -91,6 +91,36 @@ OPPORTUNITY_TEXT = [
      "Launch \"We Miss You\" campaign with special comeback offers"),
 ]
 
+# The executive sentences (revenue focus, volume focus, risk alert, opportunities).
+EXECUTIVE_SENTENCES = (
+    "%s is the top revenue driver, contributing %s%% of total revenue (%d customers)",
+    "%s is the largest segment by count (%d customers, %s%% of base)",
+    "%d customers are At Risk (%s%% of base), representing $%s in potential revenue loss",
+    "%d growth opportunities identified",
+)
+
+# The executive paragraph, part by part, and its bullets.
+EXECUTIVE_OPENING = "Analysis of %s customers generating $%s in total revenue reveals five distinct behavioural segments with clear strategic implications."
+EXECUTIVE_HIGH_VALUE = (
+    "The High Value segment (%s customers) is the primary revenue engine, contributing %.1f%% of total revenue despite representing only "
+    "%.1f%% of the customer base — a clear sign of revenue concentration risk that warrants a dedicated retention programme.")
+EXECUTIVE_AT_RISK = (
+    "A significant at-risk cohort of %s customers ($%s in historical revenue) is showing signs of churn. With an estimated 30%% recovery "
+    "rate, a targeted win-back campaign could recover approximately $%s in revenue.")
+EXECUTIVE_NEW = (
+    "The New segment (%s customers) presents the strongest organic growth opportunity. Converting 30–40%% to repeat buyers "
+    "through a structured onboarding sequence could add meaningful incremental revenue over the next 90 days.")
+EXECUTIVE_PRIORITIES = (
+    "Immediate priorities are: (1) protect High Value and Loyal customers through premium engagement, "
+    "(2) recover At Risk customers before full churn, and (3) activate New customers with a targeted first-repeat-purchase incentive.")
+EXECUTIVE_BULLETS = (
+    "%s segment drives %.1f%% of total revenue",
+    "%s is the largest segment with %s customers",
+    "%s At Risk customers represent $%s in recoverable revenue",
+    "%s New customers are ready for conversion campaigns",
+    "5 strategic actions identified across all segments",
+)
+
 # Risk summary recommended actions (with / without at-risk customers).
 RISK_ACTION = ("Launch a \"We Miss You\" campaign with a 10–15% discount code, "
                "targeting customers inactive for 60+ days.")

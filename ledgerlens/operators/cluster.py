@@ -2,9 +2,8 @@
 
 Scaling is median imputation then a z-score with the *population* standard
 deviation (as scikit-learn's StandardScaler does; Spark ML's scaler uses
-the sample deviation, so it is not used). K-Means is Spark ML's, fitted
-for several seeds on a cached vector column and the lowest-cost model
-kept. Cluster ids are renumbered by centroid order so they are stable
+the sample deviation, so it is not used). K-Means advances all its restarts
+in one aggregate for each iteration and keeps the lowest cost. Cluster ids are renumbered by centroid order so they are stable
 across runs. Assignment to given centroids is a plain expression (nearest
 by squared distance, lowest id on a tie), so it can be checked in SQL.
 """
@@ -12,8 +11,8 @@ by squared distance, lowest id on a tie), so it can be checked in SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from ledgerlens.functions.exprs import pct
 from ledgerlens.functions.rules import CLUSTER_LABELS
 from ledgerlens.operators.rank import exact_quantiles
 from ledgerlens.functions.scalars import with_scalars
+from ledgerlens.session import stored
 
 RFM_COLUMNS = ("recency", "frequency", "monetary")
 EXACT_SUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -165,39 +165,76 @@ def centroid_summary(assigned: DataFrame, centroids: DataFrame, k: int, inertia:
         "cluster_cost", F.coalesce("cluster_cost", F.lit(0.0))).drop("_inertia")
 
 
+#: Rows of the bounded sample that the restarts start from (smallest hashes first, so the same each run).
+START_ROWS = 5_000
+
+
+def _start(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
+    """First centres of a restart: k-means++ on the sample, then some rounds there."""
+    r = np.random.default_rng(seed)
+    centres = [x[r.integers(len(x))]]
+    for _ in range(1, k):
+        d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
+        centres.append(x[r.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[r.integers(len(x))])
+    found = np.array(centres)
+    for _ in range(rounds):
+        near = ((x[:, None, :] - found[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([x[near == i].mean(0) if (near == i).any() else found[i] for i in range(k)])
+        if np.allclose(moved, found):
+            break
+        found = moved
+    return found
+
+
+def _pass(points: DataFrame, restarts: dict[int, np.ndarray], cols: Sequence[str]) -> dict[int, tuple[np.ndarray, float]]:
+    """One pass over the points for all restarts together: each one's next centres
+    and its cost at the present ones. Restarts x clusters rows reach the driver."""
+    nearest = []
+    for r, centres in restarts.items():
+        cands = [F.struct(squared_distance(cols, c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centres)]
+        best = F.least(*cands) if len(cands) > 1 else cands[0]
+        nearest.append(F.struct(F.lit(r).alias("r"), best["c"].alias("c"), best["d"].alias("d")))
+    sums = (points.select(*cols, F.explode(F.array(*nearest)).alias("b")).groupBy("b.r", "b.c")
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum("b.d").alias("_d"), *[F.sum(c).alias(c) for c in cols]).collect())
+    out = {r: [c.copy(), 0.0] for r, c in restarts.items()}
+    for row in sums:
+        out[row.r][0][row.c] = [row[c] / row["_n"] for c in cols]  # an empty cluster keeps its centre
+        out[row.r][1] += row["_d"]
+    return {r: (c, cost) for r, (c, cost) in out.items()}
+
+
 def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, max_iter: int = 100,
-               tol: float = 1e-4, cols: Sequence[str] | None = None, parallelism: int | None = None):
-    """M2: Spark ML K-Means fitted for ``n_init`` seeds (seed, seed+1, ...),
-    keeping the lowest training cost (first seed on a tie). Returns
-    (centroids sorted, cost).
-
-    The vector column is built and cached once; each fit is distributed.
-    Centroids are sorted lexicographically so ids do not depend on the
-    seed's internal numbering.
+               tol: float = 1e-4, cols: Sequence[str] | None = None) -> tuple[list[tuple], float]:
+    """M2: K-Means with ``n_init`` restarts, keeping the lowest cost (first restart
+    on a tie). Returns (centroids sorted, cost).
+
+    The restarts advance together: each iteration is one pass over the points
+    and one aggregate over (restart, cluster), and a restart whose centres
+    moved by at most ``tol`` drops out. So passes are the iterations of the
+    slowest restart, not the sum over restarts. The points are written once
+    to the shared scratch folder. Centroids are sorted lexicographically so
+    ids do not depend on a restart's internal numbering.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     cols = list(cols or scaled_columns(scaled))
-    vec = VectorAssembler(inputCols=cols, outputCol="_features").transform(scaled.select(*cols)) \
-        .select("_features").cache()
-
-    def fit(s: int):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="_features").fit(vec)
-        return model, model.summary.trainingCost
-
-    try:
-        vec.count()  # materialise the cached vectors once
-        # The seeds are independent Spark jobs: submit them concurrently so a
-        # small input does not leave most of the cluster idle between passes.
-        workers = parallelism or scaled.sparkSession.sparkContext.defaultParallelism
-        with ThreadPoolExecutor(max_workers=max(1, min(n_init, workers))) as pool:
-            fits = list(pool.map(fit, range(seed, seed + n_init)))
-    finally:
-        vec.unpersist()
-    best = min(fits, key=lambda mc: mc[1])
-    centers = sorted([tuple(float(x) for x in c) for c in best[0].clusterCenters()])
-    return centers, best[1]
+    points = stored(scaled.select(*[F.col(c).cast("double").alias(c) for c in cols]), "kmeans-points")
+    sample = points.orderBy(F.xxhash64(*cols), *cols).limit(START_ROWS).collect()
+    if not sample:
+        raise ValueError("K-Means needs at least one row")
+    x = np.array([tuple(r) for r in sample])
+    live = {r: _start(x, k, seed + r) for r in range(n_init)}
+    done: dict[int, np.ndarray] = {}
+    for _ in range(max_iter):
+        for r, (centres, _) in _pass(points, live, cols).items():
+            still = np.abs(centres - live[r]).max() > tol
+            (live if still else done)[r] = centres
+            if not still:
+                del live[r]
+        if not live:
+            break
+    done |= live
+    costs = {r: cost for r, (_, cost) in sorted(_pass(points, done, cols).items())}
+    best = min(costs, key=costs.get)
+    return sorted(tuple(float(v) for v in c) for c in done[best]), costs[best]
 
 
 def kmeans_clusters(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,

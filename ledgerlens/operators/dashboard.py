@@ -18,6 +18,8 @@ from ledgerlens.functions.exprs import as_timestamp, parse_timestamp, pct
 from ledgerlens.functions.rules import HEALTHY_SEGMENTS
 from ledgerlens.functions.scalars import with_scalars
 
+# The message of an empty selection.
+NO_DATA = "No data matches the specified filters."
 # The date columns that the filter looks for, in order.
 DATE_COLUMNS = ("invoicedate", "invoice_date", "date", "order_date")
 
@@ -197,9 +199,12 @@ def monthly_trends_simulated(seg: DataFrame, as_of: str | _dt.date) -> DataFrame
 def dashboard(seg: DataFrame, tx: DataFrame | None = None, segments: Sequence[str] | None = None,
               date_from: str | None = None, date_to: str | None = None,
               as_of: str | None = None) -> dict[str, DataFrame]:
-    """D-8: every section over one filtered, cached segment table."""
-    base = apply_filters(seg, segments, date_from, date_to).cache()
-    out = {"kpi": kpi_summary(base), "revenue_by_segment": revenue_by_segment(base),
+    """D-8: every section over one filtered segment table (a stored stage: each
+    section scans it). ``status`` says whether any row is left."""
+    base = apply_filters(seg, segments, date_from, date_to)
+    some = F.count(F.lit(1)) > 0
+    status = base.agg(some.alias("has_data"), F.when(~some, F.lit(NO_DATA)).alias("message"))
+    out = {"status": status, "kpi": kpi_summary(base), "revenue_by_segment": revenue_by_segment(base),
            "segment_share": segment_share(base), "scatter": scatter_points(base)}
     if tx is not None:
         out["monthly_trends"] = monthly_trends(filter_dates(tx, date_from, date_to), base)

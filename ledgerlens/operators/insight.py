@@ -11,15 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import pct
-from ledgerlens.functions.rules import (AT_RISK_RECOVERY_RATE, HIGH_VALUE_EXPANSION_RATE, LOYAL_AT_RISK_RATE,
+from ledgerlens.functions.exprs import pct, plain_number
+from ledgerlens.functions.rules import (AT_RISK_RECOVERY_RATE, EXECUTIVE_SENTENCES, HIGH_VALUE_EXPANSION_RATE, LOYAL_AT_RISK_RATE,
                                         NEW_CONVERSION_RATE, OPPORTUNITY_TEXT)
 from ledgerlens.operators.rank import exact_quantiles
 from ledgerlens.functions.scalars import one_row
 
 
 def _per_segment(seg: DataFrame) -> DataFrame:
-    g = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("_rev"))
+    # rows without a segment are in no group
+    g = (seg.where(F.col("segment").isNotNull()).groupBy("segment")
+         .agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("_rev")))
     w = Window.partitionBy()  # over the per-segment rows only
     return g.select("segment", "customer_count", F.col("_rev").cast("double").alias("total_revenue"),
                     (F.col("_rev").cast("double") / F.col("customer_count").cast("double")).alias("avg_value"),
@@ -120,17 +122,13 @@ def executive_sentences(seg: DataFrame) -> DataFrame:
     risk = at_risk_volume(seg)
     opp = growth_opportunities(seg).agg(F.count(F.lit(1)).alias("opp_n"))
     one = one_row(top, big, risk, opp)
+    focus, volume, alert, found = EXECUTIVE_SENTENCES
     return one.select(
-        F.format_string("%s is the top revenue driver, contributing %s%% of total revenue (%d customers)",
-                        "t_seg", F.round("t_pct", 2).cast("string"), "t_n").alias("revenue_focus"),
-        F.format_string("%s is the largest segment by count (%d customers, %s%% of base)",
-                        "l_seg", "l_n", F.round("l_pct", 2).cast("string")).alias("volume_focus"),
+        F.format_string(focus, "t_seg", plain_number("t_pct"), "t_n").alias("revenue_focus"),
+        F.format_string(volume, "l_seg", "l_n", plain_number("l_pct")).alias("volume_focus"),
         F.when(F.col("at_risk_count") > 0, F.format_string(
-            "%d customers are At Risk (%s%% of base), representing $%s in potential revenue loss",
-            "at_risk_count", F.round("percentage_of_total", 2).cast("string"),
-            F.round("total_at_risk_revenue", 2).cast("string"))).alias("risk_alert"),
-        F.when(F.col("opp_n") > 0, F.format_string("%d growth opportunities identified", "opp_n"))
-         .alias("opportunity_count"))
+            alert, "at_risk_count", plain_number("percentage_of_total"), plain_number("total_at_risk_revenue"))).alias("risk_alert"),
+        F.when(F.col("opp_n") > 0, F.format_string(found, "opp_n")).alias("opportunity_count"))
 
 
 def filtered_insights(seg: DataFrame, segments: Sequence[str] | None = None, date_from: str | None = None,
@@ -149,13 +147,22 @@ def filtered_insights(seg: DataFrame, segments: Sequence[str] | None = None, dat
     return one_row(tot, top, big, risk)
 
 
-def generate_insights(seg: DataFrame) -> dict[str, DataFrame]:
-    """All insight tables over one cached segment table."""
-    base = seg.cache()
-    return {"totals": insight_totals(base), "top_revenue_segment": top_revenue_segment(base),
-            "largest_segment": largest_segment(base), "at_risk": at_risk_volume(base),
-            "segment_value_analysis": segment_value_analysis(base),
-            "growth_opportunities": growth_opportunities(base),
-            "distribution": base.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count")),
-            "executive_summary": executive_sentences(base)}
+def filtered_sections(seg: DataFrame, segments: Sequence[str] | None = None, date_from: str | None = None,
+                      date_to: str | None = None) -> dict[str, DataFrame]:
+    """I8: every section after the filters: the main row, the distribution with
+    percentages, the value analysis and the growth opportunities."""
+    from ledgerlens.operators.dashboard import filter_dates, filter_segments
+    f = filter_dates(filter_segments(seg, segments), date_from, date_to, strict=True)
+    share = _per_segment(f).select("segment", "customer_count", F.col("customer_pct").alias("percentage"))
+    return {"main": filtered_insights(seg, segments, date_from, date_to), "segment_distribution": share,
+            "segment_value_analysis": segment_value_analysis(f), "growth_opportunities": growth_opportunities(f)}
 
+
+def generate_insights(seg: DataFrame) -> dict[str, DataFrame]:
+    """All insight tables over one segment table (a stored stage: each section scans it)."""
+    return {"totals": insight_totals(seg), "top_revenue_segment": top_revenue_segment(seg),
+            "largest_segment": largest_segment(seg), "at_risk": at_risk_volume(seg),
+            "segment_value_analysis": segment_value_analysis(seg),
+            "growth_opportunities": growth_opportunities(seg),
+            "distribution": seg.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count")),
+            "executive_summary": executive_sentences(seg)}

@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import pct
-from ledgerlens.functions.rules import (GROWTH_SIGNALS, PLAYBOOK_DEFAULT, RISK_ACTION, RISK_ACTION_NONE,
+from ledgerlens.functions.rules import (EXECUTIVE_AT_RISK, EXECUTIVE_BULLETS, EXECUTIVE_HIGH_VALUE, EXECUTIVE_NEW,
+                                        EXECUTIVE_OPENING, EXECUTIVE_PRIORITIES, GROWTH_SIGNALS, PLAYBOOK_DEFAULT, RISK_ACTION, RISK_ACTION_NONE,
                                         RISK_URGENCY_HIGH_PCT, RISK_URGENCY_MEDIUM_PCT, SEGMENT_PLAYBOOK)
+from ledgerlens.functions.scalars import with_scalars
+from ledgerlens.sources.io import write_summary
 
 
 def narrative_metrics(seg: DataFrame) -> DataFrame:
     """Per segment: customers, revenue, mean revenue, % customers, % revenue
     (0 when total revenue is not positive), largest revenue first."""
-    g = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("_rev"))
+    # rows without a segment are in no group
+    g = (seg.where(F.col("segment").isNotNull()).groupBy("segment")
+         .agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("_rev")))
     w = Window.partitionBy()  # over the per-segment rows only
     tot = F.sum("_rev").over(w)
     return g.select("segment", "customer_count", F.col("_rev").cast("double").alias("total_revenue"),
@@ -80,16 +85,19 @@ def growth_signals(seg: DataFrame) -> DataFrame:
                     (F.col("_rev").cast("double") * F.col("uplift_factor")).alias("estimated_uplift"), "action")
 
 
-def executive_text(metrics: DataFrame, include_risk: bool = True, include_growth: bool = True) -> DataFrame:
+def executive_text(metrics: DataFrame, include_risk: bool = True, include_growth: bool = True,
+                   totals: DataFrame | None = None) -> DataFrame:
     """Executive paragraph and bullet list (one row) from N1's metrics.
 
     N1 is pivoted into one row (a few segments), then the sentences are
-    ``format_string`` templates; optional parts drop out as nulls.
+    ``format_string`` templates; optional parts drop out as nulls. Of equally
+    large segments the one with more revenue is named, and percentages are
+    shown from their first decimal. ``totals`` (total_customers,
+    total_revenue) replaces the metrics' sums, for metrics that were supplied.
     """
-    m = metrics
     w_rev = Window.orderBy(F.desc("total_revenue"), "segment")
-    w_cnt = Window.orderBy(F.desc("customer_count"), "segment")
-    ranked = m.select("*", F.row_number().over(w_rev).alias("_rr"), F.row_number().over(w_cnt).alias("_rc"))
+    w_cnt = Window.orderBy(F.desc("customer_count"), F.desc("total_revenue"), "segment")
+    ranked = metrics.select("*", F.row_number().over(w_rev).alias("_rr"), F.row_number().over(w_cnt).alias("_rc"))
 
     def pick(cond, col):
         return F.max(F.when(cond, F.col(col)))
@@ -104,51 +112,53 @@ def executive_text(metrics: DataFrame, include_risk: bool = True, include_growth
         pick(seg == "High Value", "percentage_of_customers").alias("hv_cp"),
         pick(seg == "At Risk", "customer_count").alias("ar_n"), pick(seg == "At Risk", "total_revenue").alias("ar_rev"),
         pick(seg == "New", "customer_count").alias("new_n"))
-    fmt_n = lambda c: F.format_number(F.col(c), 0)
-    lines = [
-        F.concat(F.lit("Analysis of "), fmt_n("n"), F.lit(" customers generating $"), fmt_n("rev"),
-                 F.lit(" in total revenue reveals five distinct behavioural segments with clear strategic implications.")),
-        F.when(F.col("hv_n").isNotNull(), F.concat(
-            F.lit("The High Value segment ("), fmt_n("hv_n"), F.lit(" customers) is the primary revenue engine, contributing "),
-            F.format_string("%.1f", F.col("hv_rp")), F.lit("% of total revenue despite representing only "),
-            F.format_string("%.1f", F.col("hv_cp")),
-            F.lit("% of the customer base — a clear sign of revenue concentration risk that warrants a dedicated "
-                  "retention programme."))),
-    ]
+    if totals is not None:
+        one = with_scalars(one.drop("n", "rev"), totals.select(F.col("total_customers").alias("n"), F.col("total_revenue").alias("rev")))
+
+    def number(c):
+        return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
+
+    def share(c):
+        return F.round(c, 1)
+
+    lines = [F.format_string(EXECUTIVE_OPENING, number("n"), number("rev")),
+             F.when(F.col("hv_n").isNotNull(), F.format_string(EXECUTIVE_HIGH_VALUE, number("hv_n"), share("hv_rp"), share("hv_cp")))]
     if include_risk:
-        lines.append(F.when(F.col("ar_n").isNotNull(), F.concat(
-            F.lit("A significant at-risk cohort of "), fmt_n("ar_n"), F.lit(" customers ($"), fmt_n("ar_rev"),
-            F.lit(" in historical revenue) is showing signs of churn. With an estimated 30% recovery rate, a targeted "
-                  "win-back campaign could recover approximately $"),
-            F.format_number(F.col("ar_rev") * F.lit(0.3), 0), F.lit(" in revenue."))))
+        lines.append(F.when(F.col("ar_n").isNotNull(), F.format_string(
+            EXECUTIVE_AT_RISK, number("ar_n"), number("ar_rev"), number(F.col("ar_rev") * F.lit(0.3)))))
     if include_growth:
-        lines.append(F.when(F.col("new_n").isNotNull(), F.concat(
-            F.lit("The New segment ("), fmt_n("new_n"),
-            F.lit(" customers) presents the strongest organic growth opportunity. Converting 30–40% to repeat buyers "
-                  "through a structured onboarding sequence could add meaningful incremental revenue over the next 90 days."))))
-    lines.append(F.lit("Immediate priorities are: (1) protect High Value and Loyal customers through premium engagement, "
-                       "(2) recover At Risk customers before full churn, and (3) activate New customers with a targeted "
-                       "first-repeat-purchase incentive."))
+        lines.append(F.when(F.col("new_n").isNotNull(), F.format_string(EXECUTIVE_NEW, number("new_n"))))
+    lines.append(F.lit(EXECUTIVE_PRIORITIES))
+    top, big, risk, new, last = EXECUTIVE_BULLETS
     bullets = F.array_compact(F.array(
-        F.concat(F.col("top_seg"), F.lit(" segment drives "), F.format_string("%.1f", F.col("top_pct")),
-                 F.lit("% of total revenue")),
-        F.concat(F.col("big_seg"), F.lit(" is the largest segment with "), fmt_n("big_n"), F.lit(" customers")),
-        F.when(F.col("ar_n").isNotNull(), F.concat(fmt_n("ar_n"), F.lit(" At Risk customers represent $"),
-                                                   fmt_n("ar_rev"), F.lit(" in recoverable revenue"))),
-        F.when(F.col("new_n").isNotNull(), F.concat(fmt_n("new_n"), F.lit(" New customers are ready for conversion campaigns"))),
-        F.lit("5 strategic actions identified across all segments")))
+        F.format_string(top, "top_seg", share("top_pct")),
+        F.format_string(big, "big_seg", number("big_n")),
+        F.when(F.col("ar_n").isNotNull(), F.format_string(risk, number("ar_n"), number("ar_rev"))),
+        F.when(F.col("new_n").isNotNull(), F.format_string(new, number("new_n"))),
+        F.lit(last)))
     return one.select(F.concat_ws(" ", *lines).alias("summary_text"), bullets.alias("bullets"))
 
 
-def full_summary(seg: DataFrame, include_recommendations: bool = True, include_risk: bool = True,
-                 include_growth: bool = True, supplied_metrics: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All parts; ``supplied_metrics`` (N1's schema) replaces the computed metrics."""
-    base = seg.cache()
-    metrics = supplied_metrics if supplied_metrics is not None else narrative_metrics(base)
-    out = {"segment_metrics": metrics, "executive": executive_text(metrics, include_risk, include_growth),
+def full_summary(seg: DataFrame, include_risk: bool = True, include_growth: bool = True,
+                 supplied_metrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All parts of the summary over a segment table (a stored stage: each
+    part scans it). ``supplied_metrics`` (N1's schema) replaces the computed
+    metrics; the totals always come from the rows."""
+    metrics = supplied_metrics if supplied_metrics is not None else narrative_metrics(seg)
+    totals = seg.agg(F.count(F.lit(1)).alias("total_customers"),
+                     F.coalesce(F.sum("monetary").cast("double"), F.lit(0.0)).alias("total_revenue"))
+    out = {"totals": totals, "segment_metrics": metrics,
+           "executive": executive_text(metrics, include_risk, include_growth, totals),
            "segment_summaries": segment_playbook(metrics)}
     if include_risk:
-        out["risk"] = risk_summary(base)
+        out["risk"] = risk_summary(seg)
     if include_growth:
-        out["growth"] = growth_signals(base)
+        out["growth"] = growth_signals(seg)
     return out
+
+
+def write_full_summary(parts: dict[str, DataFrame], out_dir: str) -> str:
+    """S7d: each part of :func:`full_summary` as JSON under ``out_dir``."""
+    for name, part in parts.items():
+        write_summary(part, f"{out_dir.rstrip('/')}/{name}")
+    return out_dir

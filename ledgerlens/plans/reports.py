@@ -4,12 +4,14 @@ insight and narrative tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import cluster, dashboard, insight, narrative, profile, rfm, segment
 from ledgerlens.plans import fixture as fx
-from ledgerlens.plans.catalog import SCORE_COLS, SCORE_SQL, TX_SQL, _scores_out, _tx_out, register
+from ledgerlens.plans.catalog import SCORE_COLS, SCORE_SQL, TX_SQL, _scores_out, _tx_out, register, segment_metrics_sql
 from ledgerlens.plans.oracle import iso, pct
 from ledgerlens.functions.scalars import one_row
 
@@ -326,12 +328,34 @@ def q_segment_results(spark, d):
 
 @register("kmeans_clusters")
 def q_kmeans(spark, d):
-    """M2/M6: best of 10 seeded Spark ML K-Means fits (k=4), ids by centroid order."""
+    """M2/M6: best of 10 K-Means restarts (k=4), ids by centroid order."""
     scaled = cluster.scale_rfm(fx.segments(spark, d))
     assigned, _, _ = cluster.kmeans_clusters(scaled, k=4, seed=42, n_init=10)
     return _scores_out(assigned, SCALED_COLS + ["cluster_id", "cluster_label"])
 
 
+@register("kmeans_invariants", """SELECT count(*) AS customers, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS not_nearest,
+  CAST(0 AS BIGINT) AS off_centre, true AS cost_is_the_rows, true AS no_worse_than_one_restart FROM g""")
+def q_kmeans_invariants(spark, d):
+    """M2: every row is at its nearest centroid, each centroid is the mean of its rows, and
+    the cost is that of the rows and at most a single restart's."""
+    cols = ["recency_scaled", "frequency_scaled", "monetary_scaled"]
+    scaled = cluster.scale_rfm(fx.segments(spark, d))
+    centres, cost = cluster.fit_kmeans(scaled, k=4, seed=42, n_init=10)
+    _, single = cluster.fit_kmeans(scaled, k=4, seed=42, n_init=1)
+    assigned = cluster.assign_centroids(scaled, centres, cols)
+    distances = [cluster.squared_distance(cols, c) for c in centres]
+    own = F.element_at(F.array(*distances), F.col("cluster_id") + 1)
+    rows = assigned.agg(F.count(F.lit(1)).alias("customers"), F.count_if(own > F.least(*distances)).alias("not_nearest"), F.sum(own).alias("_cost"))
+    cents = cluster.centroid_frame(spark, centres, [f"_c_{c}" for c in cols])
+    means = assigned.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in cols]).join(cents, "cluster_id", "right")
+    off = F.greatest(*[F.abs(F.coalesce(c, F.lit(9.0)) - F.col(f"_c_{c}")) for c in cols]) > 1e-3
+    per = means.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(off).alias("off_centre"))
+    return one_row(rows, per).select("customers", "clusters", "not_nearest", "off_centre",
+                                     (F.abs(F.col("_cost") / F.lit(cost) - 1) < 1e-9).alias("cost_is_the_rows"),
+                                     F.lit(cost <= single * (1 + 1e-9)).alias("no_worse_than_one_restart"))
+
+
 # ------------------------------------------------------------------ dashboard (D-1 to D-8)
 
 def _kpi_sql(src: str) -> str:
@@ -358,7 +382,12 @@ def q_kpi_doc(spark, d):
     return dashboard.kpi_summary(fx.segments(spark, d, "first_match"))
 
 
-@register("metric_cards")
+@register("metric_cards", f""", kpi AS ({_kpi_sql('g')})
+SELECT 1 AS position, 'Total Customers' AS label, format('{{:,}}', total_customers) AS value FROM kpi
+UNION ALL SELECT 2, 'Total Revenue', '$' || format('{{:,.0f}}', total_revenue) FROM kpi
+UNION ALL SELECT 3, 'Avg Customer Value', '$' || format('{{:,.0f}}', avg_customer_value) FROM kpi
+UNION ALL SELECT 4, 'Healthy %', printf('%.1f%%', healthy_percentage) FROM kpi
+UNION ALL SELECT 5, 'At Risk %', printf('%.1f%%', at_risk_percentage) FROM kpi""")
 def q_cards(spark, d):
     return dashboard.metric_cards(dashboard.kpi_summary(fx.segments(spark, d)))
 
@@ -502,7 +531,23 @@ def q_insight_totals(spark, d):
     return insight.insight_totals(fx.segments(spark, d))
 
 
-@register("executive_sentences")
+def _plain(x: str) -> str:
+    """A number as text without scientific form, trailing zeros cut to one decimal."""
+    return f"regexp_replace(CAST(CAST(round({x}, 2) AS DECIMAL(38, 2)) AS VARCHAR), '(\\.\\d)0$', '\\1')"
+
+
+@register("executive_sentences", f"""SELECT
+  top.segment || ' is the top revenue driver, contributing ' || {_plain('top.revenue_pct')} || '% of total revenue ('
+    || top.customer_count || ' customers)' AS revenue_focus,
+  big.segment || ' is the largest segment by count (' || big.customer_count || ' customers, ' || {_plain('big.customer_pct')}
+    || '% of base)' AS volume_focus,
+  CASE WHEN ar.at_risk_count > 0 THEN ar.at_risk_count || ' customers are At Risk (' || {_plain('ar.percentage_of_total')}
+    || '% of base), representing $' || {_plain('ar.total_at_risk_revenue')} || ' in potential revenue loss' END AS risk_alert,
+  CASE WHEN opp.n > 0 THEN opp.n || ' growth opportunities identified' END AS opportunity_count
+FROM (SELECT * FROM {PER_SEG.format(src='g')} ORDER BY total_revenue DESC, segment LIMIT 1) top,
+  (SELECT * FROM {PER_SEG.format(src='g')} ORDER BY customer_count DESC, segment LIMIT 1) big,
+  ({AT_RISK_SQL.format(src='g')}) ar,
+  (SELECT count(DISTINCT segment) AS n FROM g WHERE segment IN ('High Value', 'Loyal', 'New', 'At Risk')) opp""")
 def q_exec_sentences(spark, d):
     return insight.executive_sentences(fx.segments(spark, d))
 
@@ -535,20 +580,38 @@ def q_narr(spark, d):
     return narrative.narrative_metrics(fx.segments(spark, d))
 
 
-PLAYBOOK_VALUES = ", ".join(
-    "('{}', '{}', '{}', '{}')".format(s, h.replace("'", "''"), a.replace("'", "''"), u)
-    for s, h, _, a, u in __import__("ledgerlens.functions.rules", fromlist=["SEGMENT_PLAYBOOK"]).SEGMENT_PLAYBOOK)
+# Fixed values, as the playbook states them: (segment, headline, description, action, urgency).
+PLAYBOOK_VALUES = """
+  ('High Value', 'Top revenue drivers — protect and grow',
+   'High Value customers deliver the highest revenue and purchase most frequently. They represent the core of business profitability and must be retained at all costs.',
+   'Launch a VIP loyalty programme with exclusive benefits and priority support.', 'Maintain'),
+  ('Loyal', 'Consistent buyers — deepen the relationship',
+   'Loyal customers return regularly and provide predictable revenue. They are strong candidates for upselling and cross-selling initiatives.',
+   'Introduce tiered rewards and personalised product recommendations.', 'Grow'),
+  ('New', 'Recent acquistions — convert to repeat buyers',
+   'New customers have made an initial purchase but have not yet established a purchasing habit. Early engagement is critical to long-term retention.',
+   'Deploy a welcome series with a second-purchase incentive within 14 days.', 'Activate'),
+  ('At Risk', 'Churning customers — win back before they leave',
+   'At Risk customers were once active but have gone quiet. They represent a significant revenue recovery opportunity with targeted campaigns.',
+   'Launch a "We Miss You" win-back campaign with a limited-time offer.', 'Urgent'),
+  ('Low Engagement', 'Dormant segment — cost-effective reactivation',
+   'Low Engagement customers show minimal activity and spend. A small percentage can be reactivated with the right message at low cost.',
+   'Run a low-cost A/B test to identify reactivation triggers.', 'Monitor')"""
 
 
 @register("segment_playbook", f"""SELECT m.segment, customer_count, total_revenue, percentage_of_customers, percentage_of_revenue,
-  coalesce(pb.headline, m.segment || ' segment') AS headline, coalesce(pb.action,
+  coalesce(pb.headline, m.segment || ' segment') AS headline,
+  format('{{:,}}', customer_count) || ' customers (' || printf('%.1f', percentage_of_customers) || '% of base), $' || format('{{:,.0f}}', total_revenue)
+    || ' revenue (' || printf('%.1f', percentage_of_revenue) || '% of total). '
+    || coalesce(pb.description, m.segment || ' customers require tailored engagement.') AS detail,
+  coalesce(pb.action,
   'Review segment behaviour and define targeted strategy.') AS action, coalesce(pb.urgency, 'Review') AS urgency
-FROM ({NARR_SQL}) m LEFT JOIN (VALUES {PLAYBOOK_VALUES}) AS pb(segment, headline, action, urgency) USING (segment)""")
+FROM ({NARR_SQL}) m LEFT JOIN (VALUES {PLAYBOOK_VALUES}) AS pb(segment, headline, description, action, urgency) USING (segment)""")
 def q_playbook(spark, d):
-    return narrative.segment_playbook(narrative.narrative_metrics(fx.segments(spark, d))).drop("detail")
+    return narrative.segment_playbook(narrative.narrative_metrics(fx.segments(spark, d)))
 
 
-@register("risk_summary", f"""SELECT count(*) FILTER (WHERE segment = 'At Risk') AS at_risk_count,
+ORACLE_RISK = f"""SELECT count(*) FILTER (WHERE segment = 'At Risk') AS at_risk_count,
   coalesce(CAST(sum(monetary) FILTER (WHERE segment = 'At Risk') AS DOUBLE), 0.0) AS at_risk_revenue,
   coalesce(CAST(sum(monetary) FILTER (WHERE segment = 'At Risk') AS DOUBLE), 0.0) * CAST(0.3 AS DOUBLE) AS recovery_potential,
   CASE WHEN count(*) FILTER (WHERE segment = 'At Risk') = 0 THEN 'Low'
@@ -556,7 +619,10 @@ def q_playbook(spark, d):
        WHEN {pct("count(*) FILTER (WHERE segment = 'At Risk')", 'count(*)')} > 8 THEN 'Medium' ELSE 'Low' END AS urgency,
   CASE WHEN count(*) FILTER (WHERE segment = 'At Risk') > 0
        THEN 'Launch a "We Miss You" campaign with a 10–15% discount code, targeting customers inactive for 60+ days.'
-       ELSE 'No at-risk customers detected — maintain monitoring cadence.' END AS recommended_action FROM g""")
+       ELSE 'No at-risk customers detected — maintain monitoring cadence.' END AS recommended_action FROM {{src}}"""
+
+
+@register("risk_summary", ORACLE_RISK.format(src="g"))
 def q_risk(spark, d):
     return narrative.risk_summary(fx.segments(spark, d))
 
@@ -582,15 +648,62 @@ def q_signals_doc(spark, d):
     return narrative.growth_signals(fx.segments(spark, d, "first_match"))
 
 
-@register("executive_text")
+def _exec_sql(src: str) -> str:
+    """The executive paragraph and bullets, from the texts as they are read."""
+    n = lambda c: f"format('{{:,}}', CAST({c} AS BIGINT))"
+    money = lambda c: f"format('{{:,.0f}}', {c})"
+    share = lambda c: f"printf('%.1f', round({c}, 1))"
+    return f"""
+, m AS ({NARR_SQL.replace('FROM g GROUP', f'FROM {src} GROUP')}),
+tot AS (SELECT count(*) AS n, CAST(sum(monetary) AS DOUBLE) AS rev FROM {src}),
+top AS (SELECT * FROM m ORDER BY total_revenue DESC, segment LIMIT 1),
+big AS (SELECT * FROM m ORDER BY customer_count DESC, total_revenue DESC, segment LIMIT 1),
+ex AS (SELECT concat_ws(' ',
+  'Analysis of ' || {n('tot.n')} || ' customers generating $' || {money('tot.rev')}
+    || ' in total revenue reveals five distinct behavioural segments with clear strategic implications.',
+  'The High Value segment (' || {n('hv.customer_count')} || ' customers) is the primary revenue engine, contributing '
+    || {share('hv.percentage_of_revenue')} || '% of total revenue despite representing only ' || {share('hv.percentage_of_customers')}
+    || '% of the customer base — a clear sign of revenue concentration risk that warrants a dedicated retention programme.',
+  'A significant at-risk cohort of ' || {n('ar.customer_count')} || ' customers ($' || {money('ar.total_revenue')}
+    || ' in historical revenue) is showing signs of churn. With an estimated 30% recovery rate, a targeted win-back campaign could recover approximately $'
+    || {money('ar.total_revenue * CAST(0.3 AS DOUBLE)')} || ' in revenue.',
+  'The New segment (' || {n('nw.customer_count')} || ' customers) presents the strongest organic growth opportunity. Converting 30–40% to repeat buyers '
+    || 'through a structured onboarding sequence could add meaningful incremental revenue over the next 90 days.',
+  'Immediate priorities are: (1) protect High Value and Loyal customers through premium engagement, (2) recover At Risk customers before full churn, '
+    || 'and (3) activate New customers with a targeted first-repeat-purchase incentive.') AS summary_text,
+  concat_ws(chr(10), top.segment || ' segment drives ' || {share('top.percentage_of_revenue')} || '% of total revenue',
+    big.segment || ' is the largest segment with ' || {n('big.customer_count')} || ' customers',
+    {n('ar.customer_count')} || ' At Risk customers represent $' || {money('ar.total_revenue')} || ' in recoverable revenue',
+    {n('nw.customer_count')} || ' New customers are ready for conversion campaigns',
+    '5 strategic actions identified across all segments') AS bullets
+FROM tot, top, big LEFT JOIN (SELECT * FROM m WHERE segment = 'High Value') hv ON true
+  LEFT JOIN (SELECT * FROM m WHERE segment = 'At Risk') ar ON true LEFT JOIN (SELECT * FROM m WHERE segment = 'New') nw ON true)"""
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.withColumn("bullets", F.array_join("bullets", "\n"))
+
+
+@register("executive_text", f"{_exec_sql('gf')} SELECT * FROM ex")
 def q_exec_text(spark, d):
-    return narrative.executive_text(narrative.narrative_metrics(fx.segments(spark, d, "first_match")))
+    return _lines(narrative.executive_text(narrative.narrative_metrics(fx.segments(spark, d, "first_match"))))
 
 
-@register("full_summary")
+RISK_SQL = ORACLE_RISK.format(src="g")
+
+
+@register("full_summary", f"""{_exec_sql('g')}, risk AS ({RISK_SQL}),
+sums AS (SELECT count(*) AS total_customers, coalesce(CAST(sum(monetary) AS DOUBLE), 0.0) AS total_revenue FROM g),
+book AS (SELECT count(*) AS segments, string_agg(segment, ', ' ORDER BY segment) AS segment_names FROM m),
+grow AS (SELECT count(*) AS growth_signals, sum(estimated_uplift) AS total_uplift FROM ({_signals_sql('g')}) x)
+SELECT * REPLACE (round(total_uplift, 4) AS total_uplift) FROM sums, ex, risk, book, grow""")
 def q_full_summary(spark, d):
+    """All five parts in one row (the per-segment parts as their names, counts and sums)."""
     parts = narrative.full_summary(fx.segments(spark, d))
-    return one_row(parts["executive"], parts["risk"])
+    book = parts["segment_summaries"].agg(F.count(F.lit(1)).alias("segments"),
+                                          F.array_join(F.array_sort(F.collect_list("segment")), ", ").alias("segment_names"))
+    grow = parts["growth"].agg(F.count(F.lit(1)).alias("growth_signals"), F.round(F.sum("estimated_uplift"), 4).alias("total_uplift"))
+    return one_row(parts["totals"], _lines(parts["executive"]), parts["risk"], book, grow)
 
 
 # ------------------------------------------------------------------ fixture B: purchases from events (time-of-day recency)
@@ -645,10 +758,14 @@ def q_standardize(spark, d):
     return df.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
-@register("segment_result_shape")
+@register("segment_result_shape", f"""SELECT segment, customer_count, revenue_percentage,
+  row_number() OVER (ORDER BY total_revenue DESC, segment) AS segment_rank FROM ({segment_metrics_sql('g')}) m""")
 def q_result_shape(spark, d):
-    """Segment counts, revenue-share map and ranking map in one row."""
-    return segment.segment_result_shape(fx.segments(spark, d))
+    """The maps of the result record (counts, revenue shares, ranking), as sorted rows."""
+    shape = segment.segment_result_shape(fx.segments(spark, d))
+    ranked = shape.select("segment_counts", "revenue_contribution", F.explode("segment_ranking").alias("segment_rank", "segment"))
+    return ranked.select("segment", F.col("segment_counts")[F.col("segment")].alias("customer_count"),
+                         F.col("revenue_contribution")[F.col("segment")].alias("revenue_percentage"), F.col("segment_rank").cast("bigint")).orderBy("segment")
 
 
 # ------------------------------------------------------------------ sinks read back
@@ -688,3 +805,123 @@ SAMPLES_SQL = " UNION ALL ".join(
 def q_column_samples(spark, d):
     """Up to five non-null sample values per column of the raw input."""
     return profile.sample_values(fx.raw(spark, d))
+
+
+# ------------------------------------------------------------------ snapshots and short views
+
+@register("latest_snapshot", f""", nn AS (SELECT count(*) AS n, {_nulls} FROM raw)
+SELECT column_name, null_count, CAST(7 AS INTEGER) AS dataset_id, '2011-02-01T00-00-00' AS snapshot_ts FROM ({_union}) x""")
+def q_latest_snapshot(spark, d):
+    """Two snapshots of the missing values are written; the newer one is read back."""
+    from ledgerlens.sources import io
+    root = _sink_path(spark, f"snapshots-{uuid.uuid4().hex}", d)
+    now = profile.missing_values(fx.raw(spark, d)).select("column_name", "null_count")
+    io.write_snapshot(now.withColumn("null_count", F.col("null_count") + 1), root, 7, "2011-01-01T00-00-00")
+    io.write_snapshot(now, root, 7, "2011-02-01T00-00-00")
+    return io.latest_snapshot(spark.read.json(root)).select(
+        "column_name", "null_count", F.col("dataset_id").cast("int").alias("dataset_id"), "snapshot_ts")
+
+
+@register("recency_summary_preview", f""", rec AS (SELECT c.customerid, CAST(floor(epoch(ref_ts - last_purchase) / 86400) AS BIGINT) AS recency FROM c, ref)
+SELECT (SELECT {iso("max(invoicedate) + INTERVAL 1 DAY")} FROM t) AS reference_date, count(*) AS unique_customers,
+  min(recency) AS recency_min, max(recency) AS recency_max, CAST(sum(recency) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS recency_mean,
+  CAST(quantile_cont(CAST(recency AS DOUBLE), 0.5) AS DOUBLE) AS recency_median FROM rec""")
+def q_recency_preview_of(spark, d):
+    """The stored recency summary, written as JSON and read back, as its six-field view."""
+    from ledgerlens.plans import stages
+    _, summary = stages.run_recency(fx.transactions(spark, d), _sink_path(spark, "recency", d))
+    return stages.recency_preview_of(summary)
+
+
+# ------------------------------------------------------------------ stage summaries
+
+@register("stage_step1_summary", f"""SELECT n AS initial_rows, n - n_d AS duplicates_removed, n_d - n_i AS missing_customers_removed,
+  n_i AS final_rows, n - n_i AS rows_removed, {pct('n - n_i', 'n')} AS removed_pct
+  FROM (SELECT (SELECT count(*) FROM raw) AS n, (SELECT count(*) FROM d) AS n_d, (SELECT count(*) FROM i) AS n_i) x""")
+def q_stage_step1(spark, d):
+    from ledgerlens.plans import stages
+    upload = fx.raw(spark, d).toDF("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country")
+    return stages.run_cleaning_step1(upload, _sink_path(spark, "step1", d))[1].select(
+        "initial_rows", "duplicates_removed", "missing_customers_removed", "final_rows", "rows_removed", "removed_pct")
+
+
+@register("stage_step2_summary", f"""SELECT count(*) AS initial_rows, count(*) FILTER (WHERE rule = 3) AS non_positive_quantity_removed,
+  count(*) FILTER (WHERE rule = 4) AS non_positive_unit_price_removed, count(*) FILTER (WHERE rule = 5) AS invalid_date_removed,
+  count(*) FILTER (WHERE rule = 6) AS cancelled_invoice_removed, count(ts) AS dates_parsed, count(*) - count(ts) AS parse_errors,
+  {pct('count(ts)', 'count(*)')} AS parse_success_rate, count(*) FILTER (WHERE rule = 0) AS final_rows,
+  {iso('min(ts) FILTER (WHERE rule = 0)')} AS min_date, {iso('max(ts) FILTER (WHERE rule = 0)')} AS max_date,
+  {pct('count(*) FILTER (WHERE rule <> 0)', 'count(*)')} AS removed_pct FROM cl""")
+def q_stage_step2(spark, d):
+    from ledgerlens.plans import stages
+    _, summary = stages.run_cleaning_step2(fx.step1(spark, d), _sink_path(spark, "step2", d), fx.FIXTURE_CUTOFF)
+    return summary.select("initial_rows", "non_positive_quantity_removed", "non_positive_unit_price_removed", "invalid_date_removed",
+                          "cancelled_invoice_removed", "dates_parsed", "parse_errors", "parse_success_rate", "final_rows", "min_date", "max_date",
+                          "removed_pct")
+
+
+# ------------------------------------------------------------------ uploads as CSV
+
+# The fixture as people upload it: text ids, quantities and prices in several forms, dates in six.
+CSV_SQL = f""", up AS (SELECT *, CAST(invoiceno[(CASE WHEN invoiceno LIKE 'C%' THEN 2 ELSE 1 END):] AS BIGINT) % 6 AS form,
+    CAST(stockcode AS BIGINT) AS sk FROM d),
+cu AS (SELECT invoiceno, stockcode, CASE WHEN customerid IS NULL OR customerid = '' OR lower(customerid) = 'nan' THEN NULL
+      WHEN form = 0 THEN customerid ELSE 'C' || customerid END AS customerid,
+    CASE WHEN sk % 5 = 0 THEN CAST(quantity AS DECIMAL(18, 6)) + CAST(0.5 AS DECIMAL(18, 6)) ELSE CAST(quantity AS DECIMAL(18, 6)) END AS quantity,
+    CASE WHEN sk % 13 = 0 AND unitprice > 0 THEN CAST(0.001 AS DECIMAL(18, 6)) ELSE CAST(unitprice AS DECIMAL(18, 6)) END AS unitprice,
+    try_cast(invoicedate AS TIMESTAMP) + (CASE WHEN form IN (1, 2) THEN INTERVAL 8 HOUR ELSE INTERVAL 0 HOUR END)
+      + (CASE WHEN form = 1 THEN INTERVAL 123 MILLISECOND ELSE INTERVAL 0 SECOND END) AS ts FROM up),
+ct AS (SELECT *, quantity * unitprice AS total_revenue FROM cu WHERE customerid IS NOT NULL AND quantity > 0 AND unitprice > 0
+    AND ts IS NOT NULL AND ts <= TIMESTAMP '{fx.FIXTURE_CUTOFF}' AND invoiceno NOT LIKE 'C%')"""
+
+
+def _csv_upload(spark, d) -> DataFrame:
+    """The raw fixture written as CSV in mixed forms, once a session, and read with the upload reader."""
+    from ledgerlens.sources import io
+    raw = fx.raw(spark, d)
+    form = F.regexp_replace("invoiceno", "^C", "").cast("bigint") % 6
+    sk = F.col("stockcode").cast("bigint")
+    day = F.col("invoicedate").try_cast("timestamp")
+    written = lambda f, c=day: F.date_format(c, f)
+    date = (F.when(day.isNull(), F.col("invoicedate")).when(form == 1, F.concat(written("yyyy-MM-dd"), F.lit("T08:00:00.123")))
+            .when(form == 2, F.concat(written("yyyy-MM-dd"), F.lit("T10:00:00+02:00"))).when(form == 3, written("M/d/yyyy"))
+            .when(form == 4, F.concat(written("M/d/yyyy"), F.lit(" 0:00"))).when(form == 5, F.concat(written("yyyy-MM-dd"), F.lit("T00:00:00Z")))
+            .otherwise(F.col("invoicedate")))
+    missing = F.col("customerid").isNull() | (F.col("customerid") == "") | (F.lower("customerid") == "nan")
+    quantity = F.when(sk % 5 == 0, (F.col("quantity") + F.lit(0.5).cast("decimal(3,1)")).cast("string")).otherwise(F.concat(F.col("quantity").cast("string"), F.lit(".0")))
+    price = F.when((sk % 13 == 0) & (F.col("unitprice") > 0), F.lit("0.001")).otherwise(F.col("unitprice").cast("string"))
+    upload = raw.select(
+        F.when(missing, F.col("customerid")).when(form == 0, F.concat("customerid", F.lit(".0"))).otherwise(F.concat(F.lit("C"), "customerid")).alias("CustomerID"),
+        F.col("invoiceno").alias("InvoiceNo"), F.col("stockcode").alias("StockCode"), F.col("description").alias("Description"),
+        quantity.alias("Quantity"), date.alias("InvoiceDate"), price.alias("UnitPrice"), F.col("country").alias("Country"))
+    key = ("csv", d)
+    memo = fx._memo(spark)
+    if key not in memo:
+        path = f"{_sink_path(spark, 'upload', d)}.csv"
+        upload.write.mode("overwrite").option("header", True).csv(path)
+        memo[key] = io.load_table(spark, path)
+    return memo[key]
+
+
+def _csv_clean(spark, d) -> DataFrame:
+    from ledgerlens.operators import clean
+    return clean.clean_transactions(_csv_upload(spark, d), cutoff=fx.FIXTURE_CUTOFF)
+
+
+@register("csv_clean", f"""{CSV_SQL} SELECT invoiceno, stockcode, customerid, CAST(quantity AS DOUBLE) AS quantity,
+  CAST(unitprice AS DOUBLE) AS unitprice, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS invoicedate, CAST(total_revenue AS DOUBLE) AS total_revenue FROM ct""")
+def q_csv_clean(spark, d):
+    """S1, F13, F14 on a CSV with text ids, ``6.0``, half units, tenth-of-a-cent prices and six date forms."""
+    tx = _csv_clean(spark, d)
+    return tx.select("invoiceno", "stockcode", "customerid", F.col("quantity").cast("double").alias("quantity"),
+                     F.col("unitprice").cast("double").alias("unitprice"), F.date_format("invoicedate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("invoicedate"),
+                     F.col("total_revenue").cast("double").alias("total_revenue"))
+
+
+@register("csv_rfm_base", f"""{CSV_SQL}, cc AS (SELECT customerid, max(ts) AS last_purchase, count(DISTINCT invoiceno) AS frequency,
+    round_even(sum(total_revenue), 2) AS monetary FROM ct GROUP BY customerid),
+cr AS (SELECT max(last_purchase) + INTERVAL 1 DAY AS ref_ts FROM cc)
+SELECT customerid, CAST(floor(epoch(ref_ts - last_purchase) / 86400) AS BIGINT) AS recency, frequency, CAST(monetary AS DOUBLE) AS monetary
+FROM cc, cr WHERE frequency > 0 AND monetary > 0""")
+def q_csv_base(spark, d):
+    """The RFM base of that upload: every text id keeps its customer."""
+    return rfm.rfm_base(_csv_clean(spark, d)).withColumn("monetary", F.col("monetary").cast("double"))

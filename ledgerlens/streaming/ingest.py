@@ -1,12 +1,14 @@
 """Incremental cleaning of uploaded transaction files (Structured Streaming).
 
 The reference cleans each uploaded dataset file in a separate job. Here a
-file stream watches the upload folder; every micro-batch holds one new
-file (``maxFilesPerTrigger=1``), and ``foreachBatch`` runs the same batch
-operators on it: typed read, dedupe, missing ids, step-2 rules and the
-one-pass waterfall. Outputs are written under a ``batch_id=`` partition in
-overwrite mode, so a micro-batch replayed after a failure replaces its own
-output instead of duplicating it; stream progress lives in a checkpoint
+file stream watches the upload folder for new files; every micro-batch
+holds one (``maxFilesPerTrigger=1``). ``foreachBatch`` reads that file with
+the batch reader, so its columns are found by name in its own header
+whatever their order, and extra columns go through, and runs the same
+batch operators on it: typed read, dedupe, missing ids, step-2 rules and
+the one-pass waterfall. Outputs are written under a ``batch_id=`` partition
+in overwrite mode, so a micro-batch replayed after a failure replaces its
+own output instead of duplicating it; stream progress lives in a checkpoint
 under the cluster's shared checkpoint folder.
 """
 
@@ -16,29 +18,23 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlens.functions.names import REQUIRED_COLUMNS
 from ledgerlens.operators import clean
 from ledgerlens.session import ensure_checkpoint_dir
-from ledgerlens.sources.io import typed_transactions
-
-# Upload files carry the required columns in this order, read as text.
-UPLOAD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_COLUMNS])
+from ledgerlens.sources.io import read_raw_csv
 
 
 def _clean_batch(out_dir: str, cutoff):
     def run(batch: DataFrame, batch_id: int) -> None:
-        typed = typed_transactions(batch)
-        # the file name is an extra column, carried through cleaning unchanged
-        cleaned = clean.clean_transactions(typed, cutoff=cutoff)
-        # one file per batch: its name (one value) labels the waterfall rows
-        first = typed.select("dataset").limit(1).collect()
-        waterfall = clean.cleaning_waterfall(typed.drop("dataset"), cutoff=cutoff) \
-            .withColumn("dataset", F.lit(first[0]["dataset"] if first else None).cast("string"))
-        cleaned.write.mode("overwrite").parquet(os.path.join(out_dir, "cleaned", f"batch_id={batch_id}"))
-        waterfall.write.mode("overwrite").parquet(os.path.join(out_dir, "waterfall", f"batch_id={batch_id}"))
+        # one file per batch: one path reaches the driver
+        for (path,) in batch.select("path").collect():
+            typed = read_raw_csv(batch.sparkSession, path)
+            name = F.lit(os.path.basename(path))
+            cleaned = clean.clean_transactions(typed, cutoff=cutoff).withColumn("dataset", name)
+            waterfall = clean.cleaning_waterfall(typed, cutoff=cutoff).withColumn("dataset", name)
+            cleaned.write.mode("overwrite").parquet(os.path.join(out_dir, "cleaned", f"batch_id={batch_id}"))
+            waterfall.write.mode("overwrite").parquet(os.path.join(out_dir, "waterfall", f"batch_id={batch_id}"))
     return run
 
 
@@ -50,9 +46,10 @@ def clean_uploads(spark: SparkSession, upload_dir: str, out_dir: str, checkpoint
     (an incremental batch job); otherwise it keeps watching the folder.
     """
     checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "ledgerlens-streams", "clean_uploads")
-    files = (spark.readStream.schema(UPLOAD_SCHEMA).option("header", True).option("maxFilesPerTrigger", 1)
-             .csv(upload_dir)
-             .withColumn("dataset", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)))
+    # only the paths: the files' bytes are not read by the stream
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.csv")
+             .load(upload_dir).select("path"))
     writer = files.writeStream.foreachBatch(_clean_batch(out_dir, cutoff)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

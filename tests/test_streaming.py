@@ -32,3 +32,15 @@ def test_clean_uploads_available_now(spark):
     dup = {r.dataset: r.removed for r in wf.where(F.col("rule") == "duplicates").collect()}
     assert dup == {"a.csv": 1, "b.csv": 0}
     assert wf.select("batch_id").distinct().count() == 2
+
+
+def test_columns_are_found_by_name_in_each_file(spark):
+    root = tempfile.mkdtemp(prefix="ledgerlens-stream-")
+    up, out, ck = (os.path.join(root, x) for x in ("uploads", "out", "ckpt"))
+    os.makedirs(up)
+    with open(os.path.join(up, "a.csv"), "w") as f:
+        f.write("CustomerID,Discount,Country,UnitPrice,InvoiceDate,Quantity,Description,StockCode,InvoiceNo\n")
+        f.write("C017,0.1,UK,2.55,12/1/10 8:26,2,x,A,1\n")
+    clean_uploads(spark, up, out, checkpoint=ck).awaitTermination(120)
+    (row,) = spark.read.parquet(os.path.join(out, "cleaned")).collect()
+    assert (row.invoiceno, row.customerid, row.discount, float(row.quantity)) == ("1", "C017", "0.1", 2.0)
