@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import parse_timestamp, pct
+from ledgerlens.functions.scalars import one_row
 from ledgerlens.operators.rank import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -88,22 +89,27 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: type, distinct count (nulls skipped), null count; for
     numeric columns mean, median, min, max and sample std (6 digits).
 
-    ``approx=True`` swaps the exact distinct count for a HyperLogLog sketch.
-    Sample values (the reference's ``head(5)``) are in :func:`sample_values`.
+    One plain aggregate gives all but the distinct counts. Those are a grouping
+    of each column alone (a scan of that column, combined on the map side), as
+    several exact distinct counts in one aggregate would copy every row once
+    for each. ``approx=True`` swaps them for HyperLogLog sketches. Sample values (the reference's ``head(5)``) are in :func:`sample_values`.
     """
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
-        distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-        aggs += [distinct.alias(f"_u{i}"), F.count_if(c.isNull()).alias(f"_z{i}")]
+        aggs.append(F.count_if(c.isNull()).alias(f"_z{i}"))
+        if approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"_u{i}"))
         if isinstance(f.dataType, NUMERIC):
             mean = (F.sum(c).cast("double") / F.count(c).cast("double")) if isinstance(f.dataType, EXACT_SUM) \
                 else F.avg(c.cast("double"))
             aggs += [mean.alias(f"_a{i}"), F.min(c).cast("double").alias(f"_lo{i}"),
                      F.max(c).cast("double").alias(f"_hi{i}"),
                      F.round(F.stddev_samp(c.cast("double")), 6).alias(f"_s{i}")]
-    one = df.agg(*aggs)
+    distinct = [] if approx else [
+        df.select(f.name).where(F.col(f.name).isNotNull()).distinct().agg(F.count(F.lit(1)).alias(f"_u{i}")) for i, f in enumerate(fields)]
+    one = one_row(df.agg(*aggs), *distinct)
     rows = []
     for i, f in enumerate(fields):
         numeric = isinstance(f.dataType, NUMERIC)
