@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[list[Row], dict]:
-    """About ``per_class`` rows (doc_id, text, label) of each label, texts of up to ``longest``
-    bytes, and how many rows with each label there are in all.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int, most: int = 20_000) -> tuple[list[Row], dict]:
+    """About ``per_class`` rows (doc_id, text, label) of each label (fewer where there are so many
+    labels that they would be over ``most`` together), texts of up to ``longest`` bytes, and how
+    many rows with each label there are in all.
 
     ``labels`` (doc_id, label) holds the learnable rows only. A row is in the sample if its id's
     hash is below its label's share, so the choice is the same on each run. The bounds are for
@@ -20,6 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], {}
+    per_class = min(per_class, max(1, most // len(counts)))
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, 1.1 * per_class / n))).otherwise(share)
