@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, longest:
     hash is below its label's share, so the choice is the same on each run. The bounds are for
     the training sample alone; nothing else is sampled.
     """
-    known = labels.filter("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], {}
