@@ -16,7 +16,6 @@ that pass the base rules.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,18 +28,26 @@ from xxhash import xxh64_intdigest
 
 from ledgerlens.llm.common import WordHashes, as_bytes, dealt, groups, map_file, mix, scratch, split_words, write_file, written
 
-ORDER = 5
+ORDER = 4
 SHARD = 2_000_000
 #: Stands before a text's first character.
 START = 2
-#: Entries that a counting task gathers before it hands them on.
-GATHERED = 400_000
+#: N-grams whose probability a scoring task keeps; a full store is emptied, which changes no result.
+KEPT = 400_000
+#: Bytes of text that a counting task sorts at a time.
+SORTED_BYTES = 8 << 20
 #: Log probability of a character in a language that the model lacks.
 UNSEEN = -14.0
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SYMBOLS = "#*$%&|<>"
 
 
+def texts_of(chars: np.ndarray) -> list[str]:
+    """Rows of ``ORDER`` code points as strings."""
+    text = chars.astype("<u4").tobytes().decode("utf-32-le", "replace")
+    return [text[i:i + ORDER] for i in range(0, len(text), ORDER)]
+
+
 class Characters:
     """Texts' code points end to end, each text after ``ORDER - 1`` start marks."""
 
@@ -56,24 +63,43 @@ class Characters:
         self.langs, of = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True) if langs else (np.empty(0, str), np.empty(0, int))
         self.lang = np.repeat(of, size)
 
-    def distinct(self) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-        """Language and text of the distinct n-grams, their counts, and each character's n-gram's number."""
-        if not len(self.at):
-            return [], [], np.empty(0, np.int64), np.empty(0, np.int64)
+    def keys(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """A number for each character's n-gram and language, the alphabet, and the bits that a
+        character has in the numbers (0: they do not fit, and the numbers are ranks)."""
         there = np.zeros(int(self.code.max()) + 1, np.int64)
         there[self.code] = 1
         alphabet = np.flatnonzero(there)
         number = (np.cumsum(there) - 1)[self.code].astype(np.uint64)
         bits = max(1, int(len(alphabet) - 1).bit_length())
         lang_bits = max(1, int(len(self.langs) - 1).bit_length())
+        key = self.lang.astype(np.uint64)
         if ORDER * bits + lang_bits <= 64:
-            key = self.lang.astype(np.uint64)
             for k in range(ORDER):
                 key = (key << np.uint64(bits)) | number[self.at - (ORDER - 1 - k)]
-        else:  # many characters: rank pair after pair
-            key = self.lang.astype(np.uint64)
-            for k in range(ORDER):
-                key = np.unique(key * np.uint64(len(alphabet)) + number[self.at - (ORDER - 1 - k)], return_inverse=True)[1].astype(np.uint64)
+            return key, alphabet, bits
+        for k in range(ORDER):  # many characters: rank pair after pair
+            key = np.unique(key * np.uint64(len(alphabet)) + number[self.at - (ORDER - 1 - k)], return_inverse=True)[1].astype(np.uint64)
+        return key, alphabet, 0
+
+    def counted(self) -> tuple[list[str], list[str], np.ndarray]:
+        """Language and text of the distinct n-grams, and their counts."""
+        if not len(self.at):
+            return [], [], np.empty(0, np.int64)
+        key, alphabet, bits = self.keys()
+        if not bits:
+            return self.distinct()[:3]
+        key.sort()
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts, key = np.diff(np.r_[new, len(key)]), key[new]
+        mask = np.uint64((1 << bits) - 1)
+        chars = np.stack([alphabet[(key >> np.uint64(bits * k)) & mask] for k in range(ORDER - 1, -1, -1)], axis=1)
+        return self.langs[(key >> np.uint64(bits * ORDER)).astype(np.int64)].tolist(), texts_of(chars), counts
+
+    def distinct(self) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Language and text of the distinct n-grams, their counts, and each character's n-gram's number."""
+        if not len(self.at):
+            return [], [], np.empty(0, np.int64), np.empty(0, np.int64)
+        key, _, _ = self.keys()
         order = np.argsort(key)
         key = key[order]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -82,9 +108,7 @@ class Characters:
         of[order] = np.repeat(np.arange(len(new)), counts)
         first = order[new]
         chars = self.code[self.at[first][:, None] + np.arange(1 - ORDER, 1)[None, :]]
-        text = np.ascontiguousarray(chars).tobytes().decode("utf-32-le", "replace")
-        grams = [text[i:i + ORDER] for i in range(0, len(text), ORDER)]
-        return self.langs[self.lang[first]].tolist(), grams, counts, of
+        return self.langs[self.lang[first]].tolist(), texts_of(chars), counts, of
 
 
 def lang_of() -> F.Column:
@@ -95,22 +119,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, c): each n-gram of ``ORDER`` characters of all texts, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            keys, n = list(held), list(held.values())
-            held.clear()
-            return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "gram": pa.array([k[1] for k in keys], pa.string()),
-                                               "n": pa.array(n, pa.int64())})
-
         for batch in batches:
             texts, langs = as_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in groups(texts):
-                lang, grams, counts, _ = Characters(texts[a:b], langs[a:b]).distinct()
-                held.update(dict(zip(zip(lang, grams), counts.tolist())))
-                if len(held) > GATHERED:
-                    yield hand_on()
-        yield hand_on()
+            for a, b in groups(texts, SORTED_BYTES):
+                lang, grams, counts = Characters(texts[a:b], langs[a:b]).counted()
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
 
     rows = docs.filter("text is not null").select(lang_of(), "text").mapInArrow(run, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
@@ -280,7 +293,7 @@ def measure(docs: DataFrame, uri: str, shards: int) -> DataFrame:
                 text = Characters(texts[a:b], langs[a:b])
                 parts.append(base_rules(texts[a:b], text, hashes))
                 lang, grams, _, of = text.distinct()
-                if len(known) > GATHERED:
+                if len(known) > KEPT:
                     known.clear()
                 pairs = list(zip(lang, grams))
                 fresh = [p for p in pairs if p not in known]
