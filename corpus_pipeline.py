@@ -26,9 +26,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, trained on the labelled documents, rejects. A row with a null doc_id is kept."""
-    scored = written(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), scratch(spark, "quality"))
-    return _without(docs, scored.filter("predicted = 0").select("doc_id"))
+    """Drops documents that the classifier, trained on the labelled documents, rejects."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

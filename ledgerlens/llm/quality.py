@@ -188,3 +188,19 @@ def score(docs: DataFrame, model: Attention, threshold: float = 0.3, modulus: in
 
     return docs.select("doc_id", "text", fold("doc_id", modulus, held).alias("held_out")).mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, focus long")
+
+
+def keep_good(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more. Each row is judged
+    by its own text where it stands, so nothing is shuffled; the cases are those of :func:`score`."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, hashes = Shapes(), WordHashes()
+        for batch in batches:
+            texts = as_bytes(batch.column(at))
+            good = [model.forward(*passages(texts[a:b], shapes, hashes))[-1] >= threshold for a, b in groups(texts)]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
