@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
 
 Words are compared lower-cased and without characters other than letters and digits.
 
-1. Spark counts, over all documents, in how many each n-gram of the test items occurs.
-2. An item's seeds are its rare n-grams: those in no more than ``spread`` times as many
-   documents as the item's median n-gram, so at least half of them. A leaked item's n-grams
-   all become frequent together and stay seeds, however often it leaked.
-3. A seed in a document joins the item to the passage around it. Passage and item are aligned
-   (match +2, mismatch and gap -1); the score is the share of the item's full score.
+1. Every n-gram of an item is a seed, however many documents have it: copies of a leak make
+   its n-grams frequent, so their number of documents says nothing against them.
+2. A seed in a document joins the item to the passage around it. A passage is left out only
+   where the words that it shares with the item, each as often as in both, cannot reach the
+   least score: an alignment matches no more than these, so no hit is lost.
+3. Passage and item are aligned (match +2, mismatch and gap -1); the score is the share of the
+   item's full score.
 
 The test items are read in blocks of about ``block_bytes``, each against all documents, so what
 a task holds is bounded however many items there are.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, scratch, split_words, written
 
 MATCH, MISS = 2, -1
+#: Seeds that are looked at together, and words of their passages.
+SEEDS, TOGETHER = 1 << 15, 1 << 20
 HITS = "doc_id long, item_id long, score double, matched_words int, start_word int, end_word int"
 
 
@@ -57,6 +60,10 @@ class Items:
         for length, rows in found.items():
             key, item, at = map(np.array, zip(*sorted(rows)))
             self.grams[length] = key, item, at
+        self.sizes = np.array(list(map(len, self.words)), np.int64)
+        self.margins = np.maximum(4, self.sizes // 4)
+        pairs = np.repeat(np.arange(len(self.words)), self.sizes) * (len(self.vocabulary) + 1) + np.concatenate([np.empty(0, np.int64), *self.words])
+        self.bags = np.unique(pairs, return_counts=True)
 
     def keys(self, words: np.ndarray, length: int) -> np.ndarray:
         """A number for each n-gram; -1 where a word is not of the vocabulary."""
@@ -98,10 +105,10 @@ def numbered(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[
             yield ids[a:b], number[kept], place[kept], np.searchsorted(kept, ends)
 
 
-def seed_hits(items: Items, grams: dict, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n-gram length: (places, first and last+1 row of ``grams`` with the same n-gram), within documents."""
+def seed_hits(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n-gram length: (places, first and last+1 row of ``items.grams`` with the same n-gram), within documents."""
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(number))
-    for length, (key, _, _) in grams.items():
+    for length, (key, _, _) in items.grams.items():
         own = items.keys(number, length)
         at = np.flatnonzero((own >= 0) & (left[:len(own)] >= length))
         low, high = np.searchsorted(key, own[at], side="left"), np.searchsorted(key, own[at], side="right")
@@ -109,37 +116,55 @@ def seed_hits(items: Items, grams: dict, number: np.ndarray, bounds: np.ndarray)
         yield at[hit], low[hit], high[hit]
 
 
-def document_counts(docs: DataFrame, items: Items) -> dict[int, dict[int, int]]:
-    """By n-gram length and n-gram, the documents that have it. One row for each n-gram of the block comes back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], int] = defaultdict(int)
-        for _, number, _, bounds in numbered(batches, items):
-            for length, (at, low, _) in zip(items.grams, seed_hits(items, items.grams, number, bounds), strict=True):
-                doc = np.searchsorted(bounds, at, side="right") - 1
-                pairs = np.unique(np.stack([doc, items.grams[length][0][low]]), axis=1)
-                for key, n in zip(*(x.tolist() for x in np.unique(pairs[1], return_counts=True)), strict=True):
-                    total[length, key] += n
-        yield pa.RecordBatch.from_pydict({"length": pa.array([k[0] for k in total], pa.int32()), "gram": pa.array([k[1] for k in total], pa.int64()),
-                                          "n": pa.array(list(total.values()), pa.int64())})
-
-    out: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in docs.mapInArrow(run, "length int, gram long, n long").groupBy("length", "gram").agg(F.sum("n").alias("n")).collect():
-        out[r.length][r.gram] = r.n
+def pieces(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries with at most ``most`` together (one entry at least)."""
+    total, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right")))
+        yield start, end
+        start = end
+
+
+def laid_out(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``first`` on, ``size`` of them, end to end."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def reachable(items: Items, number: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, least: float) -> np.ndarray:
+    """Whether each passage (words ``first`` to ``last``) shares so many words with its item, each as
+    often as in both, that a score of ``least`` is possible."""
+    out = np.zeros(len(item), bool)
+    base = len(items.vocabulary) + 1
+    word, times = items.bags
+    for a, b in pieces(last - first, TOGETHER):
+        size = (last - first)[a:b]
+        words = number[laid_out(first[a:b], size)]
+        key = np.repeat(item[a:b], size) * base + words
+        at = np.minimum(np.searchsorted(word, key), len(word) - 1)
+        shared = np.flatnonzero((word[at] == key) & (words > 0))
+        pair, n = np.unique(np.repeat(np.arange(b - a), size)[shared] * len(word) + at[shared], return_counts=True)
+        most = np.bincount(pair // len(word), np.minimum(n, times[pair % len(word)]), b - a)
+        out[a:b] = most >= least * items.sizes[item[a:b]] - 1e-9
     return out
 
 
-def rare(items: Items, counts: dict[int, dict[int, int]], spread: float) -> dict:
-    """The rows of ``items.grams`` that are seeds."""
-    out = {}
-    for length, (key, item, at) in items.grams.items():
-        n = np.array([counts.get(length, {}).get(k, 0) for k in key.tolist()])
-        median = np.zeros(len(items.ids))
-        for i in np.unique(item):
-            median[i] = np.median(n[item == i])
-        keep = n <= spread * np.maximum(median[item], 1)
-        out[length] = key[keep], item[keep], at[keep]
-    return out
+def candidates(items: Items, number: np.ndarray, bounds: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, first and last+1 word) of the passages around seeds that can reach ``least``."""
+    for length, (at, low, high) in zip(items.grams, seed_hits(items, number, bounds), strict=True):
+        _, own, offset = items.grams[length]
+        for a, b in pieces(high - low, SEEDS):
+            row = laid_out(low[a:b], (high - low)[a:b])
+            where = np.repeat(at[a:b], (high - low)[a:b])
+            doc, item = np.searchsorted(bounds, where, side="right") - 1, own[row]
+            bin_ = (where - offset[row]) // items.margins[item]  # passages that begin within a margin of each other are one
+            found = np.stack([doc, item, bin_], axis=1)
+            found = found[np.lexsort(found.T[::-1])]
+            found = found[np.r_[True, (found[1:] != found[:-1]).any(axis=1)]]
+            doc, item, bin_ = found.T
+            margin, size = items.margins[item], items.sizes[item]
+            first, last = np.maximum(bounds[doc], (bin_ - 1) * margin), np.minimum(bounds[doc + 1], (bin_ + 2) * margin + size)
+            good = reachable(items, number, item, first, last, least)
+            yield doc[good], item[good], first[good], last[good]
 
 
 def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,28 +215,13 @@ def passages_aligned(items: Items, number: np.ndarray, found: list[tuple[int, in
     return out
 
 
-def block_hits(docs: DataFrame, items: Items, least: float, spread: float) -> DataFrame:
-    seeds = rare(items, document_counts(docs, items), spread)
-
+def block_hits(docs: DataFrame, items: Items, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, number, place, bounds in numbered(batches, items):
-            candidates = set()
-            for length, (at, low, high) in zip(seeds, seed_hits(items, seeds, number, bounds), strict=True):
-                row = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-                where = np.repeat(at, high - low)
-                _, item, offset = seeds[length]
-                item, begins = item[row], where - offset[row]
-                doc = np.searchsorted(bounds, where, side="right") - 1
-                size = np.array([len(w) for w in items.words])[item]
-                margin = np.maximum(4, size // 4)
-                bin_ = begins // margin  # passages that begin within a margin of each other are one
-                candidates.update(zip(doc.tolist(), item.tolist(), bin_.tolist()))
             found, docs_of = [], []
-            for doc, item, bin_ in sorted(candidates):
-                size = len(items.words[item])
-                margin = max(4, size // 4)
-                found.append((item, max(int(bounds[doc]), (bin_ - 1) * margin), min(int(bounds[doc + 1]), (bin_ + 2) * margin + size)))
-                docs_of.append(doc)
+            for doc, *passage in candidates(items, number, bounds, least):
+                found += zip(*(x.tolist() for x in passage), strict=True)
+                docs_of += doc.tolist()
             best: dict[tuple[int, int], tuple] = {}
             for k, score, matched, x, y in passages_aligned(items, number, found, least):
                 key, row = (docs_of[k], found[k][0]), (score, matched, -int(place[x]), int(place[y - 1]) + 1)
@@ -224,8 +234,7 @@ def block_hits(docs: DataFrame, items: Items, least: float, spread: float) -> Da
     return docs.mapInArrow(run, HITS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least: float = 0.5, spread: float = 2.0,
-                 block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, matched_words, start_word, end_word): for each document and each
     test item that it holds with a score of ``least`` or more, the best passage.
 
@@ -246,5 +255,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, lea
         own = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items([r.item_id for r in own], [r.text for r in own], seed_words)
         if items.grams:
-            out = out.unionByName(written(block_hits(docs, items, least, spread), scratch(spark, "leaks")))
+            out = out.unionByName(written(block_hits(docs, items, least), scratch(spark, "leaks")))
     return out

@@ -148,6 +148,32 @@ def test_edited_leaks_are_found_and_clean_texts_left(spark, block_bytes):
     assert 0.5 <= one.score < 1 and (one.start_word, one.end_word) == (2, 33)
 
 
+@pytest.mark.parametrize(("copies", "every"), [(3, 5), (100, 5), (1_000, 5), (100, 4), (1_000, 3.4)])
+def test_leaks_in_many_documents_are_found(spark, copies, every):
+    """One passage with 20 to 30% of its words replaced, in so many documents; some of its n-grams are in clean ones too."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 8)))
+    item = [word() for _ in range(40)]
+    edited = [word() if int((k + 1) / every) > int(k / every) else w for k, w in enumerate(item)]
+    text = lambda w: " ".join([*(word() for _ in range(10)), *w, *(word() for _ in range(10))])
+    rows = [(i, text(edited)) for i in range(copies)] + [(10_000 + i, text(item[i % 38:i % 38 + 3])) for i in range(76)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word() for _ in range(40)))], "item_id long, text string")
+    found = D.contaminated(docs_of(spark, rows), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, 1) for i in range(copies)]
+    assert all(r.score == plain_alignment(item, edited) / 80 >= 0.5 for r in found)
+
+
+def test_passages_left_out_cannot_reach_the_score():
+    r = random.Random(6)
+    items = D.Items(list(range(30)), [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 15))) for _ in range(30)], 3)
+    number = np.array([r.randrange(0, len(items.vocabulary) + 1) for _ in range(400)])
+    first = np.array([r.randrange(0, 380) for _ in range(900)])
+    last, item = first + 12, np.arange(900) % 30
+    good = D.reachable(items, number, item, first, last, 0.5)
+    score = [plain_alignment(items.words[i].tolist(), [x or -1 for x in number[a:b].tolist()]) / (2 * len(items.words[i])) for i, a, b in zip(item, first, last)]
+    assert 0 < good.sum() < 900 and all(g or s < 0.5 for g, s in zip(good, score))
+
+
 def test_decontamination_of_odd_tables(spark, messy, nothing):
     items = spark.createDataFrame([(1, "river mountain light house window paper stone green quiet", "x")], "item_id long, text string, score string")
     D.contaminated(messy, items).collect()
