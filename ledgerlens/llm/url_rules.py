@@ -64,14 +64,14 @@ def judge_by_list(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
 
 
 def mine(urls: DataFrame, min_support: float = 0.01, min_rows: int = 20, min_confidence: float = 0.9, min_lift: float = 1.05,
-         most_common: float = 0.95, mined_tokens: int = 16) -> DataFrame:
+         most_common: float = 0.95) -> DataFrame:
     """Rules (antecedent, verdict, support, confidence, lift, anchor) from ``urls`` (tokens, verdict or null).
 
     A combination has two tokens or more, and occurs in a share ``min_support`` of the URLs
     and in ``min_rows`` of them. Tokens in over ``most_common`` of the URLs say
     nothing and are left out (at most tokens-per-URL / most_common of them, so they are a
-    small literal). ``mined_tokens``: of one URL, so many tokens enter the mining,
-    in URL order, as the itemsets of a URL double with each token; matching reads all tokens.
+    small literal). All others of a URL enter the mining, and FP-growth itself leaves out those
+    below the least support, which are in no rule.
     ``anchor``: the antecedent's rarest token among the URLs.
     """
     spark = urls.sparkSession
@@ -79,7 +79,7 @@ def mine(urls: DataFrame, min_support: float = 0.01, min_rows: int = 20, min_con
     n = max(1, urls.count())
     counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     common = [r.token for r in counts.filter(F.col("n") > most_common * n).collect()]
-    kept = F.slice(F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>")), 1, mined_tokens)
+    kept = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
     label = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(LABEL), "verdict"))).otherwise(F.array().cast("array<string>"))
     baskets = urls.select(F.concat(kept, label).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets).associationRules

@@ -48,6 +48,16 @@ def test_mined_rules_judge_the_rest(spark):
     assert mined.count() and mined.filter("confidence < 0.9 or support < 0.01 or size(antecedent) < 2").count() == 0
 
 
+def test_rules_of_tokens_at_the_end_of_long_urls(spark):
+    """The tokens that decide stand behind more than 16 others, which are of one URL each."""
+    slug = lambda i: "-".join(f"w{i}x{k}" for k in range(24))
+    rows = [(i, f"http://shop.net/{slug(i)}/cheap/pills") for i in range(95)] + [(100 + i, f"http://a{i}.com/{slug(100 + i)}/cheap/pills") for i in range(5)]
+    rows += [(200 + i, f"http://b{i}.com/{slug(200 + i)}/cheap/books") for i in range(60)] + [(300 + i, f"http://c{i}.org/fr/{slug(300 + i)}") for i in range(60)]
+    found = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(found[100 + i].verdict == "block" and found[100 + i].mined_rule == "p:cheap p:pills" for i in range(5))
+    assert all(found[200 + i].verdict == "allow" for i in range(60))
+
+
 def test_plan_is_native(spark, sf001):
     out = io.StringIO()
     with redirect_stdout(out):
