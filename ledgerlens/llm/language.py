@@ -4,9 +4,10 @@
    use it; the others get the lowest score.
 2. A candidate's score is how well the word and its character n-grams fit the language, from a
    bounded labelled sample.
-3. Viterbi over the words' scores, with a penalty for each switch, labels spans. Where no run of
-   words gains more than one penalty by another language than the text's best, the best path
-   cannot switch; that is found for all texts of a batch at once, and the others are traced.
+3. Viterbi over the words' scores, with a penalty for each switch, labels spans. A path of m
+   spans pays m - 1 penalties and gains in at most m runs of words over the text's best language.
+   Where no run gains half a penalty it cannot be better; that is found for all texts of a batch
+   at once, and the others are traced.
 
 Labels are learned, never listed here; ``lang``, ``source`` and ``doc_id`` are not read in a prediction.
 """
@@ -175,7 +176,7 @@ class Labeller:
             run = np.cumsum(gain)
             base = (run - gain)  # before each word
             low = np.minimum.accumulate(base - owner * far)  # each text starts far below the one before
-            switches |= np.maximum.reduceat(run - owner * far - low, starts) > SWITCH
+            switches |= np.maximum.reduceat(run - owner * far - low, starts) >= SWITCH / 2 - 1e-3  # less what rounding can hide
         n_letters = np.add.reduceat(letters, starts)
         out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, [])] * len(texts)
         for j, i in enumerate(some.tolist()):

@@ -53,6 +53,39 @@ def test_texts_that_are_not_traced_do_not_switch():
     assert [(s["start"], s["end"], s["lang"]) for s in spans] == [(0, 30, "en"), (30, 57, "ru")]
 
 
+class Scored:
+    """Languages that score the words as given."""
+
+    names = ["a", "b", "c"]
+
+    def __init__(self, table):
+        self.table = table
+
+    def word_scores(self, words):
+        return np.array([self.table[w] for w in words], np.float32), np.ones(len(words), np.int64)
+
+
+def test_labels_are_the_best_of_all_paths():
+    """Also where one language is the best for the whole text, and two others each for a part of it."""
+    r = np.random.default_rng(7)
+    paths = np.array(list(product(range(3), repeat=8)))
+    paid = language.SWITCH * (paths[:, 1:] != paths[:, :-1]).sum(1)
+    tables = [-r.uniform(0, 5, (8, 3)) for _ in range(150)]
+    for cut in r.integers(1, 8, 150):
+        own = np.array([[0, -5, -2]] * cut + [[-5, 0, -2]] * (8 - cut)) - r.uniform(0, 1.5, (8, 3))
+        tables.append(own[:, r.permutation(3)])
+    tables = [np.float32(t - t.max(1, keepdims=True)) for t in tables]
+    texts = [b" ".join(b"%d.%d" % (i, k) for k in range(8)) for i in range(len(tables))]
+    found = language.Labeller(Scored({b"%d.%d" % (i, k): t[k] for i, t in enumerate(tables) for k in range(8)})).label(texts)
+    several = 0
+    for scores, (_, _, spans) in zip(tables, found):
+        path = [Scored.names.index(s["lang"]) for s in spans for _ in range(s["start"], s["end"])]
+        best = scores[np.arange(8), paths].sum(1, dtype=float) - paid
+        assert abs(scores[np.arange(8), path].sum(dtype=float) - language.SWITCH * (len(spans) - 1) - best.max()) < 1e-3
+        several += len(spans) > 1
+    assert several > 20
+
+
 def test_scripts_narrow_the_candidates():
     found = language.fit([b"the river", "дом река".encode()], ["en", "ru"])
     scores, letters = found.word_scores(["дом".encode(), b"river", "中文".encode(), b"12"])
