@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import pct
 from ledgerlens.functions.rules import CLUSTER_LABELS
-from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.operators.rank import column_quantiles
 from ledgerlens.functions.scalars import with_scalars
 from ledgerlens.session import stored
 
@@ -36,28 +36,31 @@ def _mean(df: DataFrame, c: str) -> Column:
 def scale_rfm(df: DataFrame, columns: Sequence[str] = RFM_COLUMNS, digits: int | None = None) -> DataFrame:
     """M1: add ``<col>_scaled`` for each available R/F/M column.
 
-    Nulls are filled with the column's exact median (computed only when a
-    null exists); a zero deviation divides by 1. Mean and deviation come
-    from one aggregate attached as scalar subqueries.
+    Nulls are filled with the column's exact median; a zero deviation divides
+    by 1. Medians, means and deviations are attached as scalar subqueries. A whole-number
+    column keeps its type, so a median between two numbers is cut in it (not in its scaled column).
     """
     cols = [c for c in columns if c in df.columns]
     if not cols:
         raise ValueError(f"No RFM metric columns found. Need at least one of: {list(columns)}")
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    filled = df
-    for c in cols:
-        if nulls[c]:
-            med = exact_quantiles(df, c, [0.5], names=["_med"]).first()["_med"]
-            filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(med)))
-    stats = filled.agg(*[_mean(filled, c).alias(f"_mu_{c}") for c in cols],
-                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in cols])
+    gaps = [c for c in cols if df.schema[c].nullable]
+    filled, exact = df, {c: F.col(c).cast("double") for c in cols}
+    if gaps:
+        medians = column_quantiles(df, gaps, [0.5]).agg(
+            *[F.max(F.when(F.col("column_name") == c, F.col("quantiles")[0])).alias(f"_med_{c}") for c in gaps])
+        filled = with_scalars(df, medians)
+        exact |= {c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in gaps}
+    filled = filled.withColumns({f"_x_{c}": v for c, v in exact.items()})
+    stats = filled.agg(*[(_mean(df, c) if c not in gaps else F.avg(f"_x_{c}")).alias(f"_mu_{c}") for c in cols],
+                       *[F.stddev_pop(f"_x_{c}").alias(f"_sd_{c}") for c in cols])
     out = with_scalars(filled, stats)
-    scaled = {}
+    scaled = {c: F.coalesce(F.col(c), F.col(f"_med_{c}").cast(df.schema[c].dataType)) for c in gaps}
     for c in cols:
         sd = F.col(f"_sd_{c}")
-        z = (F.col(c).cast("double") - F.col(f"_mu_{c}")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
+        z = (F.col(f"_x_{c}") - F.col(f"_mu_{c}")) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
         scaled[f"{c}_scaled"] = F.round(z, digits) if digits is not None else z
-    return out.withColumns(scaled).drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
+    helpers = [f"{h}_{c}" for c in cols for h in ("_mu", "_sd", "_x", "_med")]
+    return out.withColumns(scaled).drop(*helpers)
 
 
 def scaled_columns(df: DataFrame) -> list[str]:

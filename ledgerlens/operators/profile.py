@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import parse_timestamp, pct
 from ledgerlens.functions.scalars import one_row
-from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.operators.rank import column_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 EXACT_SUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -126,10 +126,7 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC)]
     if not numeric:
         return prof.withColumn("median", F.lit(None).cast("double"))
-    # All numeric columns in long form, so one grouped quantile pass gives every median.
-    pairs = ", ".join(f"{_lit_str(c)}, CAST(`{c}` AS DOUBLE)" for c in numeric)
-    long = df.selectExpr(f"stack({len(numeric)}, {pairs}) AS (column_name, value)")
-    medians = exact_quantiles(long, "value", [0.5], ["column_name"], ["median"])
+    medians = column_quantiles(df, numeric, [0.5]).select("column_name", F.col("quantiles")[0].alias("median"))
     # medians has one row per numeric column.
     return prof.join(F.broadcast(medians), "column_name", "left")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import as_timestamp, floor_days, iso_string
-from ledgerlens.operators.rank import exact_quantiles
+from ledgerlens.operators.rank import column_quantiles, exact_quantiles
 from ledgerlens.functions.scalars import one_row, with_scalars
 
 
@@ -79,6 +79,15 @@ def transactions_with_recency(tx: DataFrame, recency: DataFrame) -> DataFrame:
     return tx.join(recency, "customerid", "left")
 
 
+def _figures(df: DataFrame, c: str, p: str) -> list[Column]:
+    """Aggregates min, max, mean and std of one column."""
+    exact = isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType, T.DecimalType, T.ShortType))
+    # Exact sums for integers and decimals, so the mean does not depend on summation order.
+    mean = F.sum(c).cast("double") / F.count(c).cast("double") if exact else F.avg(F.col(c).cast("double"))
+    return [F.min(c).alias(f"{p}min"), F.max(c).alias(f"{p}max"), mean.alias(f"{p}mean"),
+            F.round(F.stddev_samp(F.col(c).cast("double")), 6).alias(f"{p}std")]
+
+
 def describe(df: DataFrame, c: str, with_median: bool = True, prefix: str | None = None) -> DataFrame:
     """min, max, mean, median, sample std of one column as one row.
 
@@ -86,12 +95,7 @@ def describe(df: DataFrame, c: str, with_median: bool = True, prefix: str | None
     algorithm of the engine.
     """
     p = f"{prefix}_" if prefix else ""
-    exact = isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType, T.DecimalType, T.ShortType))
-    # Exact sums for integers and decimals, so the mean does not depend on summation order.
-    mean = F.sum(c).cast("double") / F.count(c).cast("double") if exact else F.avg(F.col(c).cast("double"))
-    base = df.agg(F.count(c).alias(f"{p}count"), F.min(c).alias(f"{p}min"), F.max(c).alias(f"{p}max"),
-                  mean.alias(f"{p}mean"),
-                  F.round(F.stddev_samp(F.col(c).cast("double")), 6).alias(f"{p}std"))
+    base = df.agg(F.count(c).alias(f"{p}count"), *_figures(df, c, p))
     if not with_median:
         return base
     med = exact_quantiles(df, c, [0.5], names=[f"{p}median"])
@@ -217,10 +221,12 @@ def validate_rfm_base(rfm: DataFrame) -> DataFrame:
 
 def rfm_statistics(rfm: DataFrame) -> DataFrame:
     """min/max/mean/median/std of recency, frequency and monetary, one row."""
-    parts = [describe(rfm, c, prefix=c).drop(f"{c}_count") for c in ("recency", "frequency", "monetary")]
-    out = rfm.agg(F.count(F.lit(1)).alias("total_customers"))
-    for p in parts:
-        out = one_row(out, p)
-    cast = {f"monetary_{k}": F.col(f"monetary_{k}").cast("double") for k in ("min", "max")}
-    return out.withColumns(cast)
+    cols = ("recency", "frequency", "monetary")
+    stats = rfm.agg(F.count(F.lit(1)).alias("total_customers"), *[a for c in cols for a in _figures(rfm, c, f"{c}_")])
+    medians = column_quantiles(rfm, cols, [0.5]).agg(
+        *[F.max(F.when(F.col("column_name") == c, F.col("quantiles")[0])).alias(f"{c}_median") for c in cols])
+    out = with_scalars(stats, medians)
+    return out.select("total_customers", *[
+        (F.col(f"{c}_{k}").cast("double") if c == "monetary" else F.col(f"{c}_{k}")).alias(f"{c}_{k}")
+        for c in cols for k in ("min", "max", "mean", "std", "median")])
 

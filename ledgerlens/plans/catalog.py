@@ -176,12 +176,7 @@ def q_base_joined(spark, d):
 @register("global_rank", """SELECT customerid, CAST(rn_r AS BIGINT) AS recency_rank,
   CAST(rn_f AS BIGINT) AS frequency_rank, CAST(rn_m AS BIGINT) AS monetary_rank FROM k""")
 def q_rank(spark, d):
-    b = fx.base(spark, d)
-    n = b.count()
-    base = b
-    for m in score.METRICS:
-        b = score.global_rank(b, m, n_rows=n, offsets_from=base)
-    return b.select("customerid", "recency_rank", "frequency_rank", "monetary_rank")
+    return score.metric_ranks(fx.base(spark, d)).select("customerid", "recency_rank", "frequency_rank", "monetary_rank")
 
 
 @register("quintile_bins", f"""SELECT customerid, n, CAST({oracle_bin('rn_r')} AS INTEGER) AS recency_bin,

@@ -85,7 +85,7 @@ def test_scores_with_forced_buckets_equal_single_window(spark, sf001):
     tx = clean.clean_transactions(dirty_transactions(spark, sf001), cutoff=CUT)
     base = rfm.rfm_base(tx).cache()
     a = score.score_rfm(base).select("customerid", "rfm_score")
-    b = score.score_rfm(base, rows_per_bucket=20).select("customerid", "rfm_score")
+    b = score.score_rfm(base, ranges=12).select("customerid", "rfm_score")
     assert a.exceptAll(b).count() == 0 and b.count() == 150
 
 

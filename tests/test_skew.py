@@ -49,7 +49,7 @@ def test_bucketed_scores_equal_window_scores_with_hot_values(spark):
              Decimal(f"{rnd.randint(1, 500)}.00")) for i in range(1, 2001)]
     base = spark.createDataFrame(rows, "customerid long, recency long, frequency long, monetary decimal(20,2)")
     a = score.score_rfm(base, keep_ranks=True)
-    b = score.score_rfm(base, rows_per_bucket=100, keep_ranks=True)
+    b = score.score_rfm(base, ranges=20, keep_ranks=True)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     plain = base.withColumn("rn", F.row_number().over(Window.orderBy("frequency", "customerid")))
     got = b.join(plain.select("customerid", "rn"), "customerid")
@@ -59,6 +59,7 @@ def test_bucketed_scores_equal_window_scores_with_hot_values(spark):
 def test_bucketed_rank_windows_are_partitioned(spark):
     base = spark.range(1, 3001).select(F.col("id").alias("customerid"), (F.col("id") % 7).alias("recency"),
                                        (F.col("id") % 3).alias("frequency"), (F.col("id") * 1.5).alias("monetary"))
-    plan = score.score_rfm(base, rows_per_bucket=500)._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.split("\n") if "row_number()" in line]
-    assert windows and all("_rank_bucket" in w for w in windows)
+    got = score.score_rfm(base, ranges=9, keep_ranks=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "row_number()" not in plan  # numbers are places in stored ranges
+    assert sorted(r.frequency_rank for r in got.select("frequency_rank").collect()) == list(range(1, 3001))
