@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontamination, language, packing, perplexity, quality, simhash, substrings, token_files, toxicity, url_rules
+from ledgerlens.llm import (centroids, conversations, decontamination, language, mixing, packing, perplexity, quality, simhash, substrings, token_files,
+                            toxicity, url_rules)
 from ledgerlens.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +88,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLE["op12_conversation_repair"] = conversations.oracle_sql()
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+ORACLE["op13_centroid_clustering"] = centroids.oracle_sql()
