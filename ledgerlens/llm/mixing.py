@@ -31,25 +31,26 @@ from ledgerlens.llm.common import scratch, written
 from ledgerlens.operators.rank import exact_row_number, exact_running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rounds of the shuffle; after 24 an index is spread evenly over any range that fits 40 bits.
-ROUNDS = 24
+#: Rounds of the shuffle; each halves what an index's place still tells of it.
+ROUNDS = 16
 #: Intervals are looked up by equal parts of their range.
 PARTS = 4096
 
 
-def permuted(df: DataFrame, index: str, size: str, key: Column, out: str) -> DataFrame:
+def permuted(df: DataFrame, index: str, size: str, key: str, out: str) -> DataFrame:
     """``df`` with ``out``: a pseudorandom bijection of ``index`` in 0..``size``-1, one for each ``key``.
 
     Swap-or-not shuffle: each round pairs x with K - x (mod size) and a hash of the pair says whether they swap.
+    The columns that it reads are to be stored ones: an expression among them would be computed again in each round.
     """
     size_ = F.col(size)
 
     def swapped(x: Column, r: Column) -> Column:
-        pair = F.pmod(F.pmod(F.xxhash64("_key", r), size_) - x, size_)
-        return F.when(F.xxhash64("_key", r + ROUNDS, F.greatest(x, pair)).bitwiseAND(1) == 1, pair).otherwise(x)
+        pair = F.pmod(F.pmod(F.xxhash64(key, r), size_) - x, size_)
+        return F.when(F.xxhash64(key, r + ROUNDS, F.greatest(x, pair)).bitwiseAND(1) == 1, pair).otherwise(x)
 
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return df.withColumn("_key", key).withColumn(out, F.aggregate(rounds, F.col(index).cast("long"), swapped)).drop("_key")
+    return df.withColumn(out, F.aggregate(rounds, F.col(index).cast("long"), swapped))
 
 
 def in_intervals(points: DataFrame, at: str, intervals: DataFrame, total: int) -> DataFrame:
@@ -104,29 +105,33 @@ def drawn(sources: DataFrame, shard_slots: int, most: int, seed: int) -> DataFra
     slots = spark.range(total).select((F.expr(f"id div {shard_slots}")).alias("shard"), (F.col("id") % shard_slots).alias("slot"),
                                       F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("u"))
     draws = written(in_intervals(slots, "u", shares, total).select("shard", "slot", "number"), scratch(spark, "draws"))
-    # a slot's number among its source's: counts of earlier shards, then slots of the same shard
-    numbered = written(exact_row_number(draws, ["shard", "slot"], ["number"], "i").withColumn("i", F.col("i") - 1), scratch(spark, "numbered-draws"))
     counts = sources.join(draws.groupBy("number").agg(F.count(F.lit(1)).alias("drawn")), "number", "left") \
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     balance = written(counts.select("number", "quota", "n_blocks", "drawn", F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)).alias("over"),
                                     F.greatest(F.col("quota") - F.col("drawn"), F.lit(0)).alias("short")), scratch(spark, "balance"))
     spare = balance.agg(F.sum("over")).first()[0] or 0
-    over = exact_running_sum(balance, ["number"], weight="over", out="over_end").withColumn("over_start", F.col("over_end") - F.col("over"))
-    mixed = permuted(numbered.join(over.select("number", "quota", "n_blocks", "drawn", "over_start"), "number"), "i", "drawn",
-                     F.xxhash64(F.lit(seed), F.lit("draws"), "number"), "p")
+    over = exact_running_sum(balance, ["number"], weight="over", out="over_end").select(
+        "number", "quota", "n_blocks", "drawn", (F.col("over_end") - F.col("over")).alias("over_start"), F.xxhash64(F.lit(seed), F.lit("draws"), "number").alias("key"))
+
+    def stored(df: DataFrame) -> DataFrame:
+        return written(df, scratch(spark, "slots"))
+
+    # a slot's number among its source's, over all shards, then its place in a random order of them
+    numbered = exact_row_number(draws, ["shard", "slot"], ["number"], "i").withColumn("i", F.col("i") - 1)
+    mixed = stored(permuted(stored(numbered.join(over, "number")), "i", "drawn", "key", "p").drop("key", "i"))
     kept = mixed.filter("p < quota").select("shard", "slot", "number", "n_blocks", "p")
     if spare:
         missing = exact_running_sum(balance, ["number"], weight="short", out="hi").select(
             F.col("number").alias("to"), (F.col("hi") - F.col("short")).alias("lo"), "hi", F.col("drawn").alias("from"), F.col("n_blocks").alias("to_blocks"),
             (F.col("hi") - F.col("short")).alias("first"))
-        loose = mixed.filter("p >= quota").select("shard", "slot", (F.col("over_start") + F.col("p") - F.col("quota")).alias("k"), F.lit(spare).cast("long").alias("spare"))
-        dealt = permuted(loose, "k", "spare", F.xxhash64(F.lit(seed), F.lit("spare")), "u")
-        given = in_intervals(dealt, "u", missing, spare).select(
+        loose = stored(mixed.filter("p >= quota").select("shard", "slot", (F.col("over_start") + F.col("p") - F.col("quota")).alias("k"),
+                                                         F.lit(spare).cast("long").alias("spare"), F.xxhash64(F.lit(seed), F.lit("spare")).alias("key")))
+        given = in_intervals(stored(permuted(loose, "k", "spare", "key", "u")), "u", missing, spare).select(
             "shard", "slot", F.col("to").alias("number"), F.col("to_blocks").alias("n_blocks"), (F.col("from") + F.col("u") - F.col("first")).alias("p"))
         kept = kept.unionByName(given)
     passed = kept.withColumns({"pass": F.expr("p div n_blocks"), "within": F.col("p") % F.col("n_blocks")})
-    return permuted(passed, "within", "n_blocks", F.xxhash64(F.lit(seed), F.lit("blocks"), "number", "pass"), "block") \
-        .select("shard", "slot", "number", "pass", "block")
+    keyed = stored(passed.withColumn("key", F.xxhash64(F.lit(seed), F.lit("blocks"), "number", "pass")))
+    return stored(permuted(keyed, "within", "n_blocks", "key", "block").select("shard", "slot", "number", "pass", "block"))
 
 
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 8192, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
