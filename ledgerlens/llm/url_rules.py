@@ -3,12 +3,14 @@
 Native: DataFrame functions and Spark ML's FP-growth only.
 
 1. ``judge_by_list``: the longest fitting entry of a (host, path, verdict) list decides.
-2. ``mine``: the list's verdicts are the labels. FP-growth mines token combinations with a
-   verdict as consequent over all URLs; support, confidence and lift prune them. URLs without
-   a label count against a rule's confidence, so a rule holds where nearly all known URLs with
-   its tokens have its label, and it is the few others that it then judges.
-3. ``match``: each rule stands in an inverted index under its rarest token. A URL's tokens
-   look up candidates there, and every token of the antecedent is then verified.
+2. ``mine``: the list's verdicts are the labels, and the URLs that have one are mined. The tokens
+   that the list's own hosts and paths are made of are left out, since with them the rules
+   would say the list again. FP-growth mines token combinations with a verdict as
+   consequent; support, confidence and lift among the labelled URLs prune them.
+   Tokens that stand in the same labelled URLs are one item, so a site's fixed path is one
+   item and not all its combinations; any of them stands for the item, which is what rules over single tokens say too.
+3. ``match``: each rule stands in an inverted index under its rarest item. An unlisted URL's items
+   look up candidates there, and every item of the antecedent is then verified.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 allowed. Repeated URLs get equal verdicts. An empty table gives an empty result; without
@@ -63,44 +65,53 @@ def judge_by_list(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
     return cut.withColumns({"rule": listed_rule(host, path, rules), "listed": listed_rule(host, path, rules, 2)})
 
 
-def mine(urls: DataFrame, min_support: float = 0.01, min_rows: int = 20, min_confidence: float = 0.9, min_lift: float = 1.05,
-         most_common: float = 0.95) -> DataFrame:
-    """Rules (antecedent, verdict, support, confidence, lift, anchor) from ``urls`` (tokens, verdict or null).
+def own_tokens(rules: Sequence[tuple[str, str, str]]) -> list[str]:
+    """The tokens of the list's hosts and paths."""
+    words = {f"h:{x}" for host, _, _ in rules for x in host.split(".")} | {f"p:{x}" for _, path, _ in rules for x in path.lower().split("/")}
+    return sorted(w for w in words if len(w) > 2)
 
-    A combination has two tokens or more, and occurs in a share ``min_support`` of the URLs
-    and in ``min_rows`` of them. Tokens in over ``most_common`` of the URLs say
-    nothing and are left out (at most tokens-per-URL / most_common of them, so they are a
-    small literal). All others of a URL enter the mining, and FP-growth itself leaves out those
-    below the least support, which are in no rule.
-    ``anchor``: the antecedent's rarest token among the URLs.
+
+def mine(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, min_support: float = 0.01, min_rows: int = 20,
+         min_confidence: float = 0.9, min_lift: float = 1.05, most_common: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(rules, items) from ``urls`` (tokens, verdict or null); rows without a verdict are not read.
+
+    rules: antecedent (items), verdict, support, confidence, lift, anchor (the antecedent's rarest
+    item). items: token, item. A combination has one item or more, and occurs in a share ``min_support`` of the
+    labelled URLs and in ``min_rows`` of them. Tokens in over ``most_common`` of them say nothing and are left out.
+    All others of a URL enter the mining, and FP-growth itself leaves out those below the least support, which are in no rule.
     """
     spark = urls.sparkSession
-    urls = written(urls.select("tokens", "verdict"), scratch(spark, "url-labels"))
-    n = max(1, urls.count())
-    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    common = [r.token for r in counts.filter(F.col("n") > most_common * n).collect()]
-    kept = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
-    label = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit(LABEL), "verdict"))).otherwise(F.array().cast("array<string>"))
-    baskets = urls.select(F.concat(kept, label).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets).associationRules
-    rules = (found.filter(F.col("consequent")[0].startswith(LABEL) & (F.col("lift") >= min_lift) & (F.size("antecedent") >= 2)
-                          & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-             .select("antecedent", F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 20).alias("verdict"),
-                     "support", "confidence", "lift"))
-    numbered = written(rules.withColumn("rule_id", F.xxhash64(F.concat_ws("\x00", F.sort_array("antecedent")), "verdict")),
-                       scratch(spark, "url-rules"))
-    anchors = (numbered.select("rule_id", F.explode("antecedent").alias("token")).join(counts, "token")
+    left_out = F.array(*map(F.lit, own_tokens(rules))).cast("array<string>")
+    labelled = urls.filter("verdict is not null").select(F.monotonically_increasing_id().alias("url"), F.array_except("tokens", left_out).alias("tokens"), "verdict")
+    labelled = written(labelled, scratch(spark, "url-labels"))
+    n = labelled.count()
+    least = max(min_support * n, min_rows)
+    mark = F.xxhash64("url")
+    counts = labelled.select("url", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("s")).filter((F.col("n") >= least) & (F.col("n") <= most_common * n))
+    # tokens of the same URLs: equal counts and digests of the URLs' numbers
+    same = written(counts, scratch(spark, "url-tokens"))
+    items = written(same.join(same.groupBy("n", "x", "s").agg(F.min("token").alias("item")), ["n", "x", "s"]).select("token", "item", "n"),
+                    scratch(spark, "url-items"))
+    held = labelled.select("url", "verdict", F.explode("tokens").alias("token")).join(items, "token").groupBy("url", "verdict").agg(F.collect_set("item").alias("items"))
+    baskets = labelled.select("url", "verdict").join(held.select("url", "items"), "url", "left").select(
+        F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(n, 1)), minConfidence=min_confidence).fit(baskets).associationRules
+    mined = (found.filter(F.col("consequent")[0].startswith(LABEL) & (F.col("lift") >= min_lift) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
+             .select("antecedent", F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 20).alias("verdict"), "support", "confidence", "lift"))
+    numbered = written(mined.withColumn("rule_id", F.xxhash64(F.concat_ws("\x00", F.sort_array("antecedent")), "verdict")), scratch(spark, "url-rules"))
+    anchors = (numbered.select("rule_id", F.explode("antecedent").alias("token")).join(items.select("token", "n"), "token")
                .groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("rarest")))
-    return written(numbered.join(anchors, "rule_id").select("antecedent", "verdict", "support", "confidence", "lift",
-                                                            F.col("rarest.token").alias("anchor")),
-                   scratch(spark, "url-index"))
+    return written(numbered.join(anchors, "rule_id").select("antecedent", "verdict", "support", "confidence", "lift", F.col("rarest.token").alias("anchor")),
+                   scratch(spark, "url-index")), items.select("token", "item")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """(url, mined_rule, verdict) for the rows of ``urls`` (url, tokens) that a rule fits; of
-    several, the most confident, then the best supported, then by text."""
-    looked_up = urls.withColumn("anchor", F.explode("tokens")).join(rules, "anchor")
-    fits = looked_up.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    several, the most confident, then the best supported, then the last by text."""
+    held = urls.select("url", F.explode("tokens").alias("token")).join(items, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+    looked_up = held.withColumn("anchor", F.explode("items")).join(rules, "anchor")
+    fits = looked_up.filter(F.size(F.array_except("antecedent", "items")) == 0)
     best = F.max(F.struct("confidence", "support", F.array_join(F.sort_array("antecedent"), " ").alias("mined_rule"), "verdict"))
     return fits.groupBy("url").agg(best.alias("best")).select("url", "best.mined_rule", "best.verdict")
 
@@ -109,8 +120,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """One row for each of ``pages``: page_id, url, host, path, rule, verdict, mined_rule."""
     judged = judge_by_list(pages, rules)
     words = tokens(F.col("host"), F.col("path")).alias("tokens")
-    mined = mine(judged.select(words, F.col("listed").alias("verdict")), **mining)
+    mined, items = mine(judged.select(words, F.col("listed").alias("verdict")), rules, **mining)
     rest = judged.filter(F.col("listed").isNull() & F.col("url").isNotNull()).select("url", words).dropDuplicates(["url"])
-    said = match(rest, mined).withColumnRenamed("verdict", "said")
+    said = match(rest, mined, items).withColumnRenamed("verdict", "said")
     return judged.join(said, "url", "left").select(
         "page_id", "url", "host", "path", "rule", F.coalesce("listed", "said", F.lit("allow")).alias("verdict"), "mined_rule")
