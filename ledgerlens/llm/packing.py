@@ -57,7 +57,10 @@ class OpenBins:
                 self._take((self.bits & -self.bits).bit_length() - 1)
         return found, self.capacity - free
 
-    def still_open(self) -> set[int]:
+    def still_open(self, most: int | None = None) -> set[int]:
+        """The open bins; with ``most``, the fullest close first until that many are left."""
+        while most is not None and self.open > most:
+            self._take((self.bits & -self.bits).bit_length() - 1)
         return {x for bins in self.by_free for x in bins}
 
 
@@ -71,7 +74,8 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 256, vocabulary
     Only a longer document is cut, into pieces of ``capacity`` and a last shorter one. Each
     task packs its documents as they come with ``open_bins`` bins open. What is open at a
     task's end would be lost room, so the open bins of ``merge`` tasks at a time are packed
-    again as items (at most merge * open_bins of them), repeatedly until one group is left.
+    again as items (at most merge * open_bins of them), repeatedly until one group is left. A
+    group hands on ``open_bins`` bins at most, the emptiest, so no round holds more than the first.
     Pieces of a bin keep their order, so offsets stay gapless.
 
     Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -102,14 +106,14 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 256, vocabulary
                      scratch(spark, "pieces"))
 
     def refill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bins = OpenBins(capacity, len(pdf), 0)
+        bins = OpenBins(capacity, merge * open_bins, 0)
         pdf = pdf.sort_values(["size", "sequence_id"], ascending=[False, True])
         placed = [bins.place(int(n)) for n in pdf["size"]]
         first: dict[int, int] = {}
         for (bin_, offset), own in zip(placed, pdf["sequence_id"], strict=True):
             if not offset:
                 first[bin_] = own
-        last = bins.still_open()
+        last = bins.still_open(open_bins)
         return pd.DataFrame({"sequence_id": pdf["sequence_id"], "into": [first[b] for b, _ in placed],
                              "shift": [o for _, o in placed], "again": [b in last for b, _ in placed]})
 

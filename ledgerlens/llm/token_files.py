@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes, groups, known, map_file, scratch, shuffle_partitions, split_words, write_file, written
+from ledgerlens.llm.common import as_bytes, groups, known, map_file, parts_for, scratch, shuffle_partitions, split_words, write_file, written
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -122,6 +122,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
             yield ids[a:b], *tokenizer.encode(texts[a:b], end)
 
 
+#: Bytes of text for each part, whose ids one task holds.
+PART_BYTES = 64 << 20
 MANIFEST = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()),
                          T.StructField("n_tokens", T.LongType())])
 
@@ -143,7 +145,7 @@ def write_token_files(docs: DataFrame, out_uri: str, vocabulary: str | None = No
     """
     spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or parts_for(docs, PART_BYTES)
     bits = 16 if tokenizer_at(path).size <= 1 << 16 else 32
     width = f"<u{bits // 8}"
 

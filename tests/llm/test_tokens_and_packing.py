@@ -120,3 +120,42 @@ def test_bins_are_best_fit_and_the_fullest_closes_first():
             closed += 1
         assert set(plain) == bins.still_open()
     assert closed
+
+
+def test_merges_hand_on_a_fixed_number_of_bins(spark, monkeypatch, tokenizer):
+    """40 tasks with open bins: no merge group reads over merge * open_bins bins, and few sequences are lost."""
+    docs = [(i, "word " * (i % 37 + 1)) for i in range(2_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    made, sizes = [], []
+
+    class Seen(packing.OpenBins):
+        def __init__(self, capacity, most, first_id):
+            super().__init__(capacity, most, first_id)
+            made.append(most)
+
+    monkeypatch.setattr(packing, "written", lambda frame, uri, plain=packing.written: sizes.append((uri, plain(frame, uri))) or sizes[-1][1])
+    found = packing.pack(df, 64, 3, merge=4).collect()
+    n, least = check_packing(found, docs, tokenizer, 64)
+    rounds = [frame for uri, frame in sizes if "/bins-" in uri]
+    assert len(rounds) == 3
+    for frame in rounds:
+        width = 4 ** (rounds.index(frame) + 1) << packing.BINS_A_TASK
+        for r in frame.selectExpr(f"sequence_id div {width} AS g", "again", "into").groupBy("g").agg({"into": "count"}).collect():
+            assert r[1] <= 12
+        assert max(r[1] for r in frame.filter("again").selectExpr(f"sequence_id div {width} AS g", "into").distinct().groupBy("g").count().collect()) <= 3
+    assert n <= 1.15 * least + 1
+
+
+def test_parts_follow_the_size_of_the_input(spark, monkeypatch, tokenizer):
+    """Tiny parts: more files than the session has partitions, the same ids."""
+    monkeypatch.setattr(token_files, "PART_BYTES", 2_000)
+    docs = [(i, "some words of a text " * (i % 50)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = scratch(spark, "tiny-parts")
+    manifest = token_files.write_token_files(df, out)
+    assert manifest.count() > 20 and manifest.agg({"n_docs": "max"}).first()[0] < 60
+    start = 0
+    for r in sorted(token_files.read_token_files(manifest, out).collect()):
+        ids = tokenizer.encode(docs[r.doc_id][1], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
