@@ -43,12 +43,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, part_bytes: int) -> int:
+    """Partitions that hold about ``part_bytes`` of text each, the session's number at least: the
+    input's size sets what a task holds, whatever the session's setting."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
+
+
 def written(df: DataFrame, uri: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: cuts the lineage, survives lost executors."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def rows_kept(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` with the rows that ``run`` keeps of its batches; columns keep their places, and any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 

@@ -1,12 +1,15 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
 
 Words are compared lower-cased and without characters other than letters and digits.
 
-1. Every n-gram of an item is a seed, however many documents have it: copies of a leak make
-   its n-grams frequent, so their number of documents says nothing against them.
-2. A seed in a document joins the item to the passage around it. A passage is left out only
-   where the words that it shares with the item, each as often as in both, cannot reach the
-   least score: an alignment matches no more than these, so no hit is lost.
+1. Seeds are pairs of words with at most one word between them (2-grams with a gap). An alignment that
+   reaches the least score has so few errors that, of its matched words, most follow each
+   other within a gap of one on both sides: an item of n words has n * least - 1 places
+   at least where such a pair starts. So the most common places can be left out as seeds, one fewer than that, and
+   every hit still holds a seed: the rare ones. How often each pair is in the corpus is counted over all documents.
+2. A seed in a document joins the item to the passage around it, as wide as the errors allow. A passage is
+   left out only where the words that it shares with the item, each as often as in both, or the places
+   whose pairs it holds, are too few for the least score, so no hit is lost.
 3. Passage and item are aligned (match +2, mismatch and gap -1); the score is the share of the
    item's full score.
 
@@ -16,16 +19,16 @@ a task holds is bounded however many items there are.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, scratch, split_words, written
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, rows_kept, scratch, split_words, written
 
 MATCH, MISS = 2, -1
 #: Seeds that are looked at together, and words of their passages.
@@ -39,42 +42,54 @@ def plain(word: bytes) -> str:
 
 @dataclass
 class Items:
-    """A block of test items as word numbers (from 1), and their n-grams by length."""
+    """A block of test items as word numbers (from 1), and their seeds: the pairs of words (from
+    the same place at most two ahead; a single word is its own pair) with item and place, sorted by pair."""
 
     ids: list[int]
     texts: list[str]
-    n: int
+    least: float = 0.5
     vocabulary: dict[str, int] = field(default_factory=dict)
     words: list[np.ndarray] = field(default_factory=list)
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for text in self.texts:
             own = [w for w in map(plain, text.encode().split()) if w]
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int64))
-        found = defaultdict(list)
+        found = []
         for item, own in enumerate(self.words):
-            if length := min(self.n, len(own)):
-                for at, key in enumerate(self.keys(own, length).tolist()):
-                    found[length].append((key, item, at))
-        for length, rows in found.items():
-            key, item, at = map(np.array, zip(*sorted(rows)))
-            self.grams[length] = key, item, at
+            for ahead in (1, 2):
+                found += zip((own[:-ahead] * self.base + own[ahead:]).tolist(), repeat(item), range(len(own)))
+            if len(own) == 1:
+                found.append((int(own[0]), item, 0))
+        self.pair, self.item, self.place = map(np.array, zip(*sorted(found))) if found else (np.empty(0, np.int64),) * 3
+        self.distinct = np.unique(self.pair)
         self.sizes = np.array(list(map(len, self.words)), np.int64)
-        self.margins = np.maximum(4, self.sizes // 4)
-        pairs = np.repeat(np.arange(len(self.words)), self.sizes) * (len(self.vocabulary) + 1) + np.concatenate([np.empty(0, np.int64), *self.words])
+        # places whose pairs every hit has, and errors that it can have
+        self.places = np.maximum(1, np.ceil(self.sizes * self.least - 1 - 1e-9)).astype(np.int64)
+        self.errors = np.floor(MATCH * self.sizes * (1 - self.least) / -MISS + 1e-9).astype(np.int64)
+        self.seed = np.ones(len(self.pair), bool)
+        of_item = np.lexsort((self.pair, self.item))
+        self.by_item = self.item[of_item] * self.base ** 2 + self.pair[of_item]
+        self.by_item_place = self.place[of_item]
+        pairs = np.repeat(np.arange(len(self.words)), self.sizes) * self.base + np.concatenate([np.empty(0, np.int64), *self.words])
         self.bags = np.unique(pairs, return_counts=True)
 
-    def keys(self, words: np.ndarray, length: int) -> np.ndarray:
-        """A number for each n-gram; -1 where a word is not of the vocabulary."""
-        n = max(0, len(words) - length + 1)
-        out, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-        for i in range(length):
-            w = words[i:i + n]
-            out = out * (len(self.vocabulary) + 1) + w
-            bad |= w == 0
-        out[bad] = -1
-        return out
+    @property
+    def base(self) -> int:
+        return len(self.vocabulary) + 1
+
+    def keep_rare(self, counts: np.ndarray) -> None:
+        """Leave the most common places of each item out of the seeds; ``counts`` are of ``distinct``."""
+        often = counts[np.searchsorted(self.distinct, self.pair)]
+        place = self.item * (int(self.sizes.max(initial=0)) + 1) + self.place
+        key, at = np.unique(place, return_inverse=True)
+        common = np.bincount(at, often, len(key))
+        item = key // (int(self.sizes.max(initial=0)) + 1)
+        order = np.lexsort((key, -common, item))
+        rank = np.arange(len(key)) - np.searchsorted(item[order], item[order])
+        left = np.ones(len(key), bool)
+        left[order] = rank >= self.places[item[order]] - 1
+        self.seed = left[at]
 
 
 class Numbers(dict):
@@ -105,13 +120,20 @@ def numbered(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[
             yield ids[a:b], number[kept], place[kept], np.searchsorted(kept, ends)
 
 
-def seed_hits(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n-gram length: (places, first and last+1 row of ``items.grams`` with the same n-gram), within documents."""
+def pairs_of(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, keys) of the pairs of known words within each document, for each distance."""
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(number))
-    for length, (key, _, _) in items.grams.items():
-        own = items.keys(number, length)
-        at = np.flatnonzero((own >= 0) & (left[:len(own)] >= length))
-        low, high = np.searchsorted(key, own[at], side="left"), np.searchsorted(key, own[at], side="right")
+    yield np.flatnonzero(number > 0), number[number > 0]
+    for ahead in (1, 2):
+        n = max(0, len(number) - ahead)
+        at = np.flatnonzero((number[:n] > 0) & (number[ahead:] > 0) & (left[:n] > ahead))
+        yield at, number[at] * items.base + number[at + ahead]
+
+
+def seed_hits(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, first and last+1 row of the items' pairs with the same pair), within documents."""
+    for at, own in pairs_of(items, number, bounds):
+        low, high = np.searchsorted(items.pair, own, side="left"), np.searchsorted(items.pair, own, side="right")
         hit = high > low
         yield at[hit], low[hit], high[hit]
 
@@ -134,7 +156,7 @@ def reachable(items: Items, number: np.ndarray, item: np.ndarray, first: np.ndar
     """Whether each passage (words ``first`` to ``last``) shares so many words with its item, each as
     often as in both, that a score of ``least`` is possible."""
     out = np.zeros(len(item), bool)
-    base = len(items.vocabulary) + 1
+    base = items.base
     word, times = items.bags
     for a, b in pieces(last - first, TOGETHER):
         size = (last - first)[a:b]
@@ -148,22 +170,42 @@ def reachable(items: Items, number: np.ndarray, item: np.ndarray, first: np.ndar
     return out
 
 
-def candidates(items: Items, number: np.ndarray, bounds: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, item, first and last+1 word) of the passages around seeds that can reach ``least``."""
-    for length, (at, low, high) in zip(items.grams, seed_hits(items, number, bounds), strict=True):
-        _, own, offset = items.grams[length]
+def paired(items: Items, number: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each passage holds pairs from as many places of its item as every hit does."""
+    out = np.zeros(len(item), bool)
+    for a, b in pieces(last - first, TOGETHER):
+        size = (last - first)[a:b]
+        words = number[laid_out(first[a:b], size)]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(np.arange(b - a), size)
+        seen = []
+        for at, own in pairs_of(items, words, bounds):
+            key = item[a:b][owner[at]] * items.base ** 2 + own
+            low, high = np.searchsorted(items.by_item, key, side="left"), np.searchsorted(items.by_item, key, side="right")
+            row = laid_out(low, high - low)
+            seen.append(np.unique(np.repeat(owner[at], high - low) * (int(items.sizes.max()) + 1) + items.by_item_place[row]))
+        held = np.unique(np.concatenate(seen)) // (int(items.sizes.max()) + 1)
+        out[a:b] = np.bincount(held, minlength=b - a) >= items.places[item[a:b]]
+    return out
+
+
+def candidates(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, item, first and last+1 word) of the passages around seeds that can reach the least score."""
+    for at, low, high in seed_hits(items, number, bounds):
         for a, b in pieces(high - low, SEEDS):
             row = laid_out(low[a:b], (high - low)[a:b])
-            where = np.repeat(at[a:b], (high - low)[a:b])
-            doc, item = np.searchsorted(bounds, where, side="right") - 1, own[row]
-            bin_ = (where - offset[row]) // items.margins[item]  # passages that begin within a margin of each other are one
+            where = np.repeat(at[a:b], (high - low)[a:b])[items.seed[row]]
+            row = row[items.seed[row]]
+            doc, item = np.searchsorted(bounds, where, side="right") - 1, items.item[row]
+            bin_ = (where - items.place[row]) // items.sizes[item]  # passages that begin within an item's length of each other are one
             found = np.stack([doc, item, bin_], axis=1)
             found = found[np.lexsort(found.T[::-1])]
-            found = found[np.r_[True, (found[1:] != found[:-1]).any(axis=1)]]
+            found = found[np.r_[True, (found[1:] != found[:-1]).any(axis=1)]] if len(found) else found
             doc, item, bin_ = found.T
-            margin, size = items.margins[item], items.sizes[item]
-            first, last = np.maximum(bounds[doc], (bin_ - 1) * margin), np.minimum(bounds[doc + 1], (bin_ + 2) * margin + size)
-            good = reachable(items, number, item, first, last, least)
+            size, errors = items.sizes[item], items.errors[item]
+            first, last = np.maximum(bounds[doc], bin_ * size - errors), np.minimum(bounds[doc + 1], (bin_ + 2) * size + errors)
+            good = np.flatnonzero(reachable(items, number, item, first, last, items.least))
+            good = good[paired(items, number, item[good], first[good], last[good])]
             yield doc[good], item[good], first[good], last[good]
 
 
@@ -215,15 +257,16 @@ def passages_aligned(items: Items, number: np.ndarray, found: list[tuple[int, in
     return out
 
 
-def block_hits(docs: DataFrame, items: Items, least: float) -> DataFrame:
+def find(items: Items):
+    """Function from batches of (doc_id, text) to batches of their hits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, number, place, bounds in numbered(batches, items):
             found, docs_of = [], []
-            for doc, *passage in candidates(items, number, bounds, least):
+            for doc, *passage in candidates(items, number, bounds):
                 found += zip(*(x.tolist() for x in passage), strict=True)
                 docs_of += doc.tolist()
             best: dict[tuple[int, int], tuple] = {}
-            for k, score, matched, x, y in passages_aligned(items, number, found, least):
+            for k, score, matched, x, y in passages_aligned(items, number, found, items.least):
                 key, row = (docs_of[k], found[k][0]), (score, matched, -int(place[x]), int(place[y - 1]) + 1)
                 best[key] = max(best.get(key, row), row)
             rows = [(ids[d], items.ids[i], s, m, -x, y) for (d, i), (s, m, x, y) in best.items()]
@@ -231,29 +274,76 @@ def block_hits(docs: DataFrame, items: Items, least: float) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], HITS.replace(",", "").split()[::2])
 
-    return docs.mapInArrow(run, HITS)
+    return run
+
+
+def block_hits(docs: DataFrame, items: Items) -> DataFrame:
+    return docs.mapInArrow(find(items), HITS)
+
+
+def pair_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often each of the items' distinct pairs is in the documents: counted by each task, then summed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(items.distinct) + 1, np.int64)
+        for _, number, _, bounds in numbered(batches, items):
+            for _, own in pairs_of(items, number, bounds):
+                at = np.minimum(np.searchsorted(items.distinct, own), len(items.distinct) - 1)
+                counts += np.bincount(np.where(items.distinct[at] == own, at, len(items.distinct)), minlength=len(counts))
+        some = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["pair", "n"])
+
+    out = np.zeros(len(items.distinct), np.int64)
+    for r in docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # the block's pairs at most
+        out[r.pair] = r.n
+    return out
+
 
+def item_blocks(docs: DataFrame, benchmark: DataFrame, least: float, block_bytes: int) -> Iterator[Items]:
+    """The items in blocks of about ``block_bytes`` of text, which is what a task holds at a time, with the
+    seeds that are rare in ``docs`` (doc_id, text)."""
+    spark = benchmark.sparkSession
+    tests = written(benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0), scratch(spark, "items"))
+    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    for b in range(blocks):
+        own = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        items = Items([r.item_id for r in own], [r.text for r in own], least)
+        if len(items.pair):
+            items.keep_rare(pair_counts(docs, items))
+            yield items
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = 3, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, matched_words, start_word, end_word): for each document and each
     test item that it holds with a score of ``least`` or more, the best passage.
 
     ``start_word`` and ``end_word`` bound the passage among the document's words.
 
     Cases: null and empty texts hold nothing, and null or wordless items are held nowhere; an
-    item with fewer words than a seed is its own seed; repeated rows of documents or items are
+    item of two words is held only where both stand in order, at most one word apart (a single word is its own seed); repeated rows of documents or items are
     reported as often as they come; a null doc_id is reported as null; an empty table on either
     side gives no row. Columns beside (doc_id, text) and (item_id, text) are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    tests = written(benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0), scratch(spark, "items"))
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
     out = spark.createDataFrame([], HITS)
-    for b in range(blocks):
-        own = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        items = Items([r.item_id for r in own], [r.text for r in own], seed_words)
-        if items.grams:
-            out = out.unionByName(written(block_hits(docs, items, least), scratch(spark, "leaks")))
+    for items in item_blocks(docs, benchmark, least, block_bytes):
+        out = out.unionByName(written(block_hits(docs, items), scratch(spark, "leaks")))
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item. Each row is judged by its own text where it stands."""
+    at = docs.columns.index("text")
+
+    def clean(items: Items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
+                bad = {row for d in find(items)([rows]) for row in d.column(0).to_pylist()}
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
+        return run
+
+    for items in item_blocks(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), benchmark, least, block_bytes):
+        docs = rows_kept(docs, clean(items))
+    return docs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerlens.llm.common import CACHE_WORDS, PLAIN, WordHashes, as_bytes, fold, groups, known, mix, split_words
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, WordHashes, as_bytes, fold, groups, known, mix, rows_kept, split_words
 from ledgerlens.llm.training import Adam, labelled_sample, sigmoid
 
 PASSAGE = 64
@@ -203,4 +203,4 @@ def keep_good(docs: DataFrame, model: Attention, threshold: float = 0.3) -> Data
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_kept(docs, run)

@@ -9,8 +9,7 @@ and every place where a half stands for some window counts. A half at one place
 corpus stands for windows that occur once: those are done. Level 2 doubles: the windows
 that a repeated half stands for are hashed in full, from the hashes of their two halves, and
 compared. The doubling ends at ``window``: windows of twice that length repeat only
-where all windows in them do, so longer levels remove no further word. ``levels`` adds
-shorter ones below, each level's survivors being the next one's only candidates.
+where all windows in them do, so longer levels remove no further word.
 
 The documents are written once with a chunk number each, and every pass scans them where they
 are. Texts are never shuffled. What tasks exchange is one packed array for each chunk and hash
@@ -29,20 +28,27 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlens.llm.common import (WordHashes, as_bytes, dealt, groups, mix, pack_arrays, scratch, shuffle_partitions, slide, split_words,
+from ledgerlens.llm.common import (WordHashes, as_bytes, dealt, groups, mix, pack_arrays, parts_for, scratch, slide, split_words,
                                    unpack_arrays, write_file, written)
 
 #: Documents of a chunk; a chunk's distinct hashes are held by one task.
 CHUNK_ROWS = 8_192
+#: Bytes of text for each hash bucket, which one task compares.
+BUCKET_BYTES = 32 << 20
 PACKED = "bucket int, chunk long, data binary"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, chunk), written once: the chunk numbers then hold for every later pass."""
+def chunked(docs: DataFrame, others: bool = False) -> DataFrame:
+    """(doc_id, text, chunk), written once: the chunk numbers then hold for every later pass.
+    ``others``: all other columns, in a struct of that name."""
     place = F.monotonically_increasing_id()
     chunk = F.shiftleft(F.shiftright(place, 33), 20) + F.shiftright(place.bitwiseAND((1 << 33) - 1), int(np.log2(CHUNK_ROWS)))
-    return written(docs.select("doc_id", "text", chunk.alias("chunk")), scratch(docs.sparkSession, "chunks"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # a struct has a field at least
+    more = [F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("others")] if others else []
+    return written(docs.select("doc_id", "text", chunk.alias("chunk"), *more), scratch(docs.sparkSession, "chunks"))
 
 
 def hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -118,31 +124,39 @@ def in_batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatc
         yield packed_batch(some)
 
 
-def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes | None]]]:
-    """(chunk, ids, texts) of runs of rows (doc_id, text, chunk) with one chunk."""
+def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes | None], pa.RecordBatch]]:
+    """(chunk, ids, texts, rows) of runs of rows (doc_id, text, chunk, ...) with one chunk."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
         chunks = batch.column(2).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(ids)]
         for x, y in zip(cuts, cuts[1:]):
             for a, b in groups(texts[x:y]):
-                yield int(chunks[x]), ids[x + a:x + b], texts[x + a:x + b]
+                yield int(chunks[x]), ids[x + a:x + b], texts[x + a:x + b], batch.slice(x + a, b - a)
 
 
 def send_back(answers: DataFrame, uri: str, dtypes: tuple[str, ...], n: int) -> None:
     """Write each chunk's arrays of all buckets as one file ``uri/chunk-<number>``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held[chunk].append(data)
-        for chunk, parts in held.items():
+        def write(chunk: int, parts: list[bytes]) -> None:
             arrays = [np.concatenate(x) for x in zip(*(unpack_arrays(p, *dtypes) for p in parts), strict=True)]
             write_file(f"{uri}/chunk-{chunk}", pack_arrays(*arrays))
+
+        now, parts = None, []
+        for batch in batches:
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if chunk != now and parts:
+                    write(now, parts)
+                    parts = []
+                now = chunk
+                parts.append(data)
+        if parts:
+            write(now, parts)
         yield packed_batch([])
 
-    answers.repartition(n, "chunk").mapInArrow(gather, PACKED).write.format("noop").mode("overwrite").save()
+    # sorted, so that a task holds one chunk's answers at a time
+    answers.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, PACKED).write.format("noop").mode("overwrite").save()
 
 
 def answer_for(uri: str, chunk: int, dtypes: tuple[str, ...]) -> list[np.ndarray]:
@@ -171,7 +185,7 @@ def repeated_halves(chunks: DataFrame, uri: str, window: int, n: int) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for chunk, _, texts in chunk_texts(batches):
+        for chunk, _, texts, _ in chunk_texts(batches):
             value, times = np.unique(Halves(texts, cache, window).places(), return_counts=True)
             values, counts = held[chunk]
             values.append(value)
@@ -212,7 +226,7 @@ def first_windows(chunks: DataFrame, halves: str, uri: str, window: int, n: int)
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             return [(a[new], b[new], doc[new], start[new], np.minimum(np.add.reduceat(times, new), 2))]
 
-        for chunk, ids, texts in chunk_texts(batches):
+        for chunk, ids, texts, _ in chunk_texts(batches):
             if chunk not in known:
                 known = {chunk: np.sort(answer_for(halves, chunk, BACK)[0])}
             text = Halves(texts, cache, window)
@@ -266,6 +280,55 @@ def first_windows(chunks: DataFrame, halves: str, uri: str, window: int, n: int)
     send_back(found, uri, FIRST, n)
 
 
+def lost_words(batches: Iterator[pa.RecordBatch], first: str, window: int) -> Iterator[tuple[pa.RecordBatch, list, list[tuple[list[bytes], np.ndarray]]]]:
+    """(rows, ids, words of each row and whether each is lost) of chunked rows, by the first windows stored at ``first``."""
+    cache = WordHashes()
+    known: dict[int, list[np.ndarray]] = {}
+    for chunk, ids, texts, rows in chunk_texts(batches):
+        if chunk not in known:
+            own = answer_for(first, chunk, FIRST)
+            order = np.argsort(own[0], kind="stable")
+            own = [x[order] for x in own]
+            # a chunk read by two tasks has sent a hash twice: one entry is left, the first's if it is here
+            if len(own[0]):
+                new = np.flatnonzero(np.r_[True, own[0][1:] != own[0][:-1]])
+                least = np.lexsort((~own[3], own[0]))
+                own = [x[least][new] for x in own]
+            known = {chunk: own}
+        hash_, doc_, start_, here_ = known[chunk]
+        text = Halves(texts, cache, window)
+        removed = np.zeros(len(text.words) + 1, np.int64)
+        if len(hash_) and len(text.full):
+            a, _ = text.whole(text.full)
+            hit = among(a, hash_)
+            at, a = text.full[hit], a[hit]
+            doc = np.searchsorted(text.ends, at, side="right") - 1
+            named = np.array([i is not None for i in ids])[doc]
+            at, a, doc = at[named], a[named], doc[named]
+            entry = np.searchsorted(hash_, a)
+            own = np.array([-1 if i is None else i for i in ids], np.int64)[doc]
+            stays = here_[entry] & (doc_[entry] == own) & (start_[entry] == at - text.ends[doc])
+            gone = at[~stays]
+            np.add.at(removed, gone, 1)
+            np.add.at(removed, gone + window, -1)
+        lost = np.cumsum(removed[:-1]) > 0
+        yield rows, ids, [(text.words[x:y], lost[x:y]) for x, y in zip(text.ends[:-1].tolist(), text.ends[1:].tolist())]
+
+
+def judged_windows(docs: DataFrame, window: int, others: bool = False) -> tuple[DataFrame, str]:
+    """Chunked documents, and where the first place of each of their repeated windows is stored."""
+    if window < 2 or window % 2:
+        raise ValueError("window is an even number of words")
+    spark = docs.sparkSession
+    chunks = chunked(docs, others)
+    bare = chunks.select("doc_id", "text", "chunk")
+    n = parts_for(bare, BUCKET_BYTES)
+    halves, first = scratch(spark, "halves"), scratch(spark, "windows")
+    repeated_halves(bare, halves, window, n)
+    first_windows(bare, halves, first, window, n)
+    return chunks, first
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text, spans for each row of ``docs``.
 
@@ -278,58 +341,19 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     the order: its windows remove nothing elsewhere, and it keeps all its words; an empty
     table gives no row. Columns beside ``doc_id`` and ``text`` are not read.
     """
-    if window < 2 or window % 2:
-        raise ValueError("window is an even number of words")
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    chunks = chunked(docs)
-    halves, first = scratch(spark, "halves"), scratch(spark, "windows")
-    repeated_halves(chunks, halves, window, n)
-    first_windows(chunks, halves, first, window, n)
+    chunks, first = judged_windows(docs, window)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        known: dict[int, list[np.ndarray]] = {}
-        for chunk, ids, texts in chunk_texts(batches):
-            if chunk not in known:
-                own = answer_for(first, chunk, FIRST)
-                order = np.argsort(own[0], kind="stable")
-                own = [x[order] for x in own]
-                # a chunk read by two tasks has sent a hash twice: one entry is left, the first's if it is here
-                if len(own[0]):
-                    new = np.flatnonzero(np.r_[True, own[0][1:] != own[0][:-1]])
-                    least = np.lexsort((~own[3], own[0]))
-                    own = [x[least][new] for x in own]
-                known = {chunk: own}
-            hash_, doc_, start_, here_ = known[chunk]
-            text = Halves(texts, cache, window)
-            removed = np.zeros(len(text.words) + 1, np.int64)
-            if len(hash_) and len(text.full):
-                a, _ = text.whole(text.full)
-                hit = among(a, hash_)
-                at, a = text.full[hit], a[hit]
-                doc = np.searchsorted(text.ends, at, side="right") - 1
-                named = np.array([i is not None for i in ids])[doc]
-                at, a, doc = at[named], a[named], doc[named]
-                entry = np.searchsorted(hash_, a)
-                own = np.array([-1 if i is None else i for i in ids], np.int64)[doc]
-                stays = here_[entry] & (doc_[entry] == own) & (start_[entry] == at - text.ends[doc])
-                gone = at[~stays]
-                np.add.at(removed, gone, 1)
-                np.add.at(removed, gone + window, -1)
-            lost = np.cumsum(removed[:-1]) > 0
+        for _, ids, texts in lost_words(batches, first, window):
             out = []
-            for i, doc_id in enumerate(ids):
-                x, y = int(text.ends[i]), int(text.ends[i + 1])
-                own = lost[x:y]
-                words = text.words[x:y]
-                spans = []
-                if own.any():
-                    words = [w for w, cut in zip(words, own.tolist()) if not cut]
-                    edge = np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0]))
+            for doc_id, (words, lost) in zip(ids, texts, strict=True):
+                n, spans = len(words), []
+                if lost.any():
+                    words = [w for w, cut in zip(words, lost.tolist()) if not cut]
+                    edge = np.flatnonzero(np.diff(np.r_[0, lost.astype(np.int8), 0]))
                     spans = [{"start": int(p), "end": int(q)} for p, q in zip(edge[::2], edge[1::2])]
                 kept = b" ".join(words)
-                out.append((doc_id, y - x, int(own.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), spans))
+                out.append((doc_id, n, int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), spans))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(
@@ -338,3 +362,25 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
 
     return chunks.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, "
                                      "spans array<struct<start:int,end:int>>")
+
+
+def cut_repeats(docs: DataFrame, window: int = 20, length: str = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with the words that :func:`dedup_substrings` removes cut out: a text
+    that loses words becomes its kept words joined by one space, and column ``length``, if there is one, its number
+    of characters; the others stay as they are. Each row is cut where it stands, by its own text."""
+    chunks, first = judged_windows(docs, window, others=True)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, texts in lost_words(batches, first, window):
+            kept = [b" ".join([w for w, gone in zip(words, lost.tolist()) if not gone]).decode() if lost.any() else None for words, lost in texts]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(kept, pa.string())], [*rows.schema.names, "kept"])
+
+    done = chunks.mapInArrow(cut, T.StructType([*chunks.schema.fields, T.StructField("kept", T.StringType())]))
+    text = F.coalesce("kept", "text")
+    out = []
+    for field in docs.schema:
+        own = F.col(field.name) if field.name == "doc_id" else text if field.name == "text" else F.col("others").getField(field.name)
+        if field.name == length and length not in ("doc_id", "text"):
+            own = F.when(F.col("kept").isNotNull(), F.length("kept").cast(field.dataType)).otherwise(own)
+        out.append(own.alias(field.name))
+    return done.select(*out)

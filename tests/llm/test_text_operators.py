@@ -1,6 +1,7 @@
 """Substring dedup, SimHash, decontamination: against brute force, and the odd rows."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -109,6 +110,16 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_substring_dedup_with_tiny_buckets(spark, monkeypatch):
+    """Buckets follow the input's size: the same result with many of them."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1_000)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    shared = [" ".join(r.choice(words) for _ in range(30)) for _ in range(4)]
+    rows = [(i, " ".join([f"a{i}b{k}" for k in range(r.randrange(20))] + [r.choice(shared)] + [f"c{i}d{k}" for k in range(r.randrange(20))])) for i in range(80)]
+    assert removed(substrings.dedup_substrings(docs_of(spark, rows))) == brute.substring_dedup(rows)
+
+
 def plain_alignment(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -165,7 +176,7 @@ def test_leaks_in_many_documents_are_found(spark, copies, every):
 
 def test_passages_left_out_cannot_reach_the_score():
     r = random.Random(6)
-    items = D.Items(list(range(30)), [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 15))) for _ in range(30)], 3)
+    items = D.Items(list(range(30)), [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 15))) for _ in range(30)])
     number = np.array([r.randrange(0, len(items.vocabulary) + 1) for _ in range(400)])
     first = np.array([r.randrange(0, 380) for _ in range(900)])
     last, item = first + 12, np.arange(900) % 30
@@ -174,8 +185,68 @@ def test_passages_left_out_cannot_reach_the_score():
     assert 0 < good.sum() < 900 and all(g or s < 0.5 for g, s in zip(good, score))
 
 
+def edits_of(item, r):
+    """The item with every 2nd to 6th word replaced, dropped or followed by others, or random edits."""
+    kind, every = r.choice(["replace", "drop", "insert", "insert2", "mixed"]), r.choice([2, 3, 4, 5, 6])
+    out = []
+    for k, w in enumerate(item):
+        hit = (k + 1) % every == 0 if kind != "mixed" else r.random() < 0.3
+        do = kind if kind != "mixed" else r.choice(["replace", "drop", "insert"])
+        if not hit:
+            out.append(w)
+        elif do == "replace":
+            out.append(f"new{r.randrange(99)}")
+        elif do.startswith("insert"):
+            out += [w, *(f"more{r.randrange(99)}" for _ in range(2 if do == "insert2" else 1))]
+    return out
+
+
+def test_every_edit_that_reaches_the_score_is_found(spark):
+    """Random edits of items of 3 to 40 words, in clean words or among words of other items, against plain alignment of the whole document."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randrange(2, 5)))
+    common = [word() for _ in range(30)]
+    items = [[r.choice(common) if r.random() < 0.4 else word() for _ in range(r.choice([3, 4, 5, 9, 18, 25, 40]))] for _ in range(40)]
+    docs = []
+    for _ in range(400):
+        fill = lambda: [r.choice(common) for _ in range(r.randrange(0, 30))]
+        docs.append([*fill(), *edits_of(r.choice(items), r), *fill()])
+    docs.append([w for pair in zip(items[6], ["x"] * 40) for w in pair])  # a word after each word: no two words in a row are left
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    found = D.contaminated(docs_of(spark, rows), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    got = {(f.doc_id, f.item_id): f.score for f in found}
+    want = {(i, j): s for i, d in enumerate(docs) for j, t in enumerate(items) if (s := plain_alignment(t, d) / (2 * len(t))) >= 0.5}
+    assert len(want) > 300 and got == want
+
+
+def test_query_equals_plain_alignment_on_the_tables(spark, sf001):
+    """op7 on sf0.001: every document whole against every item, by a plain word-by-word alignment where enough words are shared."""
+    read = lambda name: spark.read.parquet(f"{sf001}/{name}.parquet").collect()
+    words = lambda t: [w for w in (D.plain(x) for x in (t or "").encode().split()) if w]
+    items = {r.item_id: words(r.text) for r in read("benchmark")}
+    got = {(f.doc_id, f.item_id): f.score for f in queries.op7_decontamination(spark, sf001).collect()}
+    want = {}
+    for r in read("documents"):
+        own = np.array(words(r.text))
+        for j, t in items.items():
+            if t and sum((Counter(t) & Counter(own.tolist())).values()) >= len(t) / 2:
+                number = {w: k for k, w in enumerate(dict.fromkeys(t))}
+                line = np.array([[number.get(w, -9) for w in own]])
+                best, _ = D.align(np.array([[number[w] for w in t]]), line)
+                if best[0] / (2 * len(t)) >= 0.5:
+                    want[r.doc_id, j] = best[0] / (2 * len(t))
+    assert want and got == want
+
+
+def test_ties_between_passages(spark):
+    """Of equal passages of one document the first is reported."""
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    (one,) = D.contaminated(docs_of(spark, [(3, "x alpha beta gamma delta epsilon zeta " + "y " * 50 + "alpha beta gamma delta epsilon zeta")]), items).collect()
+    assert (one.score, one.start_word, one.end_word) == (1.0, 1, 7)
+
+
 def test_decontamination_of_odd_tables(spark, messy, nothing):
     items = spark.createDataFrame([(1, "river mountain light house window paper stone green quiet", "x")], "item_id long, text string, score string")
-    D.contaminated(messy, items).collect()
+    assert {r.doc_id for r in D.contaminated(messy, items).collect()} <= {r.doc_id for r in messy.collect()}
     assert D.contaminated(nothing, items).count() == 0
     assert D.contaminated(messy, items.limit(0)).count() == 0
