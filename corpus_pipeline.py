@@ -6,9 +6,11 @@ its predecessor kept; the first four return the columns of ``documents``, the la
 pieces. A stage reads ``labels`` or ``benchmark`` from ``sf_dir`` where it needs them, and writes
 what it hands on to the shared scratch folder.
 
-Cases, for every stage: extra columns are handed on as they are; repeated rows share one
-verdict; an empty table gives an empty table; a null text is an empty one to the operators and
-stays null.
+Every row is judged for itself, whatever its doc_id: rows that share an id, or have none, keep
+their own texts and fates.
+
+Cases, for every stage: extra columns are handed on as they are, whatever their names; an empty table
+gives an empty table; a null text is an empty one to the operators and stays null.
 """
 
 from __future__ import annotations
@@ -20,41 +22,35 @@ from ledgerlens.llm import decontamination, packing, quality, simhash, substring
 from ledgerlens.llm.common import scratch, table, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column, doc_id)."""
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, trained on the labelled documents, rejects."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, once if its row
-    is repeated. A row with a null doc_id is kept."""
-    found = written(simhash.near_duplicates(docs), scratch(spark, "near-duplicates"))
-    first = _without(docs, found.filter("doc_id > component_id").select("doc_id"))
-    named = first.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(first.filter("doc_id is null"))
+    """Of each group of linked rows one stays, the one with the smallest doc_id (a null id
+    comes last; of rows with one id, the first read). Rows are numbered first, and the numbers stand in for ids."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), scratch(spark, "rows"))
+    groups = simhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    linked = written(groups.join(rows.select(row, "doc_id"), row), scratch(spark, "near-duplicates"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    lost = linked.select(row).join(first.select(F.col("first")[row].alias(row)), row, "left_anti")
+    return rows.join(lost, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages: a text that loses words becomes its kept words joined by one space,
     and n_chars their length; the others stay as they are. No row is dropped, so a text that
-    repeats earlier ones as a whole becomes empty."""
-    found = substrings.dedup_substrings(docs).filter("n_removed > 0 and doc_id is not null").select("doc_id", "n_words", "n_removed", "kept_text")
-    cut = written(found, scratch(spark, "kept-texts")).dropDuplicates(["doc_id"]).select("doc_id", F.col("kept_text").alias("__kept"))
-    joined = docs.join(cut, "doc_id", "left")
-    lost = F.col("__kept").isNotNull()
-    changed = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(lost, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return joined.withColumns(changed).select(*docs.columns)
+    repeats earlier ones as a whole becomes empty. A row with a null doc_id has no place in the order and keeps its text."""
+    return substrings.cut_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item, whole or edited."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.select("doc_id"))
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
