@@ -22,15 +22,14 @@ OPTIONAL_COLUMNS = [
     "InvoiceMonth", "InvoiceYear",
 ]
 
-_SEPARATORS = re.compile(r"[ \-]")
-_REPEATED_UNDERSCORE = re.compile(r"_{2,}")
+_NOT_ALPHANUMERIC = re.compile(r"[\W_]+")
+_SEPARATOR = re.compile(r"[ _-]")
 
 
 def standardize_name(name: str) -> str:
-    """lower + strip, space/dash to underscore, keep alphanumerics, squeeze underscores."""
-    out = _SEPARATORS.sub("_", name.lower().strip())
-    out = "".join(ch for ch in out if ch.isalnum() or ch == "_")
-    return _REPEATED_UNDERSCORE.sub("_", out)
+    """Trimmed and lower-case; a run of other characters than letters and digits becomes one
+    underscore if a space, dash or underscore is in it, and is left out if not."""
+    return _NOT_ALPHANUMERIC.sub(lambda run: "_" if _SEPARATOR.search(run[0]) else "", name.lower().strip())
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Scaling is median imputation then a z-score with the *population* standard
 deviation (as scikit-learn's StandardScaler does; Spark ML's scaler uses
-the sample deviation, so it is not used). K-Means advances all its restarts
-in one aggregate for each iteration and keeps the lowest cost. Cluster ids are renumbered by centroid order so they are stable
-across runs. Assignment to given centroids is a plain expression (nearest
+the sample deviation, so it is not used). K-Means seeds its restarts from all points (k-means||),
+advances them in one aggregate for each iteration and keeps the lowest cost. Cluster ids are renumbered by
+centroid order so they are stable across runs. Assignment to given centroids is a plain expression (nearest
 by squared distance, lowest id on a tie), so it can be checked in SQL.
 """
 
@@ -168,42 +168,80 @@ def centroid_summary(assigned: DataFrame, centroids: DataFrame, k: int, inertia:
         "cluster_cost", F.coalesce("cluster_cost", F.lit(0.0))).drop("_inertia")
 
 
-#: Rows of the bounded sample that the restarts start from (smallest hashes first, so the same each run).
-START_ROWS = 5_000
+#: A restart has settled when a pass lowers its cost by a smaller share.
+SETTLED = 1e-3
+#: Seeding: rounds of oversampling, and points drawn in each for one cluster wanted.
+SEED_ROUNDS, OVERSAMPLING = 2, 20
 
 
-def _start(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
-    """First centres of a restart: k-means++ on the sample, then some rounds there."""
+def _data(values) -> str:
+    """Nested numbers as one SQL array. As an argument of a lambda function it is data of the plan and
+    not part of its generated code, so the code of a pass is compiled once, whatever the centres."""
+    return f"array({', '.join(_data(v) for v in values)})" if np.ndim(values) else f"{float(values)!r}D"
+
+
+def _nearest(cols: Sequence[str], centres: str) -> str:
+    """SQL for the least (squared distance, number) struct over an array of centres."""
+    return f"""array_min(transform({centres}, (c, j) -> named_struct('d',
+        aggregate(zip_with(array({', '.join(cols)}), c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x), 'c', j)))"""
+
+
+def _seeds(points: DataFrame, k: int, seed: int, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate centres and how many points are nearest to each (k-means||).
+
+    Each round draws ``OVERSAMPLING * k`` points of all, with chances in proportion to their squared
+    distance from the candidates so far: the smallest exponential keys -log(u) / d, one pass and
+    a top-n. So the driver holds ``SEED_ROUNDS * OVERSAMPLING * k`` points at most."""
+    def uniform(n: int) -> Column:
+        return (F.pmod(F.xxhash64("_id", F.lit(seed), F.lit(n)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+
+    found = np.array([tuple(r) for r in points.orderBy(uniform(0)).select(*cols).limit(1).collect()])
+    for n in range(1, SEED_ROUNDS + 1):
+        far = points.withColumn("_d", F.expr(_nearest(cols, _data(found)))["d"]).filter("_d > 0")
+        drawn = far.orderBy(-F.log(uniform(n)) / F.col("_d")).select(*cols).limit(OVERSAMPLING * k).collect()
+        if not drawn:
+            break
+        found = np.unique(np.vstack([found, [tuple(r) for r in drawn]]), axis=0)
+    weights = np.zeros(len(found))
+    for r in points.groupBy(F.expr(_nearest(cols, _data(found)))["c"].alias("j")).count().collect():
+        weights[r.j] = r["count"]
+    return found, weights
+
+
+def _start(x: np.ndarray, w: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
+    """First centres of a restart: greedy k-means++ on the weighted candidates (of some draws the
+    one that lowers the cost most), then some rounds there."""
     r = np.random.default_rng(seed)
-    centres = [x[r.integers(len(x))]]
+    centres = [x[r.choice(len(x), p=w / w.sum())]]
+    d = ((x - centres[0]) ** 2).sum(1)
     for _ in range(1, k):
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[r.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[r.integers(len(x))])
+        share = w * d
+        drawn = r.choice(len(x), size=2 + int(np.log(k)), p=share / share.sum() if share.sum() > 0 else w / w.sum())
+        after = np.minimum(d, ((x[drawn][:, None] - x[None]) ** 2).sum(2))
+        best = (after * w).sum(1).argmin()
+        centres.append(x[drawn[best]])
+        d = after[best]
     found = np.array(centres)
     for _ in range(rounds):
         near = ((x[:, None, :] - found[None]) ** 2).sum(2).argmin(1)
-        moved = np.array([x[near == i].mean(0) if (near == i).any() else found[i] for i in range(k)])
+        moved = np.array([np.average(x[near == i], axis=0, weights=w[near == i]) if w[near == i].sum() > 0 else found[i] for i in range(k)])
         if np.allclose(moved, found):
             break
         found = moved
     return found
 
 
-def _pass(points: DataFrame, restarts: dict[int, np.ndarray], cols: Sequence[str]) -> dict[int, tuple[np.ndarray, float]]:
-    """One pass over the points for all restarts together: each one's next centres
-    and its cost at the present ones. Restarts x clusters rows reach the driver."""
-    nearest = []
-    for r, centres in restarts.items():
-        cands = [F.struct(squared_distance(cols, c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centres)]
-        best = F.least(*cands) if len(cands) > 1 else cands[0]
-        nearest.append(F.struct(F.lit(r).alias("r"), best["c"].alias("c"), best["d"].alias("d")))
-    sums = (points.select(*cols, F.explode(F.array(*nearest)).alias("b")).groupBy("b.r", "b.c")
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum("b.d").alias("_d"), *[F.sum(c).alias(c) for c in cols]).collect())
-    out = {r: [c.copy(), 0.0] for r, c in restarts.items()}
+def _pass(points: DataFrame, centres: np.ndarray, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over the points for all restarts together (restart x cluster x column):
+    the next centres and the cost at the present ones. Restarts x clusters rows reach the driver."""
+    each = F.expr(f"transform({_data(centres)}, (run, r) -> named_struct('r', r, 'b', {_nearest(cols, 'run')}))")
+    sums = (points.select(*cols, F.explode(each).alias("e")).groupBy(F.col("e.r").alias("r"), F.col("e.b.c").alias("c"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum("e.b.d").alias("_d"), *[F.sum(c).alias(c) for c in cols]).collect())
+    out, cost = centres.copy(), np.zeros(len(centres))
     for row in sums:
-        out[row.r][0][row.c] = [row[c] / row["_n"] for c in cols]  # an empty cluster keeps its centre
-        out[row.r][1] += row["_d"]
-    return {r: (c, cost) for r, (c, cost) in out.items()}
+        out[row.r, row.c] = [row[c] / row["_n"] for c in cols]  # an empty cluster keeps its centre
+        cost[row.r] += row["_d"]
+    return out, cost
 
 
 def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10, max_iter: int = 100,
@@ -211,33 +249,40 @@ def fit_kmeans(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
     """M2: K-Means with ``n_init`` restarts, keeping the lowest cost (first restart
     on a tie). Returns (centroids sorted, cost).
 
-    The restarts advance together: each iteration is one pass over the points
-    and one aggregate over (restart, cluster), and a restart whose centres
-    moved by at most ``tol`` drops out. So passes are the iterations of the
-    slowest restart, not the sum over restarts. The points are written once
+    Starts come from candidates drawn from all points (k-means||), each restart choosing
+    among them with its own seed. The restarts advance together: an iteration is one pass over the
+    points and one aggregate over (restart, cluster). Restarts that have settled (by cost, or
+    moved by at most ``tol``, sum of squares) stop; the best one then goes on until no coordinate moves by more than ``tol``. The points are written once
     to the shared scratch folder. Centroids are sorted lexicographically so
     ids do not depend on a restart's internal numbering.
     """
     cols = list(cols or scaled_columns(scaled))
-    points = stored(scaled.select(*[F.col(c).cast("double").alias(c) for c in cols]), "kmeans-points")
-    sample = points.orderBy(F.xxhash64(*cols), *cols).limit(START_ROWS).collect()
-    if not sample:
+    points = stored(scaled.select(F.monotonically_increasing_id().alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]), "kmeans-points")
+    if points.isEmpty():
         raise ValueError("K-Means needs at least one row")
-    x = np.array([tuple(r) for r in sample])
-    live = {r: _start(x, k, seed + r) for r in range(n_init)}
-    done: dict[int, np.ndarray] = {}
+    pool, weights = _seeds(points, k, seed, cols)
+    # restarts with equal starts would stay equal
+    centres = np.unique(np.array([_start(pool, weights, k, seed + r) for r in range(n_init)]).round(12), axis=0)
+    ended: list[tuple[float, np.ndarray]] = []
+    before = np.full(len(centres), np.inf)
+    for step in range(1, max_iter + 1):
+        moved, cost = _pass(points, centres, cols)
+        still = (((moved - centres) ** 2).sum(axis=(1, 2)) > tol) & (cost < before * (1 - SETTLED))
+        if step == max_iter or not still.any():
+            ended += zip(cost, moved)
+            break
+        if still.sum() <= len(centres) // 2:  # fewer restarts are a new plan, so they leave many at a time
+            ended += zip(cost[~still], moved[~still])
+            moved, cost = moved[still], cost[still]
+        centres, before = moved, cost
+    best = min(ended, key=lambda e: e[0])[1][None]
     for _ in range(max_iter):
-        for r, (centres, _) in _pass(points, live, cols).items():
-            still = np.abs(centres - live[r]).max() > tol
-            (live if still else done)[r] = centres
-            if not still:
-                del live[r]
-        if not live:
+        moved, cost = _pass(points, best, cols)
+        far = np.abs(moved - best).max() > tol
+        if not far:
             break
-    done |= live
-    costs = {r: cost for r, (_, cost) in sorted(_pass(points, done, cols).items())}
-    best = min(costs, key=costs.get)
-    return sorted(tuple(float(v) for v in c) for c in done[best]), costs[best]
+        best = moved
+    return sorted(tuple(float(v) for v in c) for c in best[0]), float(cost[0])
 
 
 def kmeans_clusters(scaled: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,

@@ -62,8 +62,8 @@ def filter_dates(df: DataFrame, date_from: str | None = None, date_to: str | Non
     for bound, op in ((date_from, "ge"), (date_to, "le")):
         if not bound:
             continue
-        # a literal, parsed without a table: whether it parses decides if there is a filter
-        parsed = df.sparkSession.range(1).select(parse_timestamp(F.lit(bound)).isNotNull()).first()[0]
+        # whether it parses decides if there is a filter; a constant over a local row starts no job
+        parsed = df.sparkSession.sql("VALUES (1)").select(parse_timestamp(F.lit(bound)).isNotNull()).first()[0]
         if not parsed:
             if strict:
                 raise ValueError(f"not a date: {bound!r}")
@@ -92,6 +92,11 @@ def kpi_summary(seg: DataFrame) -> DataFrame:
         F.sum(F.when(s == "High Value", m)).alias("_hv_rev"),
         F.avg(F.col("recency").cast("double")).alias("_avg_rec"),
         F.max("recency").alias("_max_rec"))
+    return kpi_row(agg)
+
+
+def kpi_row(agg: DataFrame) -> DataFrame:
+    """The KPI figures from their sums and counts (one row)."""
     rev = F.coalesce(F.col("_rev").cast("double"), F.lit(0.0))
     n = F.col("total_customers")
     return agg.select(
@@ -122,7 +127,11 @@ def metric_cards(kpi: DataFrame) -> DataFrame:
 
 def revenue_by_segment(seg: DataFrame) -> DataFrame:
     """D-3: revenue, customers, mean and % of revenue per segment, largest first."""
-    g = seg.groupBy("segment").agg(F.sum("monetary").alias("_rev"), F.count(F.lit(1)).alias("customer_count"))
+    return revenue_rows(seg.groupBy("segment").agg(F.sum("monetary").alias("_rev"), F.count(F.lit(1)).alias("customer_count")))
+
+
+def revenue_rows(g: DataFrame) -> DataFrame:
+    """D-3 from (segment, _rev, customer_count)."""
     w = Window.partitionBy()  # over the per-segment result only
     return g.select("segment", F.col("_rev").cast("double").alias("total_revenue"), "customer_count",
                     (F.col("_rev").cast("double") / F.col("customer_count").cast("double")).alias("avg_revenue"),
@@ -132,7 +141,11 @@ def revenue_by_segment(seg: DataFrame) -> DataFrame:
 
 def segment_share(seg: DataFrame) -> DataFrame:
     """D-4: customers and % per segment, largest first."""
-    g = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count"))
+    return share_rows(seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customer_count")))
+
+
+def share_rows(g: DataFrame) -> DataFrame:
+    """D-4 from (segment, customer_count)."""
     return g.select("segment", "customer_count",
                     pct("customer_count", F.sum("customer_count").over(Window.partitionBy())).alias("percentage")) \
             .orderBy(F.desc("customer_count"), "segment")
@@ -199,16 +212,22 @@ def monthly_trends_simulated(seg: DataFrame, as_of: str | _dt.date) -> DataFrame
 def dashboard(seg: DataFrame, tx: DataFrame | None = None, segments: Sequence[str] | None = None,
               date_from: str | None = None, date_to: str | None = None,
               as_of: str | None = None) -> dict[str, DataFrame]:
-    """D-8: every section over one filtered segment table (a stored stage: each
-    section scans it). ``status`` says whether any row is left."""
+    """D-8: every section over one filtered segment table. All aggregates come from one
+    grouping-sets pass (``sections.cube``); only the scatter points read the rows again.
+    ``status`` says whether any row is left. A table with a date column has its own monthly trends."""
+    from ledgerlens.operators import sections
+
     base = apply_filters(seg, segments, date_from, date_to)
-    some = F.count(F.lit(1)) > 0
-    status = base.agg(some.alias("has_data"), F.when(~some, F.lit(NO_DATA)).alias("message"))
-    out = {"status": status, "kpi": kpi_summary(base), "revenue_by_segment": revenue_by_segment(base),
-           "segment_share": segment_share(base), "scatter": scatter_points(base)}
+    cube = sections.cube(base)
+    kpi = sections.kpi(cube)
+    some = F.col("total_customers") > 0
+    out = {"status": kpi.select(some.alias("has_data"), F.when(~some, F.lit(NO_DATA)).alias("message")), "kpi": kpi,
+           "revenue_by_segment": sections.revenue_by_segment(cube), "segment_share": sections.segment_share(cube), "scatter": scatter_points(base)}
     if tx is not None:
         out["monthly_trends"] = monthly_trends(filter_dates(tx, date_from, date_to), base)
+    elif any(c in base.columns for c in DATE_COLUMNS):
+        out["monthly_trends"] = sections.monthly_trends(cube)
     elif as_of is not None:
         out["monthly_trends"] = monthly_trends_simulated(base, as_of)
-    out["metric_cards"] = metric_cards(out["kpi"])
+    out["metric_cards"] = metric_cards(kpi)
     return out

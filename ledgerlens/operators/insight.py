@@ -22,6 +22,11 @@ def _per_segment(seg: DataFrame) -> DataFrame:
     # rows without a segment are in no group
     g = (seg.where(F.col("segment").isNotNull()).groupBy("segment")
          .agg(F.count(F.lit(1)).alias("customer_count"), F.sum("monetary").alias("_rev")))
+    return shares(g)
+
+
+def shares(g: DataFrame) -> DataFrame:
+    """Revenue, mean value and shares from (segment, customer_count, _rev)."""
     w = Window.partitionBy()  # over the per-segment rows only
     return g.select("segment", "customer_count", F.col("_rev").cast("double").alias("total_revenue"),
                     (F.col("_rev").cast("double") / F.col("customer_count").cast("double")).alias("avg_value"),
@@ -31,14 +36,20 @@ def _per_segment(seg: DataFrame) -> DataFrame:
 
 def top_revenue_segment(seg: DataFrame) -> DataFrame:
     """Segment with the largest revenue, its % of revenue and customers."""
-    p = _per_segment(seg)
+    return _top(_per_segment(seg))
+
+
+def _top(p: DataFrame) -> DataFrame:
     return p.orderBy(F.desc("total_revenue"), "segment").limit(1).select(
         "segment", "total_revenue", F.col("revenue_pct").alias("percentage_of_total"), "customer_count")
 
 
 def largest_segment(seg: DataFrame) -> DataFrame:
     """Segment with the most customers, its % of customers and mean value."""
-    p = _per_segment(seg)
+    return _largest(_per_segment(seg))
+
+
+def _largest(p: DataFrame) -> DataFrame:
     return p.orderBy(F.desc("customer_count"), "segment").limit(1).select(
         "segment", "customer_count", F.col("customer_pct").alias("percentage_of_total"),
         F.col("avg_value").alias("avg_customer_value"))
@@ -63,7 +74,11 @@ def at_risk_volume(seg: DataFrame) -> DataFrame:
 def segment_value_analysis(seg: DataFrame) -> DataFrame:
     """Mean, median, total and count of monetary per segment.
     Medians are exact and computed without gathering a segment in one task."""
-    g = seg.groupBy("segment").agg(F.sum("monetary").alias("_rev"), F.count(F.lit(1)).alias("customer_count"))
+    return value_rows(seg.groupBy("segment").agg(F.sum("monetary").alias("_rev"), F.count(F.lit(1)).alias("customer_count")), seg)
+
+
+def value_rows(g: DataFrame, seg: DataFrame) -> DataFrame:
+    """I4 from (segment, _rev, customer_count) and the rows that give the medians."""
     med = exact_quantiles(seg, "monetary", [0.5], ["segment"], ["median_monetary"])
     return g.join(med, "segment", "left").select(
         "segment", (F.col("_rev").cast("double") / F.col("customer_count").cast("double")).alias("avg_monetary"),
@@ -78,7 +93,11 @@ def growth_opportunities(seg: DataFrame) -> DataFrame:
     (rounded half-even) times their mean value; at_risk_recovery: mean x
     count x 30 % of At Risk.
     """
-    p = _per_segment(seg)
+    return opportunity_rows(_per_segment(seg))
+
+
+def opportunity_rows(p: DataFrame) -> DataFrame:
+    """I5 from the segments' shares."""
     text = {k: (d, a) for k, d, a in OPPORTUNITY_TEXT}
     key_of = {"High Value": "high_value_expansion", "Loyal": "loyal_retention",
               "New": "new_customer_conversion", "At Risk": "at_risk_recovery"}
@@ -138,24 +157,29 @@ def filtered_insights(seg: DataFrame, segments: Sequence[str] | None = None, dat
     Unlike the dashboard, a date bound that does not parse is an error."""
     from ledgerlens.operators.dashboard import filter_dates, filter_segments
     f = filter_dates(filter_segments(seg, segments), date_from, date_to, strict=True)
-    top = top_revenue_segment(f).select(F.col("segment").alias("top_revenue_segment"),
-                                        F.col("total_revenue").alias("top_revenue"))
-    big = largest_segment(f).select(F.col("segment").alias("largest_segment"),
-                                    F.col("customer_count").alias("largest_count"))
-    risk = at_risk_volume(f).select("at_risk_count", "total_at_risk_revenue", "recovery_potential")
-    tot = insight_totals(f).select("total_customers", "total_revenue")
-    return one_row(tot, top, big, risk)
+    return main_row(f.agg(F.count(F.lit(1)).alias("_n"), F.sum("monetary").alias("_rev")), _per_segment(f))
+
+
+def main_row(total: DataFrame, per: DataFrame) -> DataFrame:
+    """I8's main row from the totals (_n, _rev) and the segments' shares."""
+    top = _top(per).select(F.col("segment").alias("top_revenue_segment"), F.col("total_revenue").alias("top_revenue"))
+    big = _largest(per).select(F.col("segment").alias("largest_segment"), F.col("customer_count").alias("largest_count"))
+    risk = F.when(F.col("segment") == "At Risk", F.col("total_revenue"))
+    at_risk = per.agg(F.coalesce(F.sum(F.when(F.col("segment") == "At Risk", F.col("customer_count"))), F.lit(0)).alias("at_risk_count"),
+                      F.coalesce(F.sum(risk), F.lit(0.0)).alias("total_at_risk_revenue"),
+                      (F.coalesce(F.sum(risk), F.lit(0.0)) * F.lit(AT_RISK_RECOVERY_RATE)).alias("recovery_potential"))
+    figures = total.select(F.coalesce("_n", F.lit(0)).alias("total_customers"), F.coalesce(F.col("_rev").cast("double"), F.lit(0.0)).alias("total_revenue"))
+    return one_row(figures, top, big, at_risk)
 
 
 def filtered_sections(seg: DataFrame, segments: Sequence[str] | None = None, date_from: str | None = None,
                       date_to: str | None = None) -> dict[str, DataFrame]:
     """I8: every section after the filters: the main row, the distribution with
     percentages, the value analysis and the growth opportunities."""
+    from ledgerlens.operators import sections
     from ledgerlens.operators.dashboard import filter_dates, filter_segments
     f = filter_dates(filter_segments(seg, segments), date_from, date_to, strict=True)
-    share = _per_segment(f).select("segment", "customer_count", F.col("customer_pct").alias("percentage"))
-    return {"main": filtered_insights(seg, segments, date_from, date_to), "segment_distribution": share,
-            "segment_value_analysis": segment_value_analysis(f), "growth_opportunities": growth_opportunities(f)}
+    return sections.insights(sections.cube(f), f)
 
 
 def generate_insights(seg: DataFrame) -> dict[str, DataFrame]:

@@ -128,6 +128,15 @@ def segments(spark: SparkSession, sf_dir: str, mode: str = "last_match") -> Data
                   lambda: segment.assign_segments(scores(spark, sf_dir), mode))
 
 
+def dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment table with each customer's last purchase as ``invoicedate``."""
+    def build() -> DataFrame:
+        last = rfm.customer_last_purchase(transactions(spark, sf_dir))
+        date = next(c for c in last.columns if c != "customerid")
+        return segments(spark, sf_dir).join(last.select("customerid", F.col(date).alias("invoicedate")), "customerid")
+    return staged(spark, ("dated_segments", sf_dir), build)
+
+
 def clear(spark: SparkSession, keep_input: bool = False) -> None:
     """Drop the session's stage tables; ``keep_input`` keeps the raw input
     (the stand-in for an uploaded file) and the table plans."""

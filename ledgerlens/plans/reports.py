@@ -382,20 +382,31 @@ def q_kpi_doc(spark, d):
     return dashboard.kpi_summary(fx.segments(spark, d, "first_match"))
 
 
-@register("metric_cards", f""", kpi AS ({_kpi_sql('g')})
-SELECT 1 AS position, 'Total Customers' AS label, format('{{:,}}', total_customers) AS value FROM kpi
-UNION ALL SELECT 2, 'Total Revenue', '$' || format('{{:,.0f}}', total_revenue) FROM kpi
-UNION ALL SELECT 3, 'Avg Customer Value', '$' || format('{{:,.0f}}', avg_customer_value) FROM kpi
+CARDS_SQL = """SELECT 1 AS position, 'Total Customers' AS label, format('{:,}', total_customers) AS value FROM kpi
+UNION ALL SELECT 2, 'Total Revenue', '$' || format('{:,.0f}', total_revenue) FROM kpi
+UNION ALL SELECT 3, 'Avg Customer Value', '$' || format('{:,.0f}', avg_customer_value) FROM kpi
 UNION ALL SELECT 4, 'Healthy %', printf('%.1f%%', healthy_percentage) FROM kpi
-UNION ALL SELECT 5, 'At Risk %', printf('%.1f%%', at_risk_percentage) FROM kpi""")
+UNION ALL SELECT 5, 'At Risk %', printf('%.1f%%', at_risk_percentage) FROM kpi"""
+
+
+@register("metric_cards", f""", kpi AS ({_kpi_sql('g')}) {CARDS_SQL}""")
 def q_cards(spark, d):
     return dashboard.metric_cards(dashboard.kpi_summary(fx.segments(spark, d)))
 
 
-@register("dashboard_filtered", _kpi_sql("(SELECT * FROM g WHERE segment IN ('Loyal', 'At Risk')) x"))
+# A frame with a date for each customer (the last purchase), filtered by segment and date: every section.
+WANTED, SINCE, UNTIL = ["Loyal", "At Risk", "New", "Other"], "1998-03-01", "1998-07-28"
+DATED = f"""(SELECT g.*, c.last_purchase FROM g JOIN c USING (customerid) WHERE segment IN ({', '.join(f"'{x}'" for x in WANTED)})
+  AND last_purchase >= TIMESTAMP '{SINCE}' AND last_purchase <= TIMESTAMP '{UNTIL}') dated"""
+
+
+def _dashboard(spark, d, section: str) -> DataFrame:
+    return dashboard.dashboard(fx.dated_segments(spark, d), segments=WANTED, date_from=SINCE, date_to=UNTIL)[section]
+
+
+@register("dashboard_filtered", _kpi_sql(DATED))
 def q_dash_filtered(spark, d):
-    return dashboard.dashboard(fx.segments(spark, d), segments=["Loyal", "At Risk"],
-                               date_from=DATE_FROM, date_to=DATE_TO)["kpi"]
+    return _dashboard(spark, d, "kpi")
 
 
 @register("revenue_by_segment", f"""SELECT segment, CAST(sum(monetary) AS DOUBLE) AS total_revenue, count(*) AS customer_count,
@@ -416,6 +427,40 @@ def q_scatter(spark, d):
     return dashboard.scatter_points(fx.segments(spark, d))
 
 
+@register("dashboard_status", f"""SELECT count(*) > 0 AS has_data, CASE WHEN count(*) = 0 THEN 'No data matches the specified filters.' END AS message FROM {DATED}""")
+def q_dash_status(spark, d):
+    return _dashboard(spark, d, "status")
+
+
+@register("dashboard_cards", f""", kpi AS ({_kpi_sql(DATED)}) {CARDS_SQL}""")
+def q_dash_cards(spark, d):
+    return _dashboard(spark, d, "metric_cards")
+
+
+@register("dashboard_revenue", f"""SELECT segment, CAST(sum(monetary) AS DOUBLE) AS total_revenue, count(*) AS customer_count,
+  CAST(sum(monetary) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_revenue,
+  {pct('sum(monetary)', 'sum(sum(monetary)) OVER ()')} AS percentage FROM {DATED} GROUP BY segment""")
+def q_dash_revenue(spark, d):
+    return _dashboard(spark, d, "revenue_by_segment")
+
+
+@register("dashboard_share", f"""SELECT segment, count(*) AS customer_count, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percentage
+  FROM {DATED} GROUP BY segment""")
+def q_dash_share(spark, d):
+    return _dashboard(spark, d, "segment_share")
+
+
+@register("dashboard_scatter", f"SELECT segment, customerid, CAST(frequency AS BIGINT) AS x, CAST(monetary AS DOUBLE) AS y FROM {DATED}")
+def q_dash_scatter(spark, d):
+    return _dashboard(spark, d, "scatter")
+
+
+@register("dashboard_trends", f"""SELECT strftime(last_purchase, '%Y-%m') AS year_month, segment, count(*) AS customer_count,
+  CAST(sum(monetary) AS DOUBLE) AS revenue FROM {DATED} GROUP BY ALL""")
+def q_dash_trends(spark, d):
+    return _dashboard(spark, d, "monthly_trends")
+
+
 MONTHLY_SQL = """SELECT strftime(t.invoicedate, '%Y-%m') AS year_month, g.segment, count(*) AS transaction_count,
   count(DISTINCT t.customerid) AS customer_count, CAST(sum(t.total_revenue) AS DOUBLE) AS revenue
   FROM t JOIN g USING (customerid) GROUP BY 1, 2"""
@@ -566,6 +611,38 @@ def q_filtered_insights(spark, d):
     return insight.filtered_insights(fx.segments(spark, d), ["Loyal", "At Risk"])
 
 
+def _insights(spark, d, section: str) -> DataFrame:
+    return insight.filtered_sections(fx.dated_segments(spark, d), WANTED, SINCE, UNTIL)[section]
+
+
+@register("insights_main", f"""SELECT tot.*, top.*, big.*, ar.* FROM
+  (SELECT count(*) AS total_customers, coalesce(CAST(sum(monetary) AS DOUBLE), 0.0) AS total_revenue FROM {DATED}) tot,
+  (SELECT segment AS top_revenue_segment, total_revenue AS top_revenue FROM {PER_SEG.format(src=DATED)}
+     ORDER BY total_revenue DESC, segment LIMIT 1) top,
+  (SELECT segment AS largest_segment, customer_count AS largest_count FROM {PER_SEG.format(src=DATED)}
+     ORDER BY customer_count DESC, segment LIMIT 1) big,
+  (SELECT at_risk_count, total_at_risk_revenue, recovery_potential FROM ({AT_RISK_SQL.format(src=DATED)}) a) ar""")
+def q_insights_main(spark, d):
+    return _insights(spark, d, "main")
+
+
+@register("insights_distribution", f"SELECT segment, customer_count, customer_pct AS percentage FROM {PER_SEG.format(src=DATED)}")
+def q_insights_distribution(spark, d):
+    return _insights(spark, d, "segment_distribution")
+
+
+@register("insights_values", f"""SELECT segment, CAST(sum(monetary) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_monetary,
+  CAST(quantile_cont(CAST(monetary AS DOUBLE), 0.5) AS DOUBLE) AS median_monetary,
+  CAST(sum(monetary) AS DOUBLE) AS total_revenue, count(*) AS customer_count FROM {DATED} GROUP BY segment""")
+def q_insights_values(spark, d):
+    return _insights(spark, d, "segment_value_analysis")
+
+
+@register("insights_opportunities", _growth_sql(DATED))
+def q_insights_opportunities(spark, d):
+    return _insights(spark, d, "growth_opportunities")
+
+
 # ------------------------------------------------------------------ narrative
 
 NARR_SQL = f"""SELECT segment, count(*) AS customer_count, CAST(sum(monetary) AS DOUBLE) AS total_revenue,
@@ -817,9 +894,11 @@ def q_latest_snapshot(spark, d):
     root = _sink_path(spark, f"snapshots-{uuid.uuid4().hex}", d)
     now = profile.missing_values(fx.raw(spark, d)).select("column_name", "null_count")
     io.write_snapshot(now.withColumn("null_count", F.col("null_count") + 1), root, 7, "2011-01-01T00-00-00")
-    io.write_snapshot(now, root, 7, "2011-02-01T00-00-00")
-    return io.latest_snapshot(spark.read.json(root)).select(
-        "column_name", "null_count", F.col("dataset_id").cast("int").alias("dataset_id"), "snapshot_ts")
+    for _ in range(2):  # written again, it replaces itself
+        io.write_snapshot(now, root, 7, "2011-02-01T00-00-00")
+    io.write_snapshot(now, root, 8, "2011-03-01T00-00-00")
+    return io.read_latest_snapshot(spark, root, 7, "column_name string, null_count bigint").select(
+        "column_name", "null_count", "dataset_id", "snapshot_ts")
 
 
 @register("recency_summary_preview", f""", rec AS (SELECT c.customerid, CAST(floor(epoch(ref_ts - last_purchase) / 86400) AS BIGINT) AS recency FROM c, ref)
@@ -829,8 +908,9 @@ SELECT (SELECT {iso("max(invoicedate) + INTERVAL 1 DAY")} FROM t) AS reference_d
 def q_recency_preview_of(spark, d):
     """The stored recency summary, written as JSON and read back, as its six-field view."""
     from ledgerlens.plans import stages
-    _, summary = stages.run_recency(fx.transactions(spark, d), _sink_path(spark, "recency", d))
-    return stages.recency_preview_of(summary)
+    out_dir = _sink_path(spark, "recency", d)
+    stages.run_recency(fx.transactions(spark, d), out_dir)
+    return stages.stored_recency_preview(spark, out_dir)
 
 
 # ------------------------------------------------------------------ stage summaries
@@ -925,3 +1005,27 @@ FROM cc, cr WHERE frequency > 0 AND monetary > 0""")
 def q_csv_base(spark, d):
     """The RFM base of that upload: every text id keeps its customer."""
     return rfm.rfm_base(_csv_clean(spark, d)).withColumn("monetary", F.col("monetary").cast("double"))
+
+
+REJECT_SQL = """, up AS (SELECT *, CAST(stockcode AS BIGINT) AS sk FROM raw),
+marked AS (SELECT CASE WHEN sk % 31 = 0 THEN 1 END AS q, CASE WHEN sk % 43 = 0 THEN 1 END AS p, CASE WHEN try_cast(invoicedate AS TIMESTAMP) IS NULL THEN 1 END AS d FROM up)
+SELECT 'kept' AS reason, count(*) AS records FROM marked WHERE q IS NULL AND p IS NULL AND d IS NULL
+UNION ALL SELECT 'rejected', count(*) FROM marked WHERE q = 1 OR p = 1 OR d = 1
+UNION ALL SELECT 'quantity_not_a_number', count(q) FROM marked UNION ALL SELECT 'unitprice_not_a_number', count(p) FROM marked
+UNION ALL SELECT 'invoicedate_not_a_date', count(d) FROM marked"""
+
+
+@register("csv_rejects", REJECT_SQL)
+def q_csv_rejects(spark, d):
+    """An upload with bad quantities, prices and dates: records kept, set aside, and set aside by reason."""
+    from ledgerlens.sources import io
+    raw, sk = fx.raw(spark, d), F.col("stockcode").cast("bigint")
+    upload = raw.withColumns({"quantity": F.when(sk % 31 == 0, F.lit("six")).otherwise(F.col("quantity").cast("string")),
+                              "unitprice": F.when(sk % 43 == 0, F.lit("1,5 each")).otherwise(F.col("unitprice").cast("string"))})
+    path = f"{_sink_path(spark, 'rejects', d)}.csv"
+    upload.write.mode("overwrite").option("header", True).csv(path)
+    kept, rejects = io.read_csv_with_rejects(spark, path)
+    quarantine = _sink_path(spark, "quarantine", d)
+    counts = io.quarantine(rejects, quarantine)
+    rows = [df.agg(F.lit(name).alias("reason"), F.count(F.lit(1)).alias("records")) for name, df in (("kept", kept), ("rejected", io.read_stage(spark, quarantine)))]
+    return counts.unionByName(rows[0]).unionByName(rows[1])

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import iso_string, parse_timestamp, pct
@@ -48,23 +48,33 @@ def run_exploration(raw: DataFrame, out_dir: str) -> dict[str, DataFrame]:
     return parts
 
 
+def _noted_row(spark: SparkSession, figures: dict) -> DataFrame:
+    """Observed figures (all bigint but dates) as a one-row frame."""
+    kinds = {k: "timestamp" if k.startswith("_") else "bigint" for k in figures}
+    row = tuple(v if kinds[k] == "timestamp" or v is not None else 0 for k, v in figures.items())
+    return spark.createDataFrame([row], ", ".join(f"{k} {t}" for k, t in kinds.items()))
+
+
 def run_cleaning_step1(raw: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
     """standardise names, check the 8 required columns, dedupe, drop missing ids.
 
-    The full-width shuffle of the dedupe runs once: the stage table keeps
-    the distinct rows that go on, with the copies of each, and the rows
-    without an id are counted beside it. ``initial_rows`` is a row count of
-    the input, which reads no column.
+    One scan and one shuffle: the dedupe keeps the copies of each distinct row, and the
+    summary's counts are observed on the distinct rows while the stage is written. They are taken in the
+    writing stage, whose tasks count once each, so a lost executor does not change them.
     """
     df = standardize_columns(raw)
     ok, msg = validate_required_strict(df.columns)
     if not ok:
         raise ValueError(msg)
-    out = _store(clean.clean_step1(df), out_dir, "cleaned_step1")
-    # rows without an id are few columns' work: dropped before the dedupe, counted after it
-    lost = clean.dedupe(df.where(clean.missing_customer())).agg(F.count(F.lit(1)).alias("missing_customers_removed"))
-    summary = one_row(df.agg(F.count(F.lit(1)).alias("initial_rows")), out.agg(F.count(F.lit(1)).alias("final_rows")), lost)
-    return out, _note(step1_summary(summary, out.columns), out_dir, "cleaned_step1")
+    copies = "copies"
+    while copies in df.columns:
+        copies += "_"
+    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
+    seen, missing = Observation("step 1"), clean.missing_customer()
+    observed = distinct.observe(seen, F.sum(copies).alias("initial_rows"), F.count_if(missing).alias("missing_customers_removed"),
+                                F.count_if(~missing).alias("final_rows"))
+    out = _store(clean.drop_missing_customers(observed).drop(copies), out_dir, "cleaned_step1")
+    return out, _note(step1_summary(_noted_row(df.sparkSession, seen.get), out.columns), out_dir, "cleaned_step1")
 
 
 def step1_summary(counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,27 +85,28 @@ def step1_summary(counts: DataFrame, columns: list[str]) -> DataFrame:
                          F.array(*[F.lit(c) for c in columns]).alias("columns"))
 
 
-def step2_summary(step1: DataFrame, out: DataFrame, cutoff=clean.DEFAULT_DATE_CUTOFF) -> DataFrame:
-    """The figures of step 2: rows lost to each rule, parse figures, dates of what is left.
-
-    One pass over the step-1 rows, each tagged with the first rule that
-    removes it; no shuffle but of partial counts."""
-    is_ts = dict(step1.dtypes)["invoicedate"].startswith("timestamp")
-    ts = F.col("invoicedate").cast("timestamp") if is_ts else parse_timestamp("invoicedate")
-    tagged = step1.select(clean.rule_code(ts, cutoff).alias("rule"), ts.alias("ts"))
-    rules = tagged.agg(F.count(F.lit(1)).alias("initial_rows"),
-                       *[F.count_if(F.col("rule") == code).alias(f"{name}_removed") for code, name in clean.STEPS if code > 2],
-                       F.count("ts").alias("dates_parsed"), F.count_if(F.col("ts").isNull()).alias("parse_errors"))
-    rules = rules.withColumn("parse_success_rate", pct("dates_parsed", "initial_rows"))
-    left = out.agg(F.count(F.lit(1)).alias("final_rows"), F.min("invoicedate").alias("_low"), F.max("invoicedate").alias("_high"))
-    both = one_row(rules, left.select("final_rows", iso_string("_low").alias("min_date"), iso_string("_high").alias("max_date")))
-    return both.withColumn("removed_pct", pct(F.col("initial_rows") - F.col("final_rows"), "initial_rows"))
+def step2_summary(counts: DataFrame) -> DataFrame:
+    """The figures of step 2 from the observed counts."""
+    return counts.select("initial_rows", *[f"{name}_removed" for code, name in clean.STEPS if code > 2], "dates_parsed", "parse_errors",
+                         pct("dates_parsed", "initial_rows").alias("parse_success_rate"), "final_rows",
+                         iso_string("_low").alias("min_date"), iso_string("_high").alias("max_date"),
+                         pct(F.col("initial_rows") - F.col("final_rows"), "initial_rows").alias("removed_pct"))
 
 
 def run_cleaning_step2(step1: DataFrame, out_dir: str, cutoff=clean.DEFAULT_DATE_CUTOFF) -> tuple[DataFrame, DataFrame]:
-    """the step-2 rules and revenue; the summary has the figures of each rule."""
-    out = _store(clean.clean_step2(step1, cutoff=cutoff), out_dir, "cleaned_final")
-    return out, _note(step2_summary(step1, out, cutoff), out_dir, "cleaned_final")
+    """the step-2 rules and revenue; the summary has the figures of each rule.
+
+    One scan: each row is tagged with the first rule that removes it, and rows by rule, parse figures and
+    dates of what is left are observed while the stage is written."""
+    is_ts = dict(step1.dtypes)["invoicedate"].startswith("timestamp")
+    ts = F.col("invoicedate").cast("timestamp") if is_ts else parse_timestamp("invoicedate")
+    seen, rule = Observation("step 2"), clean.rule_code(ts, cutoff)
+    observed = step1.observe(
+        seen, F.count(F.lit(1)).alias("initial_rows"), *[F.count_if(rule == code).alias(f"{name}_removed") for code, name in clean.STEPS if code > 2],
+        F.count(ts).alias("dates_parsed"), F.count_if(ts.isNull()).alias("parse_errors"), F.count_if(rule == 0).alias("final_rows"),
+        F.min(F.when(rule == 0, ts)).alias("_low"), F.max(F.when(rule == 0, ts)).alias("_high"))
+    out = _store(clean.clean_step2(observed, cutoff=cutoff), out_dir, "cleaned_final")
+    return out, _note(step2_summary(_noted_row(step1.sparkSession, seen.get)), out_dir, "cleaned_final")
 
 
 def run_recency(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +118,17 @@ def run_recency(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame,
     return rec, _note(summary, out_dir, "rfm_recency")
 
 
-def recency_preview_of(summary: DataFrame) -> DataFrame:
-    """The short view of a stored recency summary: six of its fields."""
-    return summary.select("reference_date", "unique_customers", "recency_min", "recency_max", "recency_mean", "recency_median")
+#: Fields of the short recency view and their types.
+PREVIEW = {"reference_date": "string", "unique_customers": "bigint", "recency_min": "bigint", "recency_max": "bigint",
+           "recency_mean": "double", "recency_median": "double"}
+
+
+def stored_recency_preview(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The short view of a stored recency summary: six of its fields; one that the summary lacks is null."""
+    found = io.read_summary_variant(spark, _path(out_dir, "rfm_recency_summary"))
+    if found is None:
+        return None
+    return found.select(*[F.try_variant_get("summary", f"$.{name}", dtype).alias(name) for name, dtype in PREVIEW.items()])
 
 
 def run_rfm_base(tx: DataFrame, out_dir: str, reference=None) -> tuple[DataFrame, DataFrame]:
