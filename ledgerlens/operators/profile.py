@@ -7,12 +7,11 @@ row per column) via ``stack``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.exprs import parse_timestamp, pct
-from ledgerlens.functions.scalars import one_row
 from ledgerlens.operators.rank import column_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -85,44 +84,69 @@ def invalid_values(df: DataFrame, quantity: str = "quantity", price: str = "unit
     })
 
 
+def _as_text(field: T.StructField) -> Column:
+    """A value as text, equal values alike."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(c)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        c = c + F.lit(0.0)  # one zero
+    return c.cast("string")
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """(position, value, n): every column's distinct values as text and how often each occurs, in one scan.
+
+    The values of a row are grouped column by column with a map-side step, so what is shuffled is
+    each task's distinct values, and a value of a third of all rows is one row a task."""
+    each = F.array(*[F.struct(F.lit(i).alias("position"), _as_text(f).alias("value")) for i, f in enumerate(df.schema.fields)])
+    return df.select(F.explode(each).alias("e")).groupBy(F.col("e.position").alias("position"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: type, distinct count (nulls skipped), null count; for
     numeric columns mean, median, min, max and sample std (6 digits).
 
-    One plain aggregate gives all but the distinct counts. Those are a grouping
-    of each column alone (a scan of that column, combined on the map side), as
-    several exact distinct counts in one aggregate would copy every row once
-    for each. ``approx=True`` swaps them for HyperLogLog sketches. Sample values (the reference's ``head(5)``) are in :func:`sample_values`.
+    One scan of all columns gives distinct and null counts (:func:`value_counts`), one plain
+    aggregate the figures of the numeric columns, and their medians come from
+    :func:`ledgerlens.operators.rank.column_quantiles`. ``approx=True`` counts distinct values by
+    HyperLogLog sketches in the plain aggregate instead. Sample values (the reference's ``head(5)``)
+    are in :func:`sample_values`.
     """
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
-        c = F.col(f.name)
-        aggs.append(F.count_if(c.isNull()).alias(f"_z{i}"))
+        c = F.col(f"`{f.name}`")
         if approx:
-            aggs.append(F.approx_count_distinct(c).alias(f"_u{i}"))
+            aggs += [F.count_if(c.isNull()).alias(f"_z{i}"), F.approx_count_distinct(c).alias(f"_u{i}")]
         if isinstance(f.dataType, NUMERIC):
             mean = (F.sum(c).cast("double") / F.count(c).cast("double")) if isinstance(f.dataType, EXACT_SUM) \
                 else F.avg(c.cast("double"))
             aggs += [mean.alias(f"_a{i}"), F.min(c).cast("double").alias(f"_lo{i}"),
                      F.max(c).cast("double").alias(f"_hi{i}"),
                      F.round(F.stddev_samp(c.cast("double")), 6).alias(f"_s{i}")]
-    distinct = [] if approx else [
-        df.select(f.name).where(F.col(f.name).isNotNull()).distinct().agg(F.count(F.lit(1)).alias(f"_u{i}")) for i, f in enumerate(fields)]
-    one = one_row(df.agg(*aggs), *distinct)
     rows = []
     for i, f in enumerate(fields):
         numeric = isinstance(f.dataType, NUMERIC)
         nul = F.lit(None).cast("double")
+        counts = [F.col(f"_u{i}").cast("bigint").alias("unique_count"), F.col(f"_z{i}").cast("bigint").alias("null_count")] if approx else []
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col(f"_u{i}").cast("bigint").alias("unique_count"), F.col(f"_z{i}").cast("bigint").alias("null_count"),
+            F.lit(f.dataType.simpleString()).alias("dtype"), *counts,
             (F.col(f"_a{i}") if numeric else nul).alias("mean"),
             (F.col(f"_lo{i}") if numeric else nul).alias("min"),
             (F.col(f"_hi{i}") if numeric else nul).alias("max"),
             (F.col(f"_s{i}") if numeric else nul).alias("std")))
-    prof = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    prof = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    if not approx:
+        # a row a column on both sides
+        counts = value_counts(df).groupBy("position").agg(F.count("value").alias("unique_count"),
+                                                          F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"))
+        prof = prof.join(F.broadcast(counts), "position", "left").select(
+            "position", "column_name", "dtype", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("unique_count", "null_count")],
+            "mean", "min", "max", "std")
     numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC)]
     if not numeric:
         return prof.withColumn("median", F.lit(None).cast("double"))
@@ -135,16 +159,17 @@ def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
     """Up to ``n`` non-null sample values per column (as text), long form.
 
     A preview: the limit is the feature. Spark has no file row order, so the
-    samples are each column's ``n`` smallest values (deterministic); each is
-    a per-partition top-n followed by a merge, not a full sort.
+    samples are each column's ``n`` smallest values (deterministic, repeats
+    included). One scan: equal values are counted first, and each task keeps ``n`` of a column.
     """
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column_name"),
-                                                   F.col(c).cast("string").alias("value"))
-             .orderBy("value").limit(n) for c in df.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counted = value_counts(df).where(F.col("value").isNotNull())
+    first = counted.withColumn("r", F.row_number().over(Window.partitionBy("position").orderBy("value"))).where(F.col("r") <= n)
+    # of the smallest distinct values, as many copies as there are, up to n in all
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("position").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    copies = F.least(F.col("n"), F.greatest(F.lit(n) - before, F.lit(0))).cast("int")
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return first.withColumn("copies", copies).where(F.col("copies") > 0).select(
+        names[F.col("position")].alias("column_name"), F.explode(F.array_repeat("value", F.col("copies"))).alias("value"))
 
 
 def exploration(df: DataFrame) -> dict[str, DataFrame]:

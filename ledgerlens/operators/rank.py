@@ -122,7 +122,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     input without rows gives one row a column (no groups) or none.
     """
     groups, probs = list(group_cols), list(map(float, probs))
-    values = {f"_v{i}": F.nanvl(F.col(c).cast("double"), F.lit(None)) for i, c in enumerate(columns)}
+    values = {f"_v{i}": F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for i, c in enumerate(columns)}
     wide = df.select(*groups, *[v.alias(n) for n, v in values.items()])
     limits = [f"_b{i}" for i in range(len(columns))]
     first = (wide.groupBy(*groups) if groups else wide).agg(*[b.alias(n) for b, n in zip(_bounds({n: F.col(n) for n in values}, probs), limits)])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import cluster, dashboard, insight, sections
+from ledgerlens.operators import cluster, dashboard, insight, profile, sections
 from ledgerlens.plans import stages
 from ledgerlens.sources import io
 
@@ -162,3 +162,19 @@ def test_kmeans_of_few_points(spark):
     assert len(centres) == 3 and cost == 0
     with pytest.raises(ValueError):
         cluster.fit_kmeans(df.limit(0), k=2)
+
+
+def test_profile_of_odd_columns(spark):
+    data = [(1, 2.5, "a", None, b"\x00\xff", [1], True), (1, -0.0, "a", None, b"\x00\xfe", [1, 2], None), (None, 0.0, "", None, None, None, False), (3, None, "b", None, b"", [], True)]
+    df = spark.createDataFrame(data, "`a.b` int, d double, t string, nothing string, bin binary, arr array<int>, flag boolean")
+    got = {r.column_name: r for r in profile.column_profile(df).collect()}
+    assert {c: (r.unique_count, r.null_count) for c, r in got.items()} == {
+        "a.b": (2, 1), "d": (2, 1), "t": (3, 0), "nothing": (0, 4), "bin": (3, 1), "arr": (3, 1), "flag": (2, 1)}
+    assert (got["a.b"].median, got["d"].median, got["d"].min, got["d"].max) == (1.0, 0.0, 0.0, 2.5)
+    samples = {}
+    for r in profile.sample_values(df, 2).collect():
+        samples.setdefault(r.column_name, []).append(r.value)
+    assert samples["a.b"] == ["1", "1"] and sorted(samples["t"]) == ["", "a"] and "nothing" not in samples
+    empty = profile.column_profile(df.limit(0)).collect()
+    assert len(empty) == 7 and all((r.unique_count, r.null_count, r.mean) == (0, 0, None) for r in empty)
+    assert profile.sample_values(df.limit(0)).count() == 0
