@@ -44,3 +44,45 @@ def test_columns_are_found_by_name_in_each_file(spark):
     clean_uploads(spark, up, out, checkpoint=ck).awaitTermination(120)
     (row,) = spark.read.parquet(os.path.join(out, "cleaned")).collect()
     assert (row.invoiceno, row.customerid, row.discount, float(row.quantity)) == ("1", "C017", "0.1", 2.0)
+
+
+def _csv(path, lines, header="InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country"):
+    path.write_text("\n".join([header, *lines]) + "\n")
+
+
+def test_a_line_of_two_uploads_is_counted_once(spark, tmp_path):
+    from ledgerlens.streaming import ingest
+    up, out = tmp_path / "up", str(tmp_path / "out")
+    up.mkdir()
+    line = [f"{i},A,x,{i % 5 + 1},2011-01-0{i % 9 + 1} 08:00:00,2.50,{i % 4},UK" for i in range(40)]
+    _csv(up / "a.csv", line[:20] + line[:3])
+    _csv(up / "b.csv", line[10:30])
+
+    def run():
+        ingest.type_uploads(spark, str(up), out).awaitTermination()
+        query = ingest.dedupe_uploads(spark, out)
+        query.awaitTermination()
+        return query, ingest.cleaned_uploads(spark, out)
+
+    query, first = run()
+    assert first.count() == 30 and first.dropDuplicates().count() == 30
+    assert any("rocksdb" in str(k).lower() for p in query.recentProgress for op in p["stateOperators"] for k in op["customMetrics"])
+    # the same uploads under another name, one line with its columns in another order, and one new line
+    _csv(up / "c.csv", line[:30])
+    _csv(up / "d.csv", ["UK,0,2.50,2011-01-01 08:00:00,1,x,A,0", "UK,9,2.50,2011-01-01 08:00:00,1,x,A,900"],
+         "Country,CustomerID,UnitPrice,InvoiceDate,Quantity,Description,StockCode,InvoiceNo")
+    _, again = run()
+    assert again.count() == 31 and again.where("invoiceno = '900'").count() == 1
+    _, same = run()  # a restart with nothing new
+    assert same.exceptAll(again).count() == 0 and same.count() == 31
+
+
+def test_other_columns_tell_lines_apart(spark, tmp_path):
+    from ledgerlens.streaming import ingest
+    up, out = tmp_path / "up", str(tmp_path / "out")
+    up.mkdir()
+    header = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country,Discount"
+    _csv(up / "a.csv", ["1,A,x,1,2011-01-01,2.50,7,UK,5", "1,A,x,1,2011-01-01,2.50,7,UK,6"], header)
+    ingest.type_uploads(spark, str(up), out).awaitTermination()
+    ingest.dedupe_uploads(spark, out).awaitTermination()
+    assert sorted(r.more for r in ingest.cleaned_uploads(spark, out).collect()) == ['{"discount":"5"}', '{"discount":"6"}']
