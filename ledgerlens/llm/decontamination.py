@@ -37,7 +37,8 @@ HITS = "doc_id long, item_id long, score double, matched_words int, start_word i
 
 
 def plain(word: bytes) -> str:
-    return PLAIN.sub("", word.decode("utf-8", "replace").lower())
+    low = word.decode("utf-8", "replace").lower()
+    return low if low.isalnum() else PLAIN.sub("", low)
 
 
 @dataclass
@@ -55,6 +56,7 @@ class Items:
         for text in self.texts:
             own = [w for w in map(plain, text.encode().split()) if w]
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int64))
+        self.sizes = np.array(list(map(len, self.words)), np.int64)
         found = []
         for item, own in enumerate(self.words):
             for ahead in (1, 2):
@@ -63,7 +65,6 @@ class Items:
                 found.append((int(own[0]), item, 0))
         self.pair, self.item, self.place = map(np.array, zip(*sorted(found))) if found else (np.empty(0, np.int64),) * 3
         self.distinct = np.unique(self.pair)
-        self.sizes = np.array(list(map(len, self.words)), np.int64)
         # places whose pairs every hit has, and errors that it can have
         self.places = np.maximum(1, np.ceil(self.sizes * self.least - 1 - 1e-9)).astype(np.int64)
         self.errors = np.floor(MATCH * self.sizes * (1 - self.least) / -MISS + 1e-9).astype(np.int64)
@@ -123,7 +124,8 @@ def numbered(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[tuple[
 def pairs_of(items: Items, number: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, keys) of the pairs of known words within each document, for each distance."""
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(number))
-    yield np.flatnonzero(number > 0), number[number > 0]
+    if len(items.sizes) and items.sizes.min() < 2:  # only a single word is its own pair
+        yield np.flatnonzero(number > 0), number[number > 0]
     for ahead in (1, 2):
         n = max(0, len(number) - ahead)
         at = np.flatnonzero((number[:n] > 0) & (number[ahead:] > 0) & (left[:n] > ahead))
