@@ -6,7 +6,8 @@ Words are compared lower-cased and without characters other than letters and dig
    reaches the least score has so few errors that, of its matched words, most follow each
    other within a gap of one on both sides: an item of n words has n * least - 1 places
    at least where such a pair starts. So the most common places can be left out as seeds, one fewer than that, and
-   every hit still holds a seed: the rare ones. How often each pair is in the corpus is counted over all documents.
+   every hit still holds a seed: the rare ones. How often each pair is in the corpus is counted over all documents, as
+   they are cut into words; the words' numbers are stored, so that is done once.
 2. A seed in a document joins the item to the passage around it, as wide as the errors allow. A passage is
    left out only where the words that it shares with the item, each as often as in both, or the places
    whose pairs it holds, are too few for the least score, so no hit is lost.
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, rows_kept, scratch, split_words, written
+from ledgerlens.llm.common import CACHE_WORDS, PLAIN, as_bytes, groups, scratch, split_words, written
 
 MATCH, MISS = 2, -1
 #: Seeds that are looked at together, and words of their passages.
@@ -259,50 +261,80 @@ def passages_aligned(items: Items, number: np.ndarray, found: list[tuple[int, in
     return out
 
 
-def find(items: Items):
-    """Function from batches of (doc_id, text) to batches of their hits."""
+#: What is stored of a document: its word numbers and, where words were left out, their places; and each task's counts of pairs.
+STORED = [T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())]
+
+
+def with_words(docs: DataFrame, text: int, keep: int, items: Items) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the first ``keep`` columns of ``docs`` with the word numbers of column ``text``, stored, so that
+    texts are cut into words once; and how often each of the items' distinct pairs (by number) is in all documents,
+    counted by each task and then summed."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in plain.schema.fields[:keep]], *STORED])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, number, place, bounds in numbered(batches, items):
-            found, docs_of = [], []
-            for doc, *passage in candidates(items, number, bounds):
-                found += zip(*(x.tolist() for x in passage), strict=True)
-                docs_of += doc.tolist()
-            best: dict[tuple[int, int], tuple] = {}
-            for k, score, matched, x, y in passages_aligned(items, number, found, items.least):
-                key, row = (docs_of[k], found[k][0]), (score, matched, -int(place[x]), int(place[y - 1]) + 1)
-                best[key] = max(best.get(key, row), row)
-            rows = [(ids[d], items.ids[i], s, m, -x, y) for (d, i), (s, m, x, y) in best.items()]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], HITS.replace(",", "").split()[::2])
+        counts = np.zeros(len(items.distinct) + 1, np.int64)
+        kinds: list = []
+        names = [f.name for f in schema.fields]
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(keep)]
+            words, places = [], []
+            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(text)], ["doc_id", "text"])
+            for _, number, place, bounds in numbered([texts], items):
+                for _, own in pairs_of(items, number, bounds):
+                    at = np.minimum(np.searchsorted(items.distinct, own), len(items.distinct) - 1)
+                    counts += np.bincount(np.where(items.distinct[at] == own, at, len(items.distinct)), minlength=len(counts))
+                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    words.append(number[x:y].astype("<i4").tobytes())
+                    places.append(b"" if y == x or place[y - 1] == y - x - 1 else place[x:y].astype("<i4").tobytes())
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(keep)], pa.array(words, pa.binary()), pa.array(places, pa.binary()), none, none], names)
+        some = np.flatnonzero(counts[:-1])
+        if len(some):
+            none = [pa.nulls(len(some), k) for k in [*kinds, pa.binary(), pa.binary()]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some), pa.array(counts[some])], names)
+
+    found = written(plain.mapInArrow(run, schema), scratch(docs.sparkSession, "words"))
+    return found.filter("words is not null"), found.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
+
 
-    return run
+def stored(ids: list, words: list[bytes], places: list[bytes]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``numbered``, from stored word numbers."""
+    for a, b in groups(words):
+        number = [np.frombuffer(w, "<i4") for w in words[a:b]]
+        bounds = np.concatenate([[0], np.cumsum([len(n) for n in number])])
+        place = [np.frombuffer(p, "<i4") if p else np.arange(len(n)) for p, n in zip(places[a:b], number, strict=True)]
+        yield ids[a:b], np.concatenate(number).astype(np.int64), np.concatenate(place).astype(np.int64), bounds
 
 
-def block_hits(docs: DataFrame, items: Items) -> DataFrame:
-    return docs.mapInArrow(find(items), HITS)
+def find(items: Items, ids: list, words: list[bytes], places: list[bytes]) -> Iterator[tuple]:
+    """(id, item, score, matched words, first and last+1 word) of the best passage of each document and item."""
+    for own, number, place, bounds in stored(ids, words, places):
+        found, docs_of = [], []
+        for doc, *passage in candidates(items, number, bounds):
+            found += zip(*(x.tolist() for x in passage), strict=True)
+            docs_of += doc.tolist()
+        best: dict[tuple[int, int], tuple] = {}
+        for k, score, matched, x, y in passages_aligned(items, number, found, items.least):
+            key, row = (docs_of[k], found[k][0]), (score, matched, -int(place[x]), int(place[y - 1]) + 1)
+            best[key] = max(best.get(key, row), row)
+        yield from ((own[d], items.ids[i], s, m, -x, y) for (d, i), (s, m, x, y) in best.items())
 
 
-def pair_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each of the items' distinct pairs is in the documents: counted by each task, then summed."""
+def block_hits(rows: DataFrame, items: Items) -> DataFrame:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.distinct) + 1, np.int64)
-        for _, number, _, bounds in numbered(batches, items):
-            for _, own in pairs_of(items, number, bounds):
-                at = np.minimum(np.searchsorted(items.distinct, own), len(items.distinct) - 1)
-                counts += np.bincount(np.where(items.distinct[at] == own, at, len(items.distinct)), minlength=len(counts))
-        some = np.flatnonzero(counts[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["pair", "n"])
+        for batch in batches:
+            hits = list(find(items, *(batch.column(i).to_pylist() for i in range(3))))
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), kinds, strict=True)], HITS.replace(",", "").split()[::2])
 
-    out = np.zeros(len(items.distinct), np.int64)
-    for r in docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # the block's pairs at most
-        out[r.pair] = r.n
-    return out
+    return rows.select("c0", "words", "places").mapInArrow(run, HITS)
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, least: float, block_bytes: int) -> Iterator[Items]:
-    """The items in blocks of about ``block_bytes`` of text, which is what a task holds at a time, with the
-    seeds that are rare in ``docs`` (doc_id, text)."""
+def item_blocks(benchmark: DataFrame, least: float, block_bytes: int) -> Iterator[Items]:
+    """The items in blocks of about ``block_bytes`` of text, which is what a task holds at a time."""
     spark = benchmark.sparkSession
     tests = written(benchmark.select("item_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) > 0), scratch(spark, "items"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -311,10 +343,19 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, least: float, block_bytes
         own = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         items = Items([r.item_id for r in own], [r.text for r in own], least)
         if len(items.pair):
-            items.keep_rare(pair_counts(docs, items))
             yield items
 
 
+def seeded(docs: DataFrame, text: int, keep: int, items: Items) -> DataFrame:
+    """The stored rows of ``docs``; ``items`` keeps the seeds that are rare in them."""
+    rows, counted = with_words(docs, text, keep, items)
+    counts = np.zeros(len(items.distinct), np.int64)
+    for r in counted.collect():  # the block's pairs at most
+        counts[r.pair] = r.n
+    items.keep_rare(counts)
+    return rows
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, matched_words, start_word, end_word): for each document and each
     test item that it holds with a score of ``least`` or more, the best passage.
@@ -329,23 +370,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, bloc
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     out = spark.createDataFrame([], HITS)
-    for items in item_blocks(docs, benchmark, least, block_bytes):
-        out = out.unionByName(written(block_hits(docs, items), scratch(spark, "leaks")))
+    for items in item_blocks(benchmark, least, block_bytes):
+        out = out.unionByName(written(block_hits(seeded(docs, 1, 1, items), items), scratch(spark, "leaks")))
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item. Each row is judged by its own text where it stands."""
-    at = docs.columns.index("text")
+    at, n, names = docs.columns.index("text"), len(docs.columns), docs.columns
 
     def clean(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
-                bad = {row for d in find(items)([rows]) for row in d.column(0).to_pylist()}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
+                held = {hit[0] for hit in find(items, list(range(batch.num_rows)), *(batch.column(n + i).to_pylist() for i in range(2)))}
+                yield batch.select(range(n)).filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
         return run
 
-    for items in item_blocks(docs.select(F.lit(0).cast("long").alias("doc_id"), "text"), benchmark, least, block_bytes):
-        docs = rows_kept(docs, clean(items))
+    for items in item_blocks(benchmark, least, block_bytes):
+        rows = seeded(docs, at, n, items).drop("pair", "n")
+        docs = rows.mapInArrow(clean(items), T.StructType(rows.schema.fields[:n])).toDF(*names)
     return docs
