@@ -1,7 +1,7 @@
 """Quality rules, and rejection by the perplexity of a character n-gram model.
 
 Model: modified Kneser-Ney over the ``ORDER`` last characters, one model for each language. Spark
-counts the n-grams of all documents; counts of lower orders are continuation counts (how many
+counts the n-grams of all documents that pass the base rules; counts of lower orders are continuation counts (how many
 characters stand before), three discounts for each order come from the counts of counts, and each
 order is interpolated with the one below, all as DataFrame joins. N-grams that occur once are left
 to the order below: a document must not be likely for what only it holds. The finished
@@ -10,8 +10,8 @@ range of hashes, at most about ``SHARD`` of them. Scoring tasks map the files th
 each batch's distinct n-grams by binary search, so memory does not grow with the model.
 
 Verdict: a document whose log perplexity lies outside its language's band is rejected. A band
-reaches ``fence`` interquartile ranges below and above the quartiles of the language's documents
-that pass the base rules.
+reaches from the median of the language's documents that pass the base rules ``fence`` times the distance
+of the nearer quartile (a quarter of the farther one's at least) to both sides.
 """
 
 from __future__ import annotations
@@ -115,14 +115,17 @@ def lang_of() -> F.Column:
     return F.coalesce("lang", F.lit("und")).alias("lang")
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, c): each n-gram of ``ORDER`` characters of all texts, and how often it occurs."""
+def count_grams(docs: DataFrame, least_words: int = 50) -> DataFrame:
+    """(lang, gram, c): each n-gram of ``ORDER`` characters of the texts that pass the base rules, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             texts, langs = as_bytes(batch.column(1)), batch.column(0).to_pylist()
             for a, b in groups(texts, SORTED_BYTES):
-                lang, grams, counts = Characters(texts[a:b], langs[a:b]).counted()
+                size, repeated = repeats(*split_words(texts[a:b]), hashes)
+                good = [None if bad else t for t, bad in zip(texts[a:b], fails(size, repeated, least_words).tolist())]
+                lang, grams, counts = Characters(good, langs[a:b]).counted()
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
 
     rows = docs.filter("text is not null").select(lang_of(), "text").mapInArrow(run, "lang string, gram string, n long")
@@ -132,14 +135,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
 GRAM, CONTEXT = "g", "c"
 
 
-def kneser_ney(counted: DataFrame) -> DataFrame:
+def kneser_ney(counted: DataFrame, uri: str) -> DataFrame:
     """(lang, key, log): for each n-gram of 1 to ``ORDER`` characters that occurs twice, key
     ``g`` + n-gram, the probability of its last character after the others; for each context,
     key ``c`` + context, the weight of the order below, at the empty context that of one unknown character.
+    Each order's counts and probabilities are written once, below ``uri``.
     """
     levels = {ORDER: counted.select("lang", "gram", "c", F.col("c").alias("n"))}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        fewer = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        levels[k] = written(fewer, f"{uri}/counts-{k}")
     out, below = [], None
     for k in range(1, ORDER + 1):
         level = levels[k]
@@ -151,7 +156,8 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
                     for i in (1, 2, 3)]
         lost = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         stays = F.lit(True) if k == 1 else F.col("n") > 1
-        rows = (level.join(several.select("lang", "v", *discount), "lang")
+        # one row a language: the names of languages, some thousands at most
+        rows = (level.join(F.broadcast(several.select("lang", "v", *discount)), "lang")
                 .select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), "c", "v", stays.alias("stays"),
                         F.greatest(F.col("c") - lost, F.lit(0.0)).alias("mass")))
         totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("stays"), F.col("mass")).otherwise(0.0)).alias("held"),
@@ -164,6 +170,7 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
             lower = below.select("lang", F.col("gram").alias("ending"), F.col("p").alias("q"))
             below = (found.withColumn("ending", F.substring("gram", 2, k - 1)).join(lower, ["lang", "ending"])
                      .select("lang", "gram", (F.col("own") + F.col("left") * F.col("q")).alias("p")))
+        below = written(below, f"{uri}/chances-{k}")
         out.append(below.select("lang", F.concat(F.lit(GRAM), "gram").alias("key"), F.log("p").cast("float").alias("log")))
         out.append(totals.filter("left < 1").select("lang", F.concat(F.lit(CONTEXT), "context").alias("key"), F.log("left").cast("float").alias("log")))
     return reduce(DataFrame.unionByName, out)
@@ -245,16 +252,13 @@ class Model:
         return out
 
 
-def base_rules(texts: list[bytes | None], text: Characters, hashes: WordHashes) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    words, ends = split_words(texts)
+def repeats(words: list[bytes], ends: np.ndarray, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """n_words and n_repeat_words of texts cut into words."""
     n, size = len(words), np.diff(ends)
-    code = text.code[text.at]
-    totals = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[text.bounds])
     repeated = np.zeros(n + 1, np.int64)
     if n >= 3:
         one = hashes.array(words, n)
-        key = mix(mix(mix(one[:-2], one[1:-1]), one[2:]), np.repeat(np.arange(len(texts)), size)[:-2].astype(np.uint64))
+        key = mix(mix(mix(one[:-2], one[1:-1]), one[2:]), np.repeat(np.arange(len(size)), size)[:-2].astype(np.uint64))
         left = np.repeat(ends[1:], size) - np.arange(n)
         at = np.flatnonzero(left[:-2] >= 3)
         order = at[np.argsort(key[at])]
@@ -263,6 +267,19 @@ def base_rules(texts: list[bytes | None], text: Characters, hashes: WordHashes)
         np.add.at(repeated, again, 1)
         np.add.at(repeated, again + 3, -1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(repeated[:n]) > 0)])
+    return size, np.diff(covered[ends])
+
+
+def fails(n_words, n_repeat_words, least_words: int):
+    """The base rules, on arrays or columns."""
+    return (n_words < least_words) | (100 * n_repeat_words > 50 * n_words)
+
+
+def base_rules(texts: list[bytes | None], text: Characters, hashes: WordHashes) -> dict[str, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+    size, repeated = repeats(*split_words(texts), hashes)
+    code = text.code[text.at]
+    totals = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[text.bounds])
     doubled = []
     for t in texts:
         lines = t.split(b"\n") if t and b"\n" in t else []
@@ -275,7 +292,7 @@ def base_rules(texts: list[bytes | None], text: Characters, hashes: WordHashes)
                 seen.add(line)
         doubled.append(count)
     return {"n_words": size, "word_chars": text.size - totals(np.isin(code, SPACES)), "n_symbols": totals(np.isin(code, [ord(c) for c in SYMBOLS])),
-            "n_dup_lines": np.array(doubled, np.int64), "n_repeat_words": np.diff(covered[ends])}
+            "n_dup_lines": np.array(doubled, np.int64), "n_repeat_words": repeated}
 
 
 MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
@@ -309,7 +326,7 @@ def measure(docs: DataFrame, uri: str, shards: int) -> DataFrame:
     return docs.select("doc_id", lang_of(), "text").mapInArrow(run, MEASURED)
 
 
-def judge(docs: DataFrame, fence: float = 4.0, least_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, fence: float = 8.0, least_words: int = 50) -> DataFrame:
     """doc_id, lang, the base rules' numbers, base_failed, perplexity, its band, kept, for each row.
 
     Cases: a null or empty text has no words, fails the base rules and has no perplexity; a null
@@ -318,15 +335,17 @@ def judge(docs: DataFrame, fence: float = 4.0, least_words: int = 50) -> DataFra
     come; an empty table gives no row. Columns beside ``doc_id``, ``text`` and ``lang`` are not read.
     """
     spark = docs.sparkSession
-    counted = written(count_grams(docs), scratch(spark, "grams"))
+    counted = written(count_grams(docs, least_words), scratch(spark, "grams"))
     uri = scratch(spark, "model")
-    shards = write_model(written(kneser_ney(counted), scratch(spark, "kneser-ney")), uri)
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    shards = write_model(written(kneser_ney(counted, scratch(spark, "orders")), scratch(spark, "kneser-ney")), uri)
+    failed = fails(F.col("n_words"), F.col("n_repeat_words"), least_words)
     rows = written(measure(docs, uri, shards).withColumn("base_failed", failed), scratch(spark, "measured"))
-    quartile = lambda q: F.percentile_approx("log_perplexity", q, 10_000)
-    low, high = F.col("q1") - fence * (F.col("q3") - F.col("q1")), F.col("q3") + fence * (F.col("q3") - F.col("q1"))
-    bands = (rows.filter(~F.col("base_failed")).groupBy("lang").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-             .select("lang", F.exp(low).alias("least_perplexity"), F.exp(high).alias("most_perplexity")))
+    # the smaller of the distances from the median to the quartiles: junk lengthens one side at a time
+    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
+    q1, q2, q3 = (F.col("q")[i] for i in range(3))
+    spread = F.greatest(F.least(q2 - q1, q3 - q2), F.greatest(q2 - q1, q3 - q2) / 4, F.lit(0.005))
+    bands = (rows.filter(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("q"))
+             .select("lang", F.exp(q2 - fence * spread).alias("least_perplexity"), F.exp(q2 + fence * spread).alias("most_perplexity")))
     inside = F.exp("log_perplexity").between(F.col("least_perplexity"), F.col("most_perplexity"))
     return rows.join(bands, "lang", "left").select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -12,7 +12,7 @@ from conftest import prose
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import language, perplexity, queries, quality, toxicity
-from ledgerlens.llm.common import WordHashes, scratch
+from ledgerlens.llm.common import WordHashes, scratch, written
 
 
 def ids(df):
@@ -145,13 +145,14 @@ def plain_kneser_ney(counts, order):
 def test_model_is_modified_kneser_ney(spark, messy, monkeypatch):
     counts = defaultdict(Counter)
     for r in messy.collect():
-        padded = "\x02" * (perplexity.ORDER - 1) + (r.text or "")
+        padded = "\x02" * (perplexity.ORDER - 1) + ("" if brute.base_rules(r.text)[5] else r.text)
         counts[r.lang or "und"].update(padded[i:i + perplexity.ORDER] for i in range(len(padded) - perplexity.ORDER + 1))
-    counted = perplexity.count_grams(messy)
-    assert {(r.lang, r.gram): r.c for r in counted.collect()} == {(k, g): c for k, own in counts.items() for g, c in own.items()}
+    counts = {k: own for k, own in counts.items() if len(own) >= 400}
+    counted = perplexity.count_grams(messy).filter(F.col("lang").isin(*counts))
+    assert counts and {(r.lang, r.gram): r.c for r in counted.collect()} == {(k, g): c for k, own in counts.items() for g, c in own.items()}
     monkeypatch.setattr(perplexity, "SHARD", 900)
     uri = scratch(spark, "model")
-    shards = perplexity.write_model(perplexity.kneser_ney(counted), uri)
+    shards = perplexity.write_model(perplexity.kneser_ney(counted, scratch(spark, "orders")), uri)
     assert shards > 3
     model = perplexity.Model(uri, shards, held=2)
     r = random.Random(1)
@@ -208,6 +209,53 @@ def test_quality_rule_query_on_the_tables(spark, sf001):
     assert sum(r.kept for r in found) >= 0.9 * sum(not r.base_failed for r in found)
 
 
+def test_verdicts_equal_a_plain_version(spark, sf001):
+    """``kept`` and the perplexity of every document of sf0.001 that passes the base rules, by the definitions."""
+    rows = {r.doc_id: (r.text, r.lang or "und") for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
+    passing = {i: (t, k) for i, (t, k) in rows.items() if not brute.base_rules(t)[5]}
+    n, grams = perplexity.ORDER, {}
+    for i, (t, _) in passing.items():
+        padded = "\x02" * (n - 1) + t
+        grams[i] = [padded[j:j + n] for j in range(len(t))]
+    log = {}
+    for lang in {k for _, k in passing.values()}:
+        p = plain_kneser_ney(sum((Counter(grams[i]) for i, (_, k) in passing.items() if k == lang), Counter()), n)
+        known = {g: math.log(p(g)) for i, (_, k) in passing.items() if k == lang for g in set(grams[i])}
+        log |= {i: -sum(known[g] for g in grams[i]) / len(grams[i]) for i, (_, k) in passing.items() if k == lang}
+    found = {r.doc_id: r for r in perplexity.judge(spark.read.parquet(f"{sf001}/documents.parquet")).collect()}
+    for lang in {k for _, k in passing.values()}:
+        own = sorted(log[i] for i, (_, k) in passing.items() if k == lang)
+        q1, q2, q3 = (own[max(math.ceil(q * len(own)) - 1, 0)] for q in (0.25, 0.5, 0.75))
+        spread = max(min(q2 - q1, q3 - q2), max(q2 - q1, q3 - q2) / 4, 0.005)
+        for i in (i for i, (_, k) in passing.items() if k == lang):
+            assert abs(math.log(found[i].perplexity) - log[i]) < 1e-4
+            if abs(abs(log[i] - q2) - 8 * spread) > 1e-4:
+                assert found[i].kept == (abs(log[i] - q2) < 8 * spread), (i, log[i], q2, spread)
+    assert not any(found[i].kept for i in rows.keys() - passing.keys())
+
+
+def test_words_in_random_order_are_rejected(spark):
+    """100 English documents of sf0.01 with their words in random order against the model of the table: 80 are out of the band, 95 originals in it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in docs.filter("lang = 'en' and length(text) > 600").orderBy("doc_id").collect()}
+    ids_ = [i for i, t in texts.items() if not brute.base_rules(t)[5]][:100]
+    r = random.Random(1)
+    shuffled = []
+    for i in ids_:
+        words = texts[i].split()
+        r.shuffle(words)
+        shuffled.append((i, " ".join(words), "en"))
+    uri = scratch(spark, "model")
+    model = written(perplexity.kneser_ney(written(perplexity.count_grams(docs), scratch(spark, "grams")), scratch(spark, "orders")), scratch(spark, "kn"))
+    shards = perplexity.write_model(model, uri)
+    band = perplexity.judge(docs).filter("lang = 'en' and least_perplexity is not null").select("doc_id", "kept", "least_perplexity", "most_perplexity").collect()
+    low, high = band[0].least_perplexity, band[0].most_perplexity
+    odd = perplexity.measure(spark.createDataFrame(shuffled, "doc_id long, text string, lang string"), uri, shards).collect()
+    out = sum(not low <= math.exp(x.log_perplexity) <= high for x in odd)
+    kept = sum(b.kept for b in band if b.doc_id in set(ids_))
+    assert len(odd) == 100 and out >= 80 and kept >= 95, (out, kept)
+
+
 def test_bands_reject_both_ends_of_a_language(spark):
     rows = [(i, prose(150, i), "en") for i in range(80)]
     r = random.Random(3)
