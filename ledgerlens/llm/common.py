@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from ledgerlens.session import ensure_checkpoint_dir
@@ -62,6 +63,52 @@ def rows_kept(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
+#: Rows of a chunk, as a power of two: the lost rows of one are a file, and held together.
+CHUNK_BITS = 13
+
+
+def without_rows(rows: DataFrame, row: str, lost: DataFrame) -> DataFrame:
+    """``rows`` (a stored table) without those whose number, a long in column ``row``, is in column ``row`` of ``lost``;
+    ``row`` is dropped. Rows are judged where they stand: what is shuffled is the numbers, which go to one
+    file for each chunk of rows, and each task reads the files of its chunks."""
+    spark = rows.sparkSession
+    uri, names = scratch(spark, "lost-rows"), [c for c in rows.columns if c != row]
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            chunk = number >> CHUNK_BITS
+            for part in np.split(np.arange(len(number)), np.flatnonzero(np.diff(chunk)) + 1) if len(number) else []:
+                if chunk[part[0]] != now:
+                    if parts:
+                        write_file(f"{uri}/chunk-{now}", np.concatenate(parts).astype("<i8"))
+                    now, parts = int(chunk[part[0]]), []
+                parts.append(number[part])
+        if parts:
+            write_file(f"{uri}/chunk-{now}", np.concatenate(parts).astype("<i8"))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([0], pa.int64())})
+
+    numbers = lost.select(F.col(row).alias("row"), F.shiftright(row, CHUNK_BITS).alias("chunk"))
+    dealt_out = numbers.repartition(shuffle_partitions(spark), "chunk").sortWithinPartitions("chunk", "row").select("row")
+    dealt_out.mapInArrow(store, "n long").write.format("noop").mode("overwrite").save()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            number = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            chunks = number >> CHUNK_BITS
+            gone = np.zeros(len(number), bool)
+            for c in np.unique(chunks).tolist():
+                if c not in known:
+                    known = {c: np.array(map_file(f"{uri}/chunk-{c}", "<i8"))}
+                gone |= (chunks == c) & np.isin(number, known[c])
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~gone))
+
+    plain = rows.select(*[F.col(f"`{c}`") for c in names], row).toDF(*[f"c{i}" for i in range(len(names))], "row")
+    return plain.mapInArrow(run, StructType(plain.schema.fields[:-1])).toDF(*names)
+
+
 def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
