@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, packing, quality, simhash, substrings
-from ledgerlens.llm.common import scratch, table, written
+from ledgerlens.llm.common import scratch, table, without_rows, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     linked = written(groups.join(rows.select(row, "doc_id"), row), scratch(spark, "near-duplicates"))
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
     lost = linked.select(row).join(first.select(F.col("first")[row].alias(row)), row, "left_anti")
-    return rows.join(lost, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without_rows(rows, row, lost)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
