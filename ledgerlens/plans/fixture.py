@@ -19,6 +19,9 @@ from ledgerlens.sources.adapters import dirty_transactions
 # the reference's default, because the test tables end in 2001.
 FIXTURE_CUTOFF = "2001-06-30 00:00:00"
 
+# Bytes of a row group of a stage table, so that scans can be split finely.
+ROW_GROUP = 4 << 20
+
 # Fixed centroids on scaled (recency, frequency, monetary) for the
 # deterministic clustering queries (fixture C).
 FIXED_CENTROIDS = [
@@ -47,9 +50,10 @@ def raw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw invoice lines as an uploaded file would be: derived once from
-    the driver's tables and stored as Parquet, then scanned by each query."""
-    files = spark.sparkContext.defaultParallelism  # as an upload in several files: every core has one to read
-    return staged(spark, ("raw", sf_dir), lambda: raw_plan(spark, sf_dir).repartition(files))
+    the driver's tables and stored as Parquet, then scanned by each query.
+
+    The joins' partitions are written as they are; small row groups let a few files be read by every core."""
+    return staged(spark, ("raw", sf_dir), lambda: raw_plan(spark, sf_dir))
 
 
 def _numbered(tx: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ def staged(spark: SparkSession, key: tuple, build) -> DataFrame:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         name = "-".join(str(k).strip("/").replace("/", "_") for k in key)
         path = f"{root}/ledgerlens-stages/{spark.sparkContext.applicationId}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         memo[key] = spark.read.parquet(path)
     return memo[key]
 
