@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a dedupe's map side holds a split's distinct rows: about twenty times its Parquet bytes
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # remove reliable checkpoint files once their DataFrames are garbage collected

@@ -1,8 +1,14 @@
 """Steps whose memory, shuffles or time grew faster than the input."""
 
+import __spark_entry__ as entry
 from ledgerlens.plans import fixture as fx
 
 
 def test_raw_is_written_without_a_further_shuffle(spark, sf001, monkeypatch):
     monkeypatch.setattr(fx, "staged", lambda spark, key, build: build())
     assert "RoundRobinPartitioning" not in fx.raw(spark, sf001)._jdf.queryExecution().toString()
+
+
+def test_queries_scan_small_splits(spark):
+    entry._prepare(spark)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
