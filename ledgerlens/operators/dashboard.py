@@ -183,10 +183,11 @@ def monthly_trends_filled(trends: DataFrame) -> DataFrame:
     """Every (month, segment) pair, zero where a segment has no sales
     that month (no cross join, no job while the plan is built)."""
     # One row per month with its segments' revenue as a map, and the names present in any
-    # month (a few, from the rules) as a scalar; rows without a segment are in no pair.
+    # month (a few, from the rules) as a scalar; rows without a segment are in no pair. The
+    # names are the maps' keys, so that both come from one aggregation of the transactions.
     named = trends.where(F.col("segment").isNotNull()).groupBy("year_month", "segment").agg(F.sum("revenue").alias("revenue"))
     months = named.groupBy("year_month").agg(F.map_from_entries(F.collect_list(F.struct("segment", "revenue"))).alias("_by"))
-    months = with_scalars(months, named.agg(F.array_sort(F.collect_set("segment")).alias("_names")))
+    months = with_scalars(months, months.select(F.explode(F.map_keys("_by")).alias("segment")).agg(F.array_sort(F.collect_set("segment")).alias("_names")))
     return months.select("year_month", F.explode("_names").alias("segment"), "_by") \
                  .select("year_month", "segment", F.coalesce(F.try_element_at("_by", "segment"), F.lit(0.0)).alias("revenue"))
 

@@ -1,6 +1,10 @@
 """Steps whose memory, shuffles or time grew faster than the input."""
 
+import datetime as dt
+from decimal import Decimal
+
 import __spark_entry__ as entry
+from ledgerlens.operators import dashboard
 from ledgerlens.plans import fixture as fx
 
 
@@ -12,3 +16,13 @@ def test_raw_is_written_without_a_further_shuffle(spark, sf001, monkeypatch):
 def test_queries_scan_small_splits(spark):
     entry._prepare(spark)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+
+
+def test_filled_trends_aggregate_the_transactions_once(spark):
+    tx = spark.createDataFrame([(str(i % 7), dt.datetime(2011, 1 + i % 3, 2), Decimal(i)) for i in range(40)],
+                               "customerid string, invoicedate timestamp, total_revenue decimal(12,2)")
+    seg = spark.createDataFrame([(str(i), "Loyal" if i % 2 else "New") for i in range(7)], "customerid string, segment string")
+    out = dashboard.monthly_trends_filled(dashboard.monthly_trends(tx, seg))
+    assert out.count() == 6
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
