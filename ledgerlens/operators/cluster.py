@@ -3,16 +3,17 @@
 Scaling is median imputation then a z-score with the *population* standard
 deviation (as scikit-learn's StandardScaler does; Spark ML's scaler uses
 the sample deviation, so it is not used). K-Means seeds its restarts from all points (k-means||),
-advances them in one aggregate for each iteration and keeps the lowest cost. Cluster ids are renumbered by
+advances them in one aggregate for each iteration (partial sums by numpy in each task) and keeps the lowest cost. Cluster ids are renumbered by
 centroid order so they are stable across runs. Assignment to given centroids is a plain expression (nearest
 by squared distance, lowest id on a tie), so it can be checked in SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,16 +175,35 @@ SETTLED = 1e-3
 SEED_ROUNDS, OVERSAMPLING = 2, 20
 
 
-def _data(values) -> str:
-    """Nested numbers as one SQL array. As an argument of a lambda function it is data of the plan and
-    not part of its generated code, so the code of a pass is compiled once, whatever the centres."""
-    return f"array({', '.join(_data(v) for v in values)})" if np.ndim(values) else f"{float(values)!r}D"
+def _geometry(cols: Sequence[str]):
+    """The functions that tasks measure points with. They stand inside, and use numpy only, so that
+    they travel to the tasks themselves and executors need not have this package."""
+    def points_of(batch: pa.RecordBatch) -> np.ndarray:
+        """The points of a batch, one a row; a null is NaN."""
+        return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
 
+    def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Squared distance of each point (row) to each centre (column)."""
+        d = np.zeros((len(x), len(centres)))
+        for i in range(x.shape[1]):
+            d += np.square(x[:, i, None] - centres[None, :, i])
+        return d
 
-def _nearest(cols: Sequence[str], centres: str) -> str:
-    """SQL for the least (squared distance, number) struct over an array of centres."""
-    return f"""array_min(transform({centres}, (c, j) -> named_struct('d',
-        aggregate(zip_with(array({', '.join(cols)}), c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x), 'c', j)))"""
+    return points_of, distances
+
+
+def _nearest(points: DataFrame, centres: np.ndarray, cols: Sequence[str]) -> DataFrame:
+    """``points`` with the squared distance ``_d`` to the nearest centre and its number ``_j`` (the lowest on a tie)."""
+    points_of, distances = _geometry(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = distances(points_of(batch), centres)
+            found = [pa.array(d.min(axis=1), from_pandas=True), pa.array(d.argmin(axis=1), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "_d", "_j"])
+
+    schema = T.StructType([*points.schema.fields, T.StructField("_d", T.DoubleType()), T.StructField("_j", T.IntegerType())])
+    return points.mapInArrow(run, schema)
 
 
 def _seeds(points: DataFrame, k: int, seed: int, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +217,14 @@ def _seeds(points: DataFrame, k: int, seed: int, cols: Sequence[str]) -> tuple[n
 
     found = np.array([tuple(r) for r in points.orderBy(uniform(0)).select(*cols).limit(1).collect()])
     for n in range(1, SEED_ROUNDS + 1):
-        far = points.withColumn("_d", F.expr(_nearest(cols, _data(found)))["d"]).filter("_d > 0")
+        far = _nearest(points, found, cols).filter("_d > 0")
         drawn = far.orderBy(-F.log(uniform(n)) / F.col("_d")).select(*cols).limit(OVERSAMPLING * k).collect()
         if not drawn:
             break
         found = np.unique(np.vstack([found, [tuple(r) for r in drawn]]), axis=0)
     weights = np.zeros(len(found))
-    for r in points.groupBy(F.expr(_nearest(cols, _data(found)))["c"].alias("j")).count().collect():
-        weights[r.j] = r["count"]
+    for r in _nearest(points, found, cols).groupBy("_j").count().collect():
+        weights[r["_j"]] = r["count"]
     return found, weights
 
 
@@ -234,9 +254,25 @@ def _start(x: np.ndarray, w: np.ndarray, k: int, seed: int, rounds: int = 50) ->
 def _pass(points: DataFrame, centres: np.ndarray, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """One pass over the points for all restarts together (restart x cluster x column):
     the next centres and the cost at the present ones. Restarts x clusters rows reach the driver."""
-    each = F.expr(f"transform({_data(centres)}, (run, r) -> named_struct('r', r, 'b', {_nearest(cols, 'run')}))")
-    sums = (points.select(*cols, F.explode(each).alias("e")).groupBy(F.col("e.r").alias("r"), F.col("e.b.c").alias("c"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum("e.b.d").alias("_d"), *[F.sum(c).alias(c) for c in cols]).collect())
+    points_of, distances = _geometry(cols)
+    (runs, k), width = centres.shape[:2], len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(runs * k, np.int64), np.zeros((1 + width, runs * k))
+        for batch in batches:
+            x = points_of(batch)
+            for r in range(runs):
+                d = distances(x, centres[r])
+                at = d.argmin(axis=1) + r * k
+                n += np.bincount(at, minlength=runs * k)
+                for i, v in enumerate([d.min(axis=1), *x.T]):
+                    total[i] += np.bincount(at, weights=np.where(np.isnan(v), 0.0, v), minlength=runs * k)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.repeat(np.arange(runs), k), np.tile(np.arange(k), runs), n, *total)],
+                                         names=["r", "c", "_n", "_d", *cols])
+
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("r", "c", "_n")), *(T.StructField(c, T.DoubleType()) for c in ("_d", *cols))])
+    # a task gives one row for each restart and cluster
+    sums = (points.select(*cols).mapInArrow(run, schema).groupBy("r", "c").agg(*[F.sum(c).alias(c) for c in ("_n", "_d", *cols)]).filter("_n > 0").collect())
     out, cost = centres.copy(), np.zeros(len(centres))
     for row in sums:
         out[row.r, row.c] = [row[c] / row["_n"] for c in cols]  # an empty cluster keeps its centre

@@ -3,8 +3,10 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
+
 import __spark_entry__ as entry
-from ledgerlens.operators import dashboard
+from ledgerlens.operators import cluster, dashboard
 from ledgerlens.plans import fixture as fx
 
 
@@ -26,3 +28,19 @@ def test_filled_trends_aggregate_the_transactions_once(spark):
     assert out.count() == 6
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kmeans_pass_is_the_plain_sums(spark):
+    x = np.random.default_rng(5).normal(size=(500, 2))
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "_id long, a double, b double").repartition(3)
+    centres = np.random.default_rng(6).normal(size=(3, 4, 2))
+    moved, cost = cluster._pass(points, centres, ["a", "b"])
+    for r in range(3):
+        d = ((x[:, None] - centres[r][None]) ** 2).sum(2)
+        near = d.argmin(1)
+        assert np.isclose(cost[r], d.min(1).sum())
+        for c in range(4):
+            assert np.allclose(moved[r, c], x[near == c].mean(0) if (near == c).any() else centres[r, c])
+    d = ((x[:, None] - centres[0][None]) ** 2).sum(2)
+    got = {row["_id"]: (row["_d"], row["_j"]) for row in cluster._nearest(points, centres[0], ["a", "b"]).collect()}
+    assert all(np.isclose(got[i][0], d[i].min()) and got[i][1] == d[i].argmin() for i in range(500))
