@@ -35,7 +35,7 @@ START = 2
 #: N-grams whose probability a scoring task keeps; a full store is emptied, which changes no result.
 KEPT = 400_000
 #: Bytes of text that a counting task sorts at a time.
-SORTED_BYTES = 8 << 20
+SORTED_BYTES = 2 << 20
 #: Log probability of a character in a language that the model lacks.
 UNSEEN = -14.0
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

@@ -382,3 +382,15 @@ def test_held_out_accuracy_of_the_queries(spark, name, label, least):
     found = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col(label).alias("y")), "doc_id")
     held = found.filter("held_out").collect()
     assert len(held) > 50 and sum(r.predicted == r.y for r in held) >= least * len(held)
+
+
+def test_counting_ngrams_holds_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))).encode() for _ in range(perplexity.SORTED_BYTES // 2000)]
+    tracemalloc.start()
+    perplexity.Characters(texts, ["x"] * len(texts)).counted()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
